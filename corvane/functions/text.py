@@ -49,6 +49,15 @@ def _letter_table(form: str, last: int) -> tuple[str, str, tuple[tuple[str, str]
 _COMMON_EXPANSIONS = {*range(0xFB00, 0xFB07), 0x2026, 0x2122, 0xBC, 0xBD, 0xBE}
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    A column that is named several times in a filter or inside a lambda is otherwise
+    expanded, and evaluated, at each place.
+    """
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def strip_accents(c: Column | str) -> Column:
     """Drop combining marks; ``đ`` has no decomposition and stays."""
     source, target, _ = _letter_table("NFD", 0x2000)
@@ -59,11 +68,8 @@ def fold_compat(c: Column | str) -> Column:
     """Compatibility folding without combining marks (full-width forms, ligatures, superscripts)."""
     source, target, longer = _letter_table("NFKD", 0xFFF0)
     out = F.translate(_col(c), source, target)
-    letters = "".join(letter for letter, _ in longer)
-    expanded = out
     for letter, plain in longer:
-        expanded = F.replace(expanded, F.lit(letter), F.lit(plain))
-    out = F.when(out.rlike(f"[{letters}]"), expanded).otherwise(out)
+        out = F.replace(out, F.lit(letter), F.lit(plain))
     return F.regexp_replace(out, r"\p{Mn}+", "")
 
 
@@ -222,15 +228,23 @@ def is_refusal(answer: Column | str) -> Column:
 
 def keyword_overlap(answer: Column | str, keywords: Column | str) -> Column:
     """Share of non-blank keywords contained in the answer; null without keywords."""
-    text = normalize_answer(answer)
     wanted = F.filter(_col(keywords), lambda k: trim_blank(k) != "")
-    hits = F.filter(wanted, lambda k: F.contains(text, normalize_answer(k)))
-    return F.when(F.size(wanted) > 0, F.round(F.size(hits) / F.size(wanted), 4))
+    folded = F.transform(wanted, normalize_answer)
+
+    def share(text: Column) -> Column:
+        hits = F.filter(folded, lambda k: F.contains(text, k))
+        return F.when(F.size(wanted) > 0, F.round(F.size(hits) / F.size(wanted), 4))
+
+    return let(normalize_answer(answer), share)
 
 
 def mentioned_in(name: Column | str, text: Column | str) -> Column:
     """The whole name, or one of its words of four letters or more, occurs in the text."""
-    n, t = strip_accents(F.lower(_col(name))), strip_accents(F.lower(_col(text)))
-    words = F.split(n, rf"(?U){BLANK}+")
-    word = F.exists(words, lambda w: (F.length(w) >= 4) & F.contains(t, w))
-    return (n != "") & (t != "") & (F.contains(t, n) | word)
+    n = strip_accents(F.lower(_col(name)))
+    parts = F.filter(F.split(n, rf"(?U){BLANK}+"), lambda w: F.length(w) >= 4)
+
+    def named(t: Column) -> Column:
+        word = F.exists(parts, lambda w: F.contains(t, w))
+        return (n != "") & (t != "") & (F.contains(t, n) | word)
+
+    return let(strip_accents(F.lower(_col(text))), named)

@@ -16,21 +16,21 @@ from pyspark.sql import functions as F
 from corvane.functions import keys
 from corvane.functions import lexicon as lx
 from corvane.functions.text import (
-    entity_label, normalize_name, relation_type, strip_title, trim_blank, type_priority,
+    entity_label, let, normalize_name, relation_type, strip_title, trim_blank, type_priority,
 )
 from corvane.session import cut_lineage
 
 
 def is_blocked(name: Column, norm: Column, label: Column) -> Column:
     """Too short, or a pronoun or generic word instead of a name."""
-    single = ~F.contains(norm, F.lit(" "))
-    pronoun = norm.isin(lx.PRONOUNS)
-    return (
-        (F.length(trim_blank(name)) < 2) | (norm == "")
-        | (single & pronoun)
-        | ((label == "PERSON") & pronoun)
-        | ((label == "OTHER") & norm.isin(lx.GENERIC_NAMES))
-    )
+    def blocked(n: Column) -> Column:
+        single = ~F.contains(n, F.lit(" "))
+        return (
+            (n == "") | (n.isin(lx.PRONOUNS) & (single | (label == "PERSON")))
+            | ((label == "OTHER") & n.isin(lx.GENERIC_NAMES))
+        )
+
+    return (F.length(trim_blank(name)) < 2) | let(norm, blocked)
 
 
 def block_entities(mentions: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as lx
-from corvane.functions.text import is_refusal, keyword_overlap, matches_any, strip_accents, trim_blank
+from corvane.functions.text import (
+    is_refusal, keyword_overlap, let, matches_any, strip_accents, trim_blank,
+)
 
 KEY = ["question_id", "mode"]
 
@@ -110,22 +112,22 @@ def auto_score(answer: Column | str, keywords: Column | str, should_refuse: Colu
     def column(c: Column | str) -> Column:
         return F.col(c) if isinstance(c, str) else c
 
-    text = strip_accents(F.lower(F.coalesce(column(answer), F.lit(""))))
-
-    def found(kw: Column) -> Column:
-        plain = strip_accents(F.lower(kw))
-        return (F.contains(text, plain)
-                | F.contains(text, F.replace(plain, F.lit(","), F.lit(".")))
-                | F.contains(text, F.replace(plain, F.lit("."), F.lit(","))))
-
     words = F.coalesce(column(keywords), F.array().cast("array<string>"))
-    ratio = F.size(F.filter(words, found)) / F.nullif(F.size(words), F.lit(0))
-    return (
-        F.when(trim_blank(text) == "", 0)
-        .when(matches_any(text, lx.AUTO_SCORE_REFUSALS),
-              F.when(column(should_refuse), 2).otherwise(0))
-        .when(ratio >= 1.0, 2).when(ratio >= 0.5, 1).otherwise(0)
-    )
+    folded = F.transform(words, lambda k: strip_accents(F.lower(k)))
+
+    def score(text: Column) -> Column:
+        found = F.filter(folded, lambda k: (
+            F.contains(text, k) | F.contains(text, F.replace(k, F.lit(","), F.lit(".")))
+            | F.contains(text, F.replace(k, F.lit("."), F.lit(",")))))
+        ratio = F.size(found) / F.nullif(F.size(words), F.lit(0))
+        return (
+            F.when(trim_blank(text) == "", 0)
+            .when(matches_any(text, lx.AUTO_SCORE_REFUSALS),
+                  F.when(column(should_refuse), 2).otherwise(0))
+            .when(ratio >= 1.0, 2).when(ratio >= 0.5, 1).otherwise(0)
+        )
+
+    return let(strip_accents(F.lower(F.coalesce(column(answer), F.lit("")))), score)
 
 
 def _scored(scores: DataFrame, overrides: DataFrame | None) -> DataFrame:

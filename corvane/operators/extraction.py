@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.functions.text import normalize_name, tokenize, trim_blank
+from corvane.functions.text import let, normalize_name, tokenize, trim_blank
 
 ENTITY_JSON = ("array<struct<name:string,type:string,label:string,subtype:string,"
                "description:string>>")
@@ -102,11 +102,15 @@ def extract_mentions(chunks: DataFrame, gazetteer: DataFrame | None = None,
 
 def word_runs(normalized: Column, max_words: int) -> Column:
     """Distinct runs of one to ``max_words`` neighbouring words."""
-    words = F.filter(F.split(normalized, " "), lambda w: w != "")
-    start = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
-    runs = [F.transform(start, lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " "))
-            for n in range(1, max_words + 1)]
-    return F.filter(F.array_distinct(F.flatten(F.array(*runs))), lambda r: r != "")
+    def of_length(words: Column, n: int) -> Column:
+        start = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+        return F.transform(start, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    def runs(words: Column) -> Column:
+        found = F.flatten(F.array(*[of_length(words, n) for n in range(1, max_words + 1)]))
+        return F.filter(F.array_distinct(found), lambda r: r != "")
+
+    return let(F.filter(F.split(normalized, " "), lambda w: w != ""), runs)
 
 
 def with_model(df: DataFrame, model: Callable[[list], list], input_column: str,

@@ -6,7 +6,7 @@ from corvane.operators import chunking as ck
 from corvane.operators import extraction as ex
 from workload import beds
 from workload.registry import query
-from workload.sqlparts import PARAGRAPHS, SENTENCES, facts, norm_text, tokens, trim
+from workload.sqlparts import PARAGRAPHS, SENTENCES, facts, norm_name, tokens, trim
 
 
 def chunks(spark, sf):
@@ -143,9 +143,8 @@ def model_hook(spark, sf):
        "text, '[^\\p{L}\\p{N}_](\\p{Lu}[\\p{L}\\p{N}_]+(?: \\p{Lu}[\\p{L}\\p{N}_]+)+)', 1)) as "
        "raw_name, 'OTHER' as raw_type from kept union all select owner_id, file_id, chunk_id, "
        "lang, 'CONCEPT' from (select owner_id, file_id, chunk_id, unnest(string_split("
-       "trim(regexp_replace(" + norm_text("replace(text, '_', 'x_')").replace("[_.\\-]+", "[.\\-]+")
-       + ", '\\s+', ' ', 'g')), ' ')) as w from kept) join (values ('the', 'THE'), ('les', 'Les'), "
-       "('der', 'Der')) g(n, lang) on n = w")
+       + norm_name("text") + ", ' ')) as w from kept) join (values ('the', 'THE'), "
+       "('les', 'Les'), ('der', 'Der')) g(n, lang) on n = w)")
 def extract_mentions(spark, sf):
     """Capitalised phrases, and three articles as a tiny gazetteer."""
     names = F.array(*[F.struct(F.lit(n).alias("name_norm"), F.lit(d).alias("name"))

@@ -148,7 +148,8 @@ def location_columns(spark, sf):
     c = chunks(spark, sf).join(mime, ["owner_id", "file_id"])
     page, first, last = (keys.positive(x) for x in ("page_estimate", "line_start", "line_end"))
     return c.select(
-        "file_id", "chunk_index", keys.location_label(page, first, last).alias("location"),
+        "file_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
+        keys.location_label(page, first, last).alias("location"),
         keys.location_link(F.lit(""), "file_id", page, "mime_type", F.lit("")).alias("link"))
 
 
