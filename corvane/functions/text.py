@@ -121,10 +121,13 @@ def plain_key(c: Column | str) -> Column:
 def relation_key(c: Column | str) -> Column:
     """Clean relation key; empty input gives the generic relation."""
     latin = F.translate(strip_accents(F.coalesce(_col(c), F.lit(""))), "đĐ", "dD")
-    key = plain_key(latin)
-    key = F.when(key.rlike("^[0-9]"), F.concat(F.lit("REL_"), key)).otherwise(key)
-    key = F.regexp_replace(F.substring(key, 1, lx.MAX_RELATION_LENGTH), "^_+|_+$", "")
-    return F.when(key == "", F.lit("RELATED_TO")).otherwise(key)
+
+    def shaped(key: Column) -> Column:
+        named = F.when(key.rlike("^[0-9]"), F.concat(F.lit("REL_"), key)).otherwise(key)
+        cut = F.regexp_replace(F.substring(named, 1, lx.MAX_RELATION_LENGTH), "^_+|_+$", "")
+        return F.when(key == "", F.lit("RELATED_TO")).otherwise(cut)
+
+    return let(plain_key(latin), shaped)
 
 
 @lru_cache(maxsize=None)
@@ -145,8 +148,7 @@ def lookup(key: Column | str, table: dict[str, str]) -> Column:
 
 def relation_type(c: Column | str) -> Column:
     """Known variants become their canonical relation; unknown keys are kept."""
-    key = relation_key(c)
-    return F.coalesce(_lookup(key, _alias_pairs("relation")), key)
+    return let(relation_key(c), lambda k: F.coalesce(_lookup(k, _alias_pairs("relation")), k))
 
 
 def is_canonical_relation(c: Column | str) -> Column:
@@ -159,9 +161,8 @@ def is_semantic_relation(c: Column | str) -> Column:
 
 def entity_label(c: Column | str) -> Column:
     """Core label, directly or through an alias, else OTHER."""
-    key = plain_key(c)
-    core = F.when(key.isin(lx.ENTITY_LABELS), key)
-    return F.coalesce(core, _lookup(key, _alias_pairs("label")), F.lit("OTHER"))
+    return let(plain_key(c), lambda k: F.coalesce(
+        F.when(k.isin(lx.ENTITY_LABELS), k), _lookup(k, _alias_pairs("label")), F.lit("OTHER")))
 
 
 def type_priority(c: Column | str) -> Column:
@@ -175,7 +176,7 @@ def strip_title(c: Column | str) -> Column:
     one = rf"(?:{titles})(?:\.\s*/?\s*|\s*/\s*|\s*:\s*|\s+)"
     name = trim_blank(c)
     rest = trim_blank(F.regexp_replace(name, rf"(?iuU)^(?:{one})+:?\s*", ""))
-    return F.when(rest == "", name).otherwise(rest)
+    return F.coalesce(F.nullif(rest, F.lit("")), name)
 
 
 def humanize(c: Column | str) -> Column:

@@ -351,13 +351,13 @@ def nearest_relation(unknown: DataFrame, canonical: DataFrame,
     """
     threshold = lx.RELATION_VECTOR_THRESHOLD if threshold is None else threshold
     table = canonical.agg(F.array_sort(F.collect_list(F.struct("rel_type", "embedding")))).scalar()
-    scored = F.transform(table, lambda c: F.struct(
+    scored = F.transform("_table", lambda c: F.struct(
         (-cosine(F.col("embedding"), c["embedding"])).alias("minus"), c["rel_type"].alias("type")))
     best = F.array_min(scored)
     return (
-        unknown.withColumn("_best", best)
+        unknown.withColumn("_table", table).withColumn("_best", best)
         .withColumn("score", -F.col("_best.minus"))
         .withColumn("rel_type", F.when(F.col("score") >= threshold, F.col("_best.type"))
                     .otherwise(F.lit("RELATED_TO")))
-        .drop("_best", "embedding")
+        .drop("_best", "_table", "embedding")
     )

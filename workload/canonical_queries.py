@@ -17,7 +17,8 @@ def part_mentions(spark, sf):
     Type, description and upper case vary with the line; ``ord`` is (order, line).
     """
     li = beds.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber",
-                                                  "l_returnflag", "l_quantity")
+                                                  "l_returnflag", "l_suppkey",
+                                                  "l_extendedprice")
     o = beds.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     c = beds.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     p = beds.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
@@ -30,7 +31,8 @@ def part_mentions(spark, sf):
         F.concat(F.lit("C"), F.col("o_custkey")).alias("file_id"),
         F.concat(F.lit("O"), F.col("l_orderkey")).alias("chunk_id"),
         F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"),
-                 F.col("l_partkey").alias("p")).alias("ord"),
+                 F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"),
+                 F.col("l_extendedprice").alias("x")).alias("ord"),
         F.when(flag == "A", F.upper("p_name")).when(flag == "N", F.concat(
             F.lit(" "), "p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("raw_name"),
         F.when(flag == "A", "tool").when(flag == "N", "gadget").otherwise("Concept")
@@ -41,7 +43,7 @@ def part_mentions(spark, sf):
 
 MENTIONS = (
     "select c_mktsegment as owner_id, 'C' || o_custkey as file_id, 'O' || l_orderkey as chunk_id, "
-    "(l_orderkey, l_linenumber, l_partkey) as ord, case l_returnflag when 'A' then upper(p_name) "
+    "(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as ord, case l_returnflag when 'A' then upper(p_name) "
     "when 'N' then ' ' || p_name || '!' else p_name end as raw_name, case l_returnflag when 'A' "
     "then 'tool' when 'N' then 'gadget' else 'Concept' end as raw_type, case l_returnflag when "
     "'A' then 'PRODUCT' when 'N' then 'OTHER' else 'CONCEPT' end as label, "
