@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from corvane.functions import lexicon as lx
 from corvane.functions.keys import default_link
 from corvane.operators.graph import cooccurrence_edges
 from corvane.plans.answer import KnowledgeBase
+from corvane.session import scratch_path
 
 MIME_BY_LANG = {
     "en": ("application/pdf", ".pdf"),
@@ -19,6 +22,27 @@ MIME_BY_LANG = {
 }
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(build):
+    """Write a derived table once per session to the shared folder and read it from there.
+
+    Entities, mentions, edges and vectors are stored tables of the data model; queries
+    over them start from files, not from the joins that made them.
+    """
+    @wraps(build)
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, f"{build.__module__}.{build.__name__}")
+        if key not in _STORED:
+            path = scratch_path(spark, build.__name__)
+            build(spark, sf).write.parquet(path)
+            _STORED[key] = path
+        return spark.read.parquet(_STORED[key])
+
+    return read
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -57,6 +81,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- V: vectors -----------------------------------------------------------
 
+@stored
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors with the text of their document; one chunk per document."""
     e = table(spark, sf, "embeddings")
@@ -68,6 +93,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("embedding"), "label", "text", "mime_type")
 
 
+@stored
 def topic_questions(spark: SparkSession, sf: str) -> DataFrame:
     """One question per owner and label: the centroid of the label's vectors, and a text."""
     v = vectors(spark, sf).select("owner_id", "label", F.posexplode("embedding").alias("i", "x"))
@@ -104,6 +130,7 @@ def topic_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
 
 # --- G: relational graph --------------------------------------------------
 
+@stored
 def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct (owner, customer, order, part, supplier) of the line items."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
@@ -122,6 +149,7 @@ def _plain(name: str) -> F.Column:
     return F.replace(F.col(name), F.lit("#"), F.lit("_"))
 
 
+@stored
 def graph_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as chunks of their customer's document."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -142,6 +170,7 @@ def graph_documents(spark: SparkSession, sf: str) -> DataFrame:
                     F.lit("application/pdf").alias("mime_type"), default_link(fid).alias("link"))
 
 
+@stored
 def part_mentions(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", F.lower(_part_name()).alias("norm"))
     li = order_lines(spark, sf).select("owner_id", "o_custkey", "o_orderkey", "l_partkey").distinct()
@@ -160,6 +189,7 @@ def supplier_mentions(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("__", "owner_id", "norm").alias("entity_id"))
 
 
+@stored
 def graph_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return part_mentions(spark, sf).unionByName(supplier_mentions(spark, sf))
 
@@ -185,6 +215,7 @@ def _entity(owner: str, name: F.Column, kind: str, text: F.Column) -> list[F.Col
             text.alias("description")]
 
 
+@stored
 def graph_entities(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     parts = order_lines(spark, sf).select("owner_id", "l_partkey").distinct().join(
@@ -213,6 +244,7 @@ def _edge(owner: str, a: F.Column, b: F.Column, kind: str, text: F.Column) -> li
             text.alias("description")]
 
 
+@stored
 def telling_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Customers and suppliers located in nations, nations in regions, parts made by suppliers."""
     n = table(spark, sf, "nation")
@@ -234,12 +266,14 @@ def telling_edges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Telling and co-occurrence edges between entities."""
     pairs = cooccurrence_edges(part_mentions(spark, sf)).drop("chunks")
     return telling_edges(spark, sf).unionByName(pairs)
 
 
+@stored
 def supplier_questions(spark: SparkSession, sf: str) -> DataFrame:
     """One question per supplier, about its first part and first customer, for its first owner."""
     li = order_lines(spark, sf)
@@ -255,6 +289,7 @@ def supplier_questions(spark: SparkSession, sf: str) -> DataFrame:
                  _part_name(), F.lit(" for "), _plain("c_name"), F.lit("?")).alias("question"))
 
 
+@stored
 def nation_membership(spark: SparkSession, sf: str) -> DataFrame:
     """Nations as communities: their customers and suppliers."""
     n = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("nation"))
@@ -268,6 +303,7 @@ def nation_membership(spark: SparkSession, sf: str) -> DataFrame:
         F.col("nation").alias("comm"))
 
 
+@stored
 def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Customer - supplier edges: who bought from whom, by order priority as relation text."""
     li = order_lines(spark, sf)

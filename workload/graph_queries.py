@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from corvane.operators import graph as gr
-from corvane.session import cut_lineage
 from workload import beds
 from workload.registry import query
 from workload.sqlparts import facts
 
 
+@beds.stored
 def linked(spark, sf):
     return gr.link_entities(beds.supplier_questions(spark, sf), beds.graph_entities(spark, sf))
 
@@ -73,8 +73,7 @@ def facts_text(spark, sf):
 
 def question_paths(spark, sf):
     entities = beds.graph_entities(spark, sf)
-    edges = cut_lineage(beds.graph_edges(spark, sf))
-    return gr.entity_paths(cut_lineage(linked(spark, sf)), entities, edges)
+    return gr.entity_paths(linked(spark, sf), entities, beds.graph_edges(spark, sf))
 
 
 @query("shortest_paths")
@@ -99,16 +98,16 @@ SIMPLE = ("select owner_id, src as a, dst as b from t_edges union select owner_i
 
 @query("path_hops", facts("t_edges members") + f", e as ({SIMPLE}), pairs as (select owner_id, "
        "min(node) as a, max(node) as b from members group by owner_id, comm having min(node) < "
-       "max(node)), walk as (select owner_id, a, b, a as at, 0 as hops from pairs union select "
+       "max(node)), walk as (select owner_id, a, b, a as pos, 0 as hops from pairs union select "
        "w.owner_id, w.a, w.b, e.b, w.hops + 1 from walk w join e on w.owner_id = e.owner_id and "
-       "w.at = e.a where w.hops < 2) select owner_id, a, b, min(hops) as hops from walk where at = b "
+       "w.pos = e.a where w.hops < 2) select owner_id, a, b, min(hops) as hops from walk where pos = b "
        "group by 1, 2, 3")
 def path_hops(spark, sf):
     """Distance between the first and the last member of each nation, over telling edges."""
     m = beds.nation_membership(spark, sf)
     pairs = m.groupBy("owner_id", "comm").agg(F.min("node").alias("a"), F.max("node").alias("b")
                                               ).filter("a < b").drop("comm")
-    return gr.shortest_paths(pairs, cut_lineage(beds.telling_edges(spark, sf))).select(
+    return gr.shortest_paths(pairs, beds.telling_edges(spark, sf)).select(
         "owner_id", "a", "b", "hops")
 
 
@@ -127,7 +126,7 @@ def neighbourhood(spark, sf):
     """Two hops around each region."""
     e = beds.graph_entities(spark, sf).filter("description = 'region'")
     return gr.neighbourhood(e.select("owner_id", "entity_id"),
-                            cut_lineage(beds.telling_edges(spark, sf)))
+                            beds.telling_edges(spark, sf))
 
 
 HOP1 = ("select l.owner_id, l.query_id, m.chunk_id, e.name, e.type, 1.0::double as score from linked "
@@ -135,12 +134,14 @@ HOP1 = ("select l.owner_id, l.query_id, m.chunk_id, e.name, e.type, 1.0::double
         "row_number() over (partition by owner_id, entity_id order by chunk_id, file_id) as rn from "
         "(select distinct * from g_mentions)) m on m.owner_id = e.owner_id and m.entity_id = "
         "e.entity_id where rn <= 20")
-HOP2 = ("select owner_id, query_id, chunk_id, 0.5::double as score from (select l.owner_id, "
-        "l.query_id, m.chunk_id, row_number() over (partition by l.owner_id, l.query_id, e.entity_id "
-        "order by b.other, b.rel_type, b.back, m.chunk_id, m.file_id) as rn from linked l join "
-        "g_entities e on l.owner_id = e.owner_id and l.name_norm = e.name_norm join both_ways b on "
-        "b.owner_id = e.owner_id and b.node = e.entity_id join (select distinct * from g_mentions) m "
-        "on m.owner_id = b.owner_id and m.entity_id = b.other) where rn <= 10")
+HOP2 = ("select owner_id, query_id, chunk_id, 0.5::double as score from (select n.owner_id, "
+        "n.query_id, m.chunk_id, row_number() over (partition by n.owner_id, n.query_id, n.entity_id "
+        "order by n.other, n.rel_type, n.back, m.chunk_id, m.file_id) as rn from near n join "
+        "(select distinct * from g_mentions) m on m.owner_id = n.owner_id and m.entity_id = n.other"
+        ") where rn <= 10")
+NEAR = (", near as materialized (select l.owner_id, l.query_id, e.entity_id, b.other, b.rel_type, "
+        "b.back from linked l join g_entities e on l.owner_id = e.owner_id and l.name_norm = "
+        "e.name_norm join both_ways b on b.owner_id = e.owner_id and b.node = e.entity_id) ")
 
 
 @query("graph_hop1", facts("linked g_mentions") + "select owner_id, query_id, chunk_id, count(*) as "
@@ -152,7 +153,7 @@ def graph_hop1(spark, sf):
                                                                 F.sum("score").alias("score"))
 
 
-@query("graph_hop2", facts("linked g_mentions both_ways") + "select owner_id, query_id, chunk_id, "
+@query("graph_hop2", facts("linked g_mentions both_ways") + NEAR + "select owner_id, query_id, chunk_id, "
        f"count(*) as n, sum(score) as score from ({HOP2}) group by 1, 2, 3")
 def graph_hop2(spark, sf):
     rows = gr.graph_hop2(linked(spark, sf), beds.graph_entities(spark, sf),
@@ -161,7 +162,7 @@ def graph_hop2(spark, sf):
                                                                 F.sum("score").alias("score"))
 
 
-@query("graph_retrieve", facts("linked g_mentions both_ways g_chunks") + f", h as (select owner_id, "
+@query("graph_retrieve", facts("linked g_mentions both_ways g_chunks") + NEAR + f", h as (select owner_id, "
        f"query_id, chunk_id, score from ({HOP1}) union all ({HOP2})), s as (select owner_id, "
        "query_id, chunk_id, sum(score) as raw from h group by 1, 2, 3), r as (select *, max(raw) "
        "over (partition by owner_id, query_id) as best, row_number() over (partition by owner_id, "

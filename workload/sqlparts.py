@@ -68,7 +68,7 @@ def facts(names: str) -> str:
             need.append(n)
             todo.extend(NEEDS.get(n, "").split())
     ordered = [n for n in BLOCKS if n in need]
-    return "with recursive " + ",\n".join(f"{n} as ({BLOCKS[n]})" for n in ordered) + "\n"
+    return "with recursive " + ",\n".join(f"{n} as materialized ({BLOCKS[n]})" for n in ordered) + "\n"
 
 
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
