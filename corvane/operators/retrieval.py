@@ -127,8 +127,10 @@ def _block_join_search(queries: DataFrame, vectors: DataFrame, k: int, query_row
     right = spread(vectors, "chunk_id", "vb", "nv", "qb", "nq").groupBy(*key)
 
     def pair(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        columns = ["owner_id", "query_id", "chunk_id", "cosine"]
         if asked.empty or stored.empty:
-            return pd.DataFrame({"owner_id": [], "query_id": [], "chunk_id": [], "cosine": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns}).astype(
+                {"cosine": float})
         ids = stored["chunk_id"].to_numpy(dtype=object)
         found = search(unit(asked["embedding"]), unit(stored["embedding"]), ids, k)
         return pd.DataFrame({
@@ -137,11 +139,16 @@ def _block_join_search(queries: DataFrame, vectors: DataFrame, k: int, query_row
                                   [len(s) for s, _ in found]),
             "chunk_id": np.concatenate([i for _, i in found]),
             "cosine": np.concatenate([s for s, _ in found]),
-        })
+        }).astype({c: object for c in columns[:3]})
 
     return left.cogroup(right).applyInPandas(pair, TOP_SCHEMA)
 
 
+def round4(value: Column) -> Column:
+    """Four digits; the last bits of a sum do not decide how a half is rounded."""
+    return F.round(F.round(value, 10), 4)
+
+
 def similarity(cosine: Column | str) -> Column:
     """Cosine distance in [0, 2] as a similarity in [0, 1], four digits."""
     c = F.col(cosine) if isinstance(cosine, str) else cosine
@@ -213,7 +220,7 @@ def hybrid_scores(candidates: DataFrame, vector_weight: float | None = None,
         lx.KEYWORD_WEIGHT if keyword_weight is None else keyword_weight)
     return with_keyword_score(candidates).withColumn(
         "combined_score",
-        F.round(F.lit(v) * F.col("vector_score") + F.lit(w) * F.col("keyword_score"), 4)
+        round4(F.lit(v) * F.col("vector_score") + F.lit(w) * F.col("keyword_score"))
     ).withColumn("keyword_score", F.round("keyword_score", 4))
 
 
@@ -264,7 +271,7 @@ def hybrid_fusion(vector: DataFrame, graph: DataFrame, params: DataFrame) -> Dat
     vs, gs = F.coalesce("v", F.lit(0.0)), F.coalesce("g", F.lit(0.0))
     combined = (
         F.when(~F.col("has_g"), vs).when(~F.col("has_v"), gs)
-        .otherwise(F.round(F.col("alpha") * vs + (1 - F.col("alpha")) * gs, 4))
+        .otherwise(round4(F.col("alpha") * vs + (1 - F.col("alpha")) * gs))
     )
     source = (
         F.when(F.col("g").isNull(), "vector").when(F.col("v").isNull(), "graph")

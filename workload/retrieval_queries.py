@@ -93,7 +93,7 @@ TG_GRAPH = (
     "graph_score, v.rank as v_rank, g_rank, case when g is null then 'vector' when v.rank is null "
     "then 'graph' else 'hybrid' end as source from retrieved10 v full join gr on v.owner_id = "
     "gr.owner_id and v.query_id = gr.query_id and v.chunk_id = gr.chunk_id), comb as (select *, "
-    "round(0.6 * vector_score + (1 - 0.6) * graph_score, 4) as combined_score from fused) "
+    "round(round(0.6 * vector_score + (1 - 0.6) * graph_score, 10), 4) as combined_score from fused) "
 )
 
 

@@ -193,7 +193,7 @@ BLOCKS: dict[str, str] = {
     "reranked": (
         "select owner_id, query_id, question, chunk_id, file_id, file_name, text, vec_rank, "
         "cosine, vector_score, round(kw, 4) as keyword_score, "
-        "round(0.8 * vector_score + 0.2 * kw, 4) as combined_score from scored"
+        "round(round(0.8 * vector_score + 0.2 * kw, 10), 4) as combined_score from scored"
     ),
     "retrieved": (
         "select * from (select *, row_number() over (partition by owner_id, query_id order by "
