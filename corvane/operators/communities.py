@@ -47,16 +47,17 @@ def _both_ways(graph: DataFrame) -> DataFrame:
         "owner_id", "e.src", "e.dst", "weight")
 
 
-def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame, max_rounds: int
-                 ) -> DataFrame:
+def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame, max_rounds: int,
+                 settled: float) -> DataFrame:
     """Move nodes to the neighbouring community of highest modularity gain.
 
     ``links`` are directed both ways without self loops, ``nodes`` carry their degree. Half of
     the nodes may move per round, so that two neighbours do not swap for ever; ties go to the
-    smallest community, and only a positive gain moves a node.
+    smallest community, and only a positive gain moves a node. A level ends when both halves
+    in turn move no more than the share ``settled`` of the nodes.
     """
     state = nodes.select("owner_id", "node", "degree", F.col("node").alias("comm"))
-    idle = 0
+    size, idle = nodes.count(), 0
     for turn in range(max_rounds):
         sizes = state.groupBy("owner_id", "comm").agg(F.sum("degree").alias("tot"))
         near = links.join(state.select("owner_id", F.col("node").alias("dst"), "comm"),
@@ -81,15 +82,16 @@ def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame, max_roun
         state = cut_lineage(best.select(
             "owner_id", "node", "degree", "home",
             F.when(moves, F.col("best.comm")).otherwise(F.col("home")).alias("comm")))
-        moved = not state.filter("comm <> home").isEmpty()
+        moved = state.filter("comm <> home").count()
         state = state.drop("home")
-        idle = 0 if moved else idle + 1
+        idle = idle + 1 if moved <= settled * size else 0
         if idle == 2:
             break
     return state.select("owner_id", "node", "comm")
 
 
-def louvain(graph: DataFrame, max_levels: int = 5, max_rounds: int = 12) -> DataFrame:
+def louvain(graph: DataFrame, max_levels: int = 5, max_rounds: int = 10,
+            settled: float = 0.002) -> DataFrame:
     """Communities by modularity: local moves, then communities become the nodes of a smaller
     graph, until a level changes nothing. Owners are independent but share every job.
     """
@@ -101,7 +103,7 @@ def louvain(graph: DataFrame, max_levels: int = 5, max_rounds: int = 12) -> Data
     members = level.select("owner_id", "node", F.col("node").alias("comm"))
     current = cut_lineage(graph.select("owner_id", "a", "b", "weight"))
     for _ in range(max_levels):
-        moved = _local_moves(_both_ways(current), level, totals, max_rounds)
+        moved = _local_moves(_both_ways(current), level, totals, max_rounds, settled)
         if moved.filter("node <> comm").isEmpty():
             break
         step = moved.select("owner_id", F.col("node").alias("comm"), F.col("comm").alias("up"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -50,12 +49,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that loops keep short plans and survive lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(shared_dir(spark), "lineage"))
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table of the shared folder and continue from the files.
+
+    Loops keep short plans and survive lost executors. Unlike a checkpoint, a written table
+    also has real sizes: the size estimate of a checkpoint is that of the plan behind it,
+    which grows with each join of a loop until planning takes longer than the work.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def within_rows(df: DataFrame, max_rows: int) -> bool:
