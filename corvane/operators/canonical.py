@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions import keys
 from corvane.functions import lexicon as lx
@@ -89,25 +90,27 @@ def token_sorted(norm: Column | str) -> Column:
     return F.array_join(F.array_sort(F.split(column, " ")), " ")
 
 
-@F.pandas_udf("double")
-def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+def indel_ratio(left: Column | str, right: Column | str) -> Column:
     """100 * (1 - insertions and deletions / total length), by a bit-parallel common subsequence."""
-    def ratio(a: str, b: str) -> float:
-        total = len(a) + len(b)
-        if not total:
-            return 100.0
-        at = {}
-        for i, ch in enumerate(a):
-            at[ch] = at.get(ch, 0) | (1 << i)
-        full = (1 << len(a)) - 1
-        rows = full
-        for ch in b:
-            hit = rows & at.get(ch, 0)
-            rows = ((rows + hit) | (rows - hit)) & full
-        common = len(a) - rows.bit_count()
-        return 100.0 * 2 * common / total
-
-    return pd.Series([ratio(a, b) for a, b in zip(left, right)], dtype="float64")
+    @F.pandas_udf(T.DoubleType())
+    def ratios(a_texts: pd.Series, b_texts: pd.Series) -> pd.Series:
+        def ratio(a: str, b: str) -> float:
+            total = len(a) + len(b)
+            if not total:
+                return 100.0
+            at = {}
+            for i, ch in enumerate(a):
+                at[ch] = at.get(ch, 0) | (1 << i)
+            full = (1 << len(a)) - 1
+            rows = full
+            for ch in b:
+                hit = rows & at.get(ch, 0)
+                rows = ((rows + hit) | (rows - hit)) & full
+            return 200.0 * (len(a) - rows.bit_count()) / total
+
+        return pd.Series([ratio(a, b) for a, b in zip(a_texts, b_texts)], dtype="float64")
+
+    return ratios(left, right)
 
 
 def similar_pairs(names: DataFrame, block: list[str], threshold: int | None = None) -> DataFrame:
