@@ -29,7 +29,7 @@ def telling_graph(spark, sf):
 
 @query("louvain")
 def louvain(spark, sf):
-    return cm.louvain(telling_graph(spark, sf))
+    return cm.louvain(telling_graph(spark, sf), max_levels=3, max_rounds=6)
 
 
 @query("modularity", facts("t_edges members") + ", g as (select owner_id, least(src, dst) as a, "
@@ -74,7 +74,7 @@ def merge_small_communities(spark, sf):
 def detect_communities(spark, sf):
     """Detection from the graph to stored communities with ids and sizes."""
     g = telling_graph(spark, sf)
-    merged = cm.merge_small_communities(cm.louvain(g), g)
+    merged = cm.merge_small_communities(cm.louvain(g, max_levels=3, max_rounds=6), g)
     return cm.memberships(merged)[0].select("owner_id", "community_id", "member_count")
 
 
@@ -93,7 +93,7 @@ INNER = ("select g.owner_id, x.comm, a, b, weight, rel_type, description from tr
 
 
 @query("community_text", facts("trade_graph members g_entities") + f", i as ({INNER}), n as (select "
-       "owner_id, comm, string_agg('- ' || name || ' [' || type || ']' || case when description <> '' "
+       "m.owner_id, comm, string_agg('- ' || name || ' [' || type || ']' || case when description <> '' "
        "then ': ' || description else '' end, chr(10) order by rn) as entities_block from (select *, "
        "row_number() over (partition by owner_id, comm order by node) as rn from members) m join "
        "g_entities e on m.owner_id = e.owner_id and m.node = e.entity_id where rn <= 15 group by "
