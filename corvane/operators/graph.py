@@ -246,7 +246,7 @@ def question_pairs(linked: DataFrame, most: int = 6) -> DataFrame:
     return both.filter(F.col("a.place") < F.col("b.place")).select(
         "owner_id", "query_id", F.col("a.name_norm").alias("norm_a"),
         F.col("b.name_norm").alias("norm_b"),
-        F.struct("a.place", "b.place").alias("pair_order"))
+        F.struct(F.col("a.place").alias("pa"), F.col("b.place").alias("pb")).alias("pair_order"))
 
 
 def _search(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
