@@ -34,6 +34,7 @@ def main() -> None:
             print(f"{name} failed: {str(error)[:200]}", file=sys.stderr)
             continue
         times[name] = round(time.perf_counter() - begin, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_wall_time", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": os.path.basename(folder)}))
     spark.stop()
