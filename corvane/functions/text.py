@@ -24,11 +24,14 @@ def _col(c: Column | str) -> Column:
 
 
 @lru_cache(maxsize=None)
-def _letter_table(form: str, last: int) -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Letters whose decomposition differs: one-to-one pairs for ``translate`` and the rest."""
+def _letter_table(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Letters whose decomposition differs: one-to-one pairs for ``translate`` and the rest.
+
+    Hangul syllables are left out: they decompose by a rule.
+    """
     source, target, longer = [], [], []
-    for code in range(0xA0, last):
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7B0:
+    for code in range(0xA0, 0x30000):
+        if 0xD800 <= code < 0xE000 or HANGUL[0] <= code <= HANGUL[1]:
             continue
         letter = chr(code)
         plain = "".join(
@@ -39,14 +42,24 @@ def _letter_table(form: str, last: int) -> tuple[str, str, tuple[tuple[str, str]
         if len(plain) == 1:
             source.append(letter)
             target.append(plain)
-        elif form == "NFKD" and code in _COMMON_EXPANSIONS:
+        else:
             longer.append((letter, plain))
     return "".join(source), "".join(target), tuple(longer)
 
 
-# Compatibility characters that expand to several letters and do occur in names:
-# typographic ligatures, the ellipsis, the trade mark sign and simple fractions.
-_COMMON_EXPANSIONS = {*range(0xFB00, 0xFB07), 0x2026, 0x2122, 0xBC, 0xBD, 0xBE}
+#: First and last Hangul syllable, and the first letters of the three parts of one.
+HANGUL = (0xAC00, 0xD7A3)
+HANGUL_PARTS = ((0x1100, 19), (0x1161, 21), (0x11A7, 28))
+
+
+def _hangul(letter: Column) -> Column:
+    """The two or three letters of a Hangul syllable."""
+    at = F.ascii(letter) - HANGUL[0]
+    parts = [F.array(*[F.lit(chr(first + i) if first + i != 0x11A7 else "") for i in range(n)])
+             for first, n in HANGUL_PARTS]
+    return F.concat(F.element_at(parts[0], (at / 588).cast("int") + 1),
+                    F.element_at(parts[1], (F.pmod(at, F.lit(588)) / 28).cast("int") + 1),
+                    F.element_at(parts[2], F.pmod(at, F.lit(28)).cast("int") + 1))
 
 
 def let(value: Column, body) -> Column:
@@ -60,17 +73,33 @@ def let(value: Column, body) -> Column:
 
 def strip_accents(c: Column | str) -> Column:
     """Drop combining marks; ``đ`` has no decomposition and stays."""
-    source, target, _ = _letter_table("NFD", 0x2000)
+    source, target, _ = _letter_table("NFD")
     return F.regexp_replace(F.translate(_col(c), source, target), r"\p{Mn}+", "")
 
 
 def fold_compat(c: Column | str) -> Column:
-    """Compatibility folding without combining marks (full-width forms, ligatures, superscripts)."""
-    source, target, longer = _letter_table("NFKD", 0xFFF0)
+    """Compatibility folding without combining marks (full-width forms, ligatures, superscripts).
+
+    One-to-one letters are translated. Texts with a letter that becomes several are also
+    looked up letter by letter; they are rare, so the lookup table is a literal.
+    """
+    source, target, longer = _letter_table("NFKD")
     out = F.translate(_col(c), source, target)
-    for letter, plain in longer:
-        out = F.replace(out, F.lit(letter), F.lit(plain))
-    return F.regexp_replace(out, r"\p{Mn}+", "")
+    table = F.create_map(*[F.lit(x) for pair in longer for x in pair])
+    syllable = f"[{chr(HANGUL[0])}-{chr(HANGUL[1])}]"
+    several = "[" + "".join(letter for letter, _ in longer) + "]"
+
+    def expand(letter: Column) -> Column:
+        return F.when(letter.rlike(syllable), _hangul(letter)).when(
+            letter.rlike(several), F.element_at(table, letter)).otherwise(letter)
+
+    def spell(text: Column) -> Column:
+        letters = F.transform(F.sequence(F.lit(1), F.length(text)),
+                              lambda i: expand(F.substring(text, i, F.lit(1))))
+        return F.when(text.rlike(several) | text.rlike(syllable), F.array_join(letters, "")
+                      ).otherwise(text)
+
+    return F.regexp_replace(let(out, spell), r"\p{Mn}+", "")
 
 
 def trim_blank(c: Column | str) -> Column:

@@ -19,7 +19,7 @@ from corvane.functions import lexicon as lx
 from corvane.functions.text import (
     entity_label, let, normalize_name, relation_type, strip_title, trim_blank, type_priority,
 )
-from corvane.session import cut_lineage
+from corvane.session import broadcast_if_small, cut_lineage
 
 
 def is_blocked(name: Column, norm: Column, label: Column) -> Column:
@@ -159,12 +159,12 @@ def similar_pairs(names: DataFrame, block: list[str], threshold: int | None = No
         *block, "id_a", "id_b", F.bround("ratio", 0).cast("int").alias("score"))
 
 
-def fuzzy_leaders(names: DataFrame, block: list[str], threshold: int | None = None,
-                  max_rounds: int = 100) -> DataFrame:
+def fuzzy_leaders(names: DataFrame, block: list[str], threshold: int | None = None) -> DataFrame:
     """Map each name to the most similar earlier name that stands for itself.
 
     A name stands for itself when no earlier one of its block that stands for itself is
-    similar. Each round settles the names whose earlier neighbours are all settled.
+    similar. Each round settles the names whose earlier neighbours are all settled; the first
+    open name of a block always is such a name, so the rounds end.
     Output rows are ``(block.., id, leader_id, score)``; a leader points at itself.
     """
     pairs = cut_lineage(similar_pairs(names, block, threshold))
@@ -174,7 +174,7 @@ def fuzzy_leaders(names: DataFrame, block: list[str], threshold: int | None = No
         names.join(pairs.select(*block, F.col("id_b").alias("id")).distinct(), key, "left_anti")
         .select(*key, F.lit(True).alias("leads")))
     open_pairs = pairs
-    for _ in range(max_rounds):
+    while True:
         state = open_pairs.join(
             settled.withColumnRenamed("id", "id_a"), [*block, "id_a"], "left")
         verdict = state.groupBy(*block, F.col("id_b").alias("id")).agg(
@@ -187,8 +187,6 @@ def fuzzy_leaders(names: DataFrame, block: list[str], threshold: int | None = No
         settled = cut_lineage(settled.unionByName(fresh))
         open_pairs = open_pairs.join(fresh.withColumnRenamed("id", "id_b"),
                                      [*block, "id_b"], "left_anti")
-    else:
-        raise RuntimeError(f"names still unsettled after {max_rounds} rounds")
     leaders = settled.filter("leads").select(*key)
     order = names.select(*block, F.col("id").alias("id_a"), "pos")
     best = (
@@ -272,11 +270,15 @@ def stable_types(resolved: DataFrame, scope: list[str] | None = None) -> DataFra
     return resolved.join(types, [*scope, "name_norm"])
 
 
-def rewrite_relations(relations: DataFrame, resolved: DataFrame) -> DataFrame:
+def rewrite_relations(relations: DataFrame, resolved: DataFrame,
+                      canonical: DataFrame | None = None,
+                      key_vectors: DataFrame | None = None) -> DataFrame:
     """Relations between canonical names; blanks, unknown ends and self loops are dropped.
 
     Ends are looked up among the names of the same chunk as written, then in lower case;
-    of several mentions the last one counts.
+    of several mentions the last one counts. A relation outside the ontology becomes the nearest
+    type of it by vector (``canonical`` and ``key_vectors``, both ``(rel_type, embedding)``), or
+    RELATED_TO without vectors.
     """
     where = ["owner_id", "file_id", "chunk_id"]
     name = trim_blank("raw_name")
@@ -296,7 +298,7 @@ def rewrite_relations(relations: DataFrame, resolved: DataFrame) -> DataFrame:
         *where, "rel_ord", "relation_raw", "description").agg(
         F.expr("min_by(hit, turn) filter (where side = 'from')").alias("a"),
         F.expr("min_by(hit, turn) filter (where side = 'to')").alias("b"))
-    return found.filter(
+    rows = found.filter(
         (F.col("a.name") != F.col("b.name")) & (F.col("a.name_norm") != F.col("b.name_norm"))
     ).select(
         *where, "rel_ord",
@@ -304,6 +306,22 @@ def rewrite_relations(relations: DataFrame, resolved: DataFrame) -> DataFrame:
         keys.entity_id("owner_id", "b.name_norm").alias("dst"),
         relation_type("relation_raw").alias("rel_type"),
         F.coalesce("description", F.lit("")).alias("description"))
+    return canonical_relations(rows, canonical, key_vectors)
+
+
+def canonical_relations(rows: DataFrame, canonical: DataFrame | None = None,
+                        key_vectors: DataFrame | None = None) -> DataFrame:
+    """``rel_type`` limited to the ontology; each distinct unknown type is compared once."""
+    known = F.col("rel_type").isin(lx.RELATION_TYPES)
+    if canonical is None or key_vectors is None:
+        return rows.withColumn("rel_type", F.when(known, F.col("rel_type")).otherwise("RELATED_TO"))
+    unknown = rows.filter(~known).select("rel_type").distinct().join(
+        key_vectors.dropDuplicates(["rel_type"]), "rel_type")
+    nearest = nearest_relation(unknown.withColumnRenamed("rel_type", "key"), canonical).select(
+        F.col("key").alias("_key"), F.col("rel_type").alias("_near"))
+    mapped = rows.join(broadcast_if_small(nearest), F.col("rel_type") == F.col("_key"), "left")
+    return mapped.withColumn("rel_type", F.when(known, F.col("rel_type")).otherwise(
+        F.coalesce("_near", F.lit("RELATED_TO")))).drop("_key", "_near")
 
 
 def merge_entities(current: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from corvane.functions import lexicon as lx
 from corvane.functions.text import (
     normalize_name, normalize_text, relation_type, tokenize, trim_blank,
 )
-from corvane.operators.graph import first_per
-from corvane.session import cut_lineage
+from corvane.operators.canonical import alias_table, is_blocked, resolve_alias
+from corvane.operators.graph import first_per, largest_limit
+from corvane.session import cut_lineage, drop_steps
 
 
 def edge_weight(rel_type: Column | str) -> Column:
@@ -47,83 +48,120 @@ def _both_ways(graph: DataFrame) -> DataFrame:
         "owner_id", "e.src", "e.dst", "weight")
 
 
-def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame, max_rounds: int,
-                 settled: float) -> DataFrame:
-    """Move nodes to the neighbouring community of highest modularity gain.
+def _best_moves(links: DataFrame, state: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per node: the neighbouring community of highest gain, and the gain of staying."""
+    sizes = state.groupBy("owner_id", "comm").agg(F.sum("degree").alias("tot"))
+    near = links.join(state.select("owner_id", F.col("node").alias("dst"), "comm"),
+                      ["owner_id", "dst"]).groupBy(
+        "owner_id", F.col("src").alias("node"), "comm").agg(F.sum("weight").alias("w"))
+    own = state.select("owner_id", "node", "comm", F.lit(0.0).alias("w"))
+    options = near.unionByName(own).groupBy("owner_id", "node", "comm").agg(
+        F.sum("w").alias("w"))
+    scored = (
+        options.join(sizes, ["owner_id", "comm"])
+        .join(state.select("owner_id", "node", "degree", F.col("comm").alias("home")),
+              ["owner_id", "node"])
+        .join(totals, "owner_id")
+    )
+    rest = F.col("tot") - F.when(F.col("comm") == F.col("home"), F.col("degree")).otherwise(0.0)
+    gain = F.col("w") - rest * F.col("degree") / F.col("two_m")
+    return scored.withColumn("gain", gain).groupBy("owner_id", "node", "degree", "home").agg(
+        F.min(F.struct((-F.col("gain")).alias("minus"), "comm")).alias("best"),
+        F.max(F.when(F.col("comm") == F.col("home"), F.col("gain"))).alias("stay"))
+
+
+def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame) -> DataFrame:
+    """Move nodes to the neighbouring community of highest modularity gain until none gains.
 
-    ``links`` are directed both ways without self loops, ``nodes`` carry their degree. Half of
-    the nodes may move per round, so that two neighbours do not swap for ever; ties go to the
-    smallest community, and only a positive gain moves a node. A level ends when both halves
-    in turn move no more than the share ``settled`` of the nodes.
+    ``links`` are directed both ways without self loops, ``nodes`` carry degree and comm. A sweep
+    gives every node one turn; in a turn a part of the nodes, chosen by a hash, moves at once, so
+    that two neighbours do not swap for ever. Every ten sweeps the parts get smaller; a node that
+    moves alone raises the modularity, so the sweeps end. Ties go to the smallest community, and
+    only a positive gain moves a node.
     """
-    state = nodes.select("owner_id", "node", "degree", F.col("node").alias("comm"))
-    size, idle = nodes.count(), 0
-    for turn in range(max_rounds):
-        sizes = state.groupBy("owner_id", "comm").agg(F.sum("degree").alias("tot"))
-        near = links.join(state.select("owner_id", F.col("node").alias("dst"), "comm"),
-                          ["owner_id", "dst"]).groupBy(
-            "owner_id", F.col("src").alias("node"), "comm").agg(F.sum("weight").alias("w"))
-        own = state.select("owner_id", "node", "comm", F.lit(0.0).alias("w"))
-        options = near.unionByName(own).groupBy("owner_id", "node", "comm").agg(
-            F.sum("w").alias("w"))
-        scored = (
-            options.join(sizes, ["owner_id", "comm"])
-            .join(state.select("owner_id", "node", "degree", F.col("comm").alias("home")),
-                  ["owner_id", "node"])
-            .join(totals, "owner_id")
-        )
-        rest = F.col("tot") - F.when(F.col("comm") == F.col("home"), F.col("degree")).otherwise(0.0)
-        gain = F.col("w") - rest * F.col("degree") / F.col("two_m")
-        best = scored.withColumn("gain", gain).groupBy("owner_id", "node", "degree", "home").agg(
-            F.min(F.struct((-F.col("gain")).alias("minus"), "comm")).alias("best"),
-            F.max(F.when(F.col("comm") == F.col("home"), F.col("gain"))).alias("stay"))
-        may_move = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    state = cut_lineage(nodes.select("owner_id", "node", "degree", "comm"))
+    sweep = moved_in_sweep = turn = 0
+    while True:
+        parts = 2 + sweep // 10
+        best = _best_moves(links, state, totals)
+        may_move = F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(parts)) == turn
         moves = may_move & (-F.col("best.minus") > F.col("stay") + 1e-9)
-        state = cut_lineage(best.select(
+        after = cut_lineage(best.select(
             "owner_id", "node", "degree", "home",
             F.when(moves, F.col("best.comm")).otherwise(F.col("home")).alias("comm")))
-        moved = state.filter("comm <> home").count()
-        state = state.drop("home")
-        idle = idle + 1 if moved <= settled * size else 0
-        if idle == 2:
-            break
-    return state.select("owner_id", "node", "comm")
-
-
-def louvain(graph: DataFrame, max_levels: int = 5, max_rounds: int = 10,
-            settled: float = 0.002) -> DataFrame:
-    """Communities by modularity: local moves, then communities become the nodes of a smaller
-    graph, until a level changes nothing. Owners are independent but share every job.
+        moved_in_sweep += after.filter("comm <> home").count()
+        drop_steps(state)
+        state = after.drop("home")
+        turn += 1
+        if turn == parts:
+            if not moved_in_sweep:
+                return state.select("owner_id", "node", "comm")
+            sweep, turn, moved_in_sweep = sweep + 1, 0, 0
+
+
+def louvain(graph: DataFrame) -> DataFrame:
+    """Communities by modularity: single nodes move, then whole communities, and again, until
+    neither a node nor a community gains by joining another. Owners are independent but share
+    every job.
     """
     links = _both_ways(graph)
     totals = cut_lineage(links.groupBy("owner_id").agg(F.sum("weight").alias("two_m")))
-    degrees = links.groupBy("owner_id", F.col("src").alias("node")).agg(
-        F.sum("weight").alias("degree"))
-    level = cut_lineage(degrees)
-    members = level.select("owner_id", "node", F.col("node").alias("comm"))
-    current = cut_lineage(graph.select("owner_id", "a", "b", "weight"))
-    for _ in range(max_levels):
-        moved = _local_moves(_both_ways(current), level, totals, max_rounds, settled)
-        if moved.filter("node <> comm").isEmpty():
-            break
-        step = moved.select("owner_id", F.col("node").alias("comm"), F.col("comm").alias("up"))
-        members = cut_lineage(members.join(step, ["owner_id", "comm"]).select(
-            "owner_id", "node", F.col("up").alias("comm")))
-        level = cut_lineage(
-            level.join(moved, ["owner_id", "node"]).groupBy(
-                "owner_id", F.col("comm").alias("node")).agg(F.sum("degree").alias("degree")))
-        up = moved.select("owner_id", "node", "comm")
+    degrees = cut_lineage(links.groupBy("owner_id", F.col("src").alias("node")).agg(
+        F.sum("weight").alias("degree")))
+    members = cut_lineage(degrees.select("owner_id", "node", F.col("node").alias("comm")))
+    while True:
+        moved = _local_moves(links, degrees.join(members, ["owner_id", "node"]), totals)
+        before, members = members, _joined_up(graph, degrees, moved, totals)
+        same = before.join(members.withColumnRenamed("comm", "now"), ["owner_id", "node"])
+        pairs = same.select("owner_id", "comm", "now").distinct()
+        # a partition is the same when its communities and those before are one to one
+        done = pairs.count() == before.select("owner_id", "comm").distinct().count() == (
+            members.select("owner_id", "comm").distinct().count())
+        drop_steps(before, moved)
+        if done:
+            drop_steps(totals, degrees)
+            return members
+
+
+def _joined_up(graph: DataFrame, degrees: DataFrame, members: DataFrame, totals: DataFrame
+               ) -> DataFrame:
+    """Let communities move as the nodes of a smaller graph, level by level."""
+    members = cut_lineage(members)
+    while True:
+        up = members.select("owner_id", "node", "comm")
         current = cut_lineage(
-            current.join(up.select("owner_id", F.col("node").alias("a"), F.col("comm").alias("x")),
-                         ["owner_id", "a"])
+            graph.select("owner_id", "a", "b", "weight")
+            .join(up.select("owner_id", F.col("node").alias("a"), F.col("comm").alias("x")),
+                  ["owner_id", "a"])
             .join(up.select("owner_id", F.col("node").alias("b"), F.col("comm").alias("y")),
                   ["owner_id", "b"])
             .filter("x <> y")
             .groupBy("owner_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .agg(F.sum("weight").alias("weight")))
-        if current.isEmpty():
-            break
-    return members
+        nodes = degrees.join(members, ["owner_id", "node"]).groupBy(
+            "owner_id", F.col("comm").alias("node")).agg(F.sum("degree").alias("degree"))
+        moved = _local_moves(_both_ways(current), nodes.withColumn("comm", F.col("node")), totals)
+        idle = moved.filter("node <> comm").isEmpty()
+        if not idle:
+            step = moved.select("owner_id", F.col("node").alias("comm"), F.col("comm").alias("up"))
+            before, members = members, cut_lineage(members.join(step, ["owner_id", "comm"]).select(
+                "owner_id", "node", F.col("up").alias("comm")))
+            drop_steps(before)
+        drop_steps(current, moved)
+        if idle:
+            return members
+
+
+def gaining_nodes(graph: DataFrame, membership: DataFrame) -> DataFrame:
+    """Per owner: nodes placed, and nodes that would gain modularity by moving to a neighbour."""
+    links = _both_ways(graph)
+    totals = links.groupBy("owner_id").agg(F.sum("weight").alias("two_m"))
+    state = links.groupBy("owner_id", F.col("src").alias("node")).agg(
+        F.sum("weight").alias("degree")).join(membership, ["owner_id", "node"])
+    best = _best_moves(links, state, totals)
+    gains = -F.col("best.minus") > F.col("stay") + 1e-9
+    return best.groupBy("owner_id").agg(F.count("*").alias("nodes"),
+                                        F.count(F.when(gains, 1)).alias("gaining"))
 
 
 def modularity(graph: DataFrame, membership: DataFrame) -> DataFrame:
@@ -146,17 +184,18 @@ def modularity(graph: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def merge_small_communities(membership: DataFrame, graph: DataFrame,
-                            min_size: int | None = None, max_rounds: int = 50) -> DataFrame:
+                            min_size: int | None = None) -> DataFrame:
     """Merge communities below the minimum into the one at their single strongest cross edge.
 
     Smaller ones first, ties to the smaller id; a community without cross edges is dropped. A
     round moves every small community whose target stays where it is, so a chain needs a few
-    rounds and a pair of small ones cannot swap.
+    rounds and a pair of small ones cannot swap. Each round removes a community, so they end.
     """
     min_size = lx.COMMUNITY_MIN_SIZE if min_size is None else min_size
     members = membership.select("owner_id", "node", "comm")
     both = _both_ways(graph)
-    for _ in range(max_rounds):
+    written = None
+    while True:
         sizes = members.groupBy("owner_id", "comm").agg(F.count("*").alias("size"))
         small = cut_lineage(sizes.filter(F.col("size") < min_size))
         if small.isEmpty():
@@ -182,7 +221,8 @@ def merge_small_communities(membership: DataFrame, graph: DataFrame,
             members.join(lonely, ["owner_id", "comm"], "left_anti")
             .join(moves, ["owner_id", "comm"], "left")
             .select("owner_id", "node", F.coalesce("target", "comm").alias("comm")))
-    raise RuntimeError(f"small communities left after {max_rounds} rounds")
+        drop_steps(small, eager, written)
+        written = members
 
 
 # --- Bundles and texts ----------------------------------------------------
@@ -303,10 +343,13 @@ def list_communities(communities: DataFrame, limit: int = 50) -> DataFrame:
 
 def relevant_communities(questions: DataFrame, linked: DataFrame, communities: DataFrame,
                          membership: DataFrame, entities: DataFrame,
-                         limit: int | Column = 2) -> DataFrame:
+                         limit: int | Column = 2, aliases: DataFrame | None = None) -> DataFrame:
     """Best communities per question: 3 per linked entity, 1 per question word in the summary,
     0.1 per member; the largest ones where nothing matches.
 
+    A question without linked entities names them by its words, which pass the block list and
+    the aliases (``aliases``, by default the fixed list) as any name of type OTHER does.
+
     ``communities`` holds ``(owner_id, comm, member_count, summary)``. Entities and words meet
     communities by equality: each distinct word of the summaries is cut once into the pieces
     a question word can equal. Size alone never has to be scored: among communities without a match
@@ -318,9 +361,13 @@ def relevant_communities(questions: DataFrame, linked: DataFrame, communities: D
                              .alias("word"))
     # A question without linked entities is matched by its own words.
     own = words.join(linked.select(*q).distinct(), q, "left_anti").select(
-        *q, normalize_name("word").alias("name_norm"))
-    linked = linked.select(*q, "name_norm").unionByName(own).filter(
-        (F.col("name_norm") != "") & ~F.col("name_norm").isin(lx.PRONOUNS)).distinct()
+        *q, "word", normalize_name("word").alias("clean_norm")).filter(
+        ~is_blocked(F.col("word"), F.col("clean_norm"), F.lit("OTHER")))
+    if aliases is None:
+        aliases = alias_table(questions.sparkSession)
+    own = resolve_alias(own, aliases).select(
+        *q, F.coalesce(normalize_name("alias_name"), "clean_norm").alias("name_norm"))
+    linked = linked.select(*q, "name_norm").unionByName(own).filter("name_norm <> ''").distinct()
     norms = entities.select("owner_id", F.col("entity_id").alias("node"), "name_norm")
     member_norms = membership.join(norms, ["owner_id", "node"]).select(
         "owner_id", "comm", "name_norm").distinct()
@@ -350,7 +397,8 @@ def relevant_communities(questions: DataFrame, linked: DataFrame, communities: D
     scored = matched.withColumn("score", F.round(
         3.0 * F.col("overlap") + F.col("hits") + 0.1 * F.col("member_count"), 3))
     known = linked.select(*q).distinct().withColumn("known", F.lit(True))
-    largest = first_per(size, ["owner_id"], [F.desc("member_count"), "comm"], 2, "size_no")
+    largest = first_per(size, ["owner_id"], [F.desc("member_count"), "comm"],
+                        largest_limit(limit, questions), "size_no")
     # Without linked entities unmatched communities compete by size; else they are a fallback.
     silent = questions.select(*q).join(known, q, "left").join(largest, "owner_id").join(
         matched.select(*q, "comm"), [*q, "comm"], "left_anti")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +16,9 @@ ENTITY_JSON = ("array<struct<name:string,type:string,label:string,subtype:string
                "description:string>>")
 RELATION_JSON = ("array<struct<`from`:string,source:string,`to`:string,target:string,"
                  "relation:string,type:string,description:string>>")
-BATCH_JSON = (f"struct<chunks:array<struct<chunk_index:int,entities:{ENTITY_JSON},"
-              f"relations:{RELATION_JSON}>>>")
-SINGLE_JSON = f"struct<entities:{ENTITY_JSON},relations:{RELATION_JSON}>"
+#: Output for several chunks, or for a single one without its index.
+OUTPUT_JSON = (f"struct<chunks:array<struct<chunk_index:int,entities:{ENTITY_JSON},"
+               f"relations:{RELATION_JSON}>>,entities:{ENTITY_JSON},relations:{RELATION_JSON}>")
 
 
 def unfence(c: Column | str) -> Column:
@@ -37,12 +38,20 @@ def parse_extraction(outputs: DataFrame, expected: DataFrame | None = None
                      ) -> tuple[DataFrame, DataFrame]:
     """Entities and relations of model outputs ``(owner_id, file_id, output)``.
 
+    An output lists chunks with their index, or holds the entities and relations of one chunk;
+    that chunk is the first of ``chunk_indexes`` (as ``model_batches`` gives), else number 0.
     Broken JSON counts as empty. With ``expected`` (owner, file, chunk_index) other chunk
     indexes are dropped. Synonym keys are accepted and defaults filled in.
     """
-    parsed = outputs.select(
-        "owner_id", "file_id", F.from_json(unfence("output"), BATCH_JSON).alias("j"))
-    chunks = parsed.select("owner_id", "file_id", F.explode("j.chunks").alias("c")).select(
+    first = F.try_element_at("chunk_indexes", F.lit(1)).cast("int") if (
+        "chunk_indexes" in outputs.columns) else F.lit(0)
+    parsed = outputs.select("owner_id", "file_id", first.alias("only"),
+                            F.from_json(unfence("output"), OUTPUT_JSON).alias("j"))
+    single = F.struct(F.col("only").alias("chunk_index"), F.col("j.entities").alias("entities"),
+                      F.col("j.relations").alias("relations"))
+    listed = F.when(F.col("j.chunks").isNotNull(), F.col("j.chunks")).when(
+        F.coalesce(F.size("j.entities"), F.size("j.relations")).isNotNull(), F.array(single))
+    chunks = parsed.select("owner_id", "file_id", F.explode(listed).alias("c")).select(
         "owner_id", "file_id", "c.chunk_index", "c.entities", "c.relations")
     if expected is not None:
         chunks = chunks.join(expected.select("owner_id", "file_id", "chunk_index").distinct(),
@@ -100,6 +109,30 @@ def extract_mentions(chunks: DataFrame, gazetteer: DataFrame | None = None,
         "*", F.lit("").alias("subtype"), F.lit("").alias("description"))
 
 
+def comention_relations(chunks: DataFrame, mentions: DataFrame, reach: int = 8) -> DataFrame:
+    """Raw relations between names of one sentence, found without a model.
+
+    Names are linked with the next ``reach`` names behind them in the sentence, in text order, so
+    a sentence that lists very many names gives rows in proportion to them. Rows are those of
+    ``parse_extraction`` with ``chunk_id``: both names, RELATED_TO, and the sentence.
+    """
+    base = ["owner_id", "file_id", "chunk_id"]
+    pieces = F.split("text", r"(?U)(?<=[.!?])\s+|\n")
+    told = chunks.select(*base, F.posexplode(pieces).alias("sentence_no", "sentence"))
+    names = mentions.select(*base, "raw_name").distinct()
+    here = told.join(names, base).withColumn("at", F.instr("sentence", F.col("raw_name"))).filter(
+        "at > 0")
+    place = W.partitionBy(*base, "sentence_no").orderBy("at", "raw_name")
+    after = F.collect_list("raw_name").over(place.rowsBetween(1, reach))
+    pairs = here.withColumn("after", after).select(
+        *base, "sentence_no", "at", "sentence", F.col("raw_name").alias("from_raw"),
+        F.explode("after").alias("to_raw"))
+    order = F.row_number().over(W.partitionBy(*base).orderBy("sentence_no", "at", "from_raw", "to_raw"))
+    return pairs.select(*base, (order - 1).alias("rel_ord"), "from_raw", "to_raw",
+                        F.lit("RELATED_TO").alias("relation_raw"),
+                        F.substring("sentence", 1, 200).alias("description"))
+
+
 def word_runs(normalized: Column, max_words: int) -> Column:
     """Distinct runs of one to ``max_words`` neighbouring words."""
     def of_length(words: Column, n: int) -> Column:

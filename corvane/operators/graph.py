@@ -150,20 +150,22 @@ def link_entities(questions: DataFrame, entities: DataFrame, limit: int = 20,
 # --- Facts ----------------------------------------------------------------
 
 def graph_facts(linked: DataFrame, entities: DataFrame, edges: DataFrame, mentions: DataFrame,
-                documents: DataFrame, limit: int | Column = 40, most: int = 40) -> DataFrame:
+                documents: DataFrame, limit: int | Column = 40) -> DataFrame:
     """Fact rows of the linked entities: entity, neighbour and relation, chunk and document.
 
     Rows pair each relation of an entity with each chunk that mentions it, in the order of
-    place, neighbour, type, direction and chunk; ``limit`` rows are kept per question. At
-    most ``most`` relations and chunks of one entity can be among them, so both lists are
-    cut to that before they are paired.
+    place, neighbour, type, direction and chunk; ``limit`` rows (a number, or the column
+    ``row_limit`` of ``linked``) are kept per question. At most as many relations and chunks of
+    one entity can be among them, so both lists are cut to the largest limit, and a pair is
+    made only if it can be among the first rows of its entity.
     """
+    per_question = "row_limit" in linked.columns
+    most = largest_limit(F.col("row_limit") if per_question else limit, linked)
     ent = entities.select("owner_id", "entity_id", "name_norm", "name", "type",
                           F.substring(F.coalesce("description", F.lit("")), 1, 120)
                           .alias("description"))
     start = linked.select("owner_id", "query_id", "name_norm", "place",
-                          *(["row_limit"] if "row_limit" in linked.columns else [])
-                          ).join(ent, ["owner_id", "name_norm"])
+                          *(["row_limit"] if per_question else [])).join(ent, ["owner_id", "name_norm"])
     wanted = start.select("owner_id", "entity_id").distinct()
     names = entities.select("owner_id", F.col("entity_id").alias("other"),
                             F.col("name").alias("related_name"),
@@ -182,10 +184,16 @@ def graph_facts(linked: DataFrame, entities: DataFrame, edges: DataFrame, mentio
         ["owner_id", "entity_id"], ["chunk_id", "file_id"], most, "ref_no")
     docs = documents.select("owner_id", "file_id", "file_name", "link")
     placed = refs.join(docs, ["owner_id", "file_id"], "left")
+    # pair k of the entity's chunks follows (rel_no - 1) * chunks others, so later pairs are not made
+    chunks = placed.groupBy("owner_id", "entity_id").agg(F.max("ref_no").alias("refs"))
+    rels = rels.join(chunks, ["owner_id", "entity_id"], "left").filter(
+        (F.col("rel_no") - 1) * F.coalesce("refs", F.lit(1)) < most)
     rows = start.join(rels, ["owner_id", "entity_id"], "left").join(
-        placed, ["owner_id", "entity_id"], "left")
+        placed, ["owner_id", "entity_id"], "left").filter(
+        (F.coalesce("rel_no", F.lit(1)) - 1) * F.coalesce("refs", F.lit(1))
+        + F.coalesce("ref_no", F.lit(1)) <= most).drop("refs")
     order = ["place", F.coalesce("rel_no", F.lit(0)), F.coalesce("ref_no", F.lit(0))]
-    cap = F.col("row_limit") if "row_limit" in linked.columns else limit
+    cap = F.col("row_limit") if per_question else limit
     return first_per(rows, ["owner_id", "query_id"], order, cap, "row_no")
 
 
@@ -409,8 +417,12 @@ def _entity_chunks(mentions: DataFrame, most: int) -> DataFrame:
 
 
 def graph_hop1(linked: DataFrame, entities: DataFrame, mentions: DataFrame,
-               max_results: int | Column = 10, most: int = 28) -> DataFrame:
-    """Chunks that mention a linked entity, 1.0 each, at most 2 * max per entity."""
+               max_results: int | Column = 10) -> DataFrame:
+    """Chunks that mention a linked entity, 1.0 each, at most 2 * max per entity.
+
+    Only the first chunks of an entity, twice the largest max, meet the questions.
+    """
+    most = 2 * largest_limit(max_results, linked)
     ids = entities.select("owner_id", "entity_id", "name_norm", "name", "type")
     start = linked.join(ids, ["owner_id", "name_norm"])
     wanted = start.select("owner_id", "entity_id").distinct()
@@ -420,12 +432,13 @@ def graph_hop1(linked: DataFrame, entities: DataFrame, mentions: DataFrame,
 
 
 def graph_hop2(linked: DataFrame, entities: DataFrame, edges: DataFrame, mentions: DataFrame,
-               max_results: int | Column = 10, most: int = 14) -> DataFrame:
+               max_results: int | Column = 10) -> DataFrame:
     """Chunks that mention a neighbour of a linked entity, 0.5 per path, at most max per entity.
 
     Paths are ordered by neighbour, type, direction and chunk. Every neighbour kept here has
-    a chunk, so the first ``most`` paths lie on the first ``most`` edges.
+    a chunk, so the first n paths lie on the first n edges; n is the largest max.
     """
+    most = largest_limit(max_results, linked)
     ids = entities.select("owner_id", "entity_id", "name_norm")
     start = linked.join(ids, ["owner_id", "name_norm"])
     wanted = start.select("owner_id", "entity_id").distinct()
@@ -446,6 +459,13 @@ def graph_hop2(linked: DataFrame, entities: DataFrame, edges: DataFrame, mention
         F.col("path_no") <= _as_col(max_results)).withColumn("score", F.lit(0.5))
 
 
+def largest_limit(limit: int | Column, rows: DataFrame) -> int:
+    """The largest value of a limit: itself, or the maximum of the column in ``rows``."""
+    if isinstance(limit, int):
+        return limit
+    return int(rows.agg(F.max(limit)).first()[0] or 0)
+
+
 def _as_col(value: int | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 

@@ -60,6 +60,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_steps(*steps: DataFrame | None) -> None:
+    """Delete the files of steps that ``cut_lineage`` wrote and nothing reads any more.
+
+    Loops call it for step n - 1 once step n is written, so they hold two steps on the shared
+    store. Frames that read anything but whole steps of this library are left alone.
+    """
+    for df in steps:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        root = shared_dir(spark).split(":", 1)[-1].strip("/")
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if f"{root}/stage-" in folder and folder.split(f"{root}/", 1)[1].count("/") == 0:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def within_rows(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than needed to tell."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -122,34 +122,44 @@ def read_text(files: DataFrame) -> DataFrame:
     return files.withColumn("text", decode_text("content")).drop("content")
 
 
-def _csv_cells(row: Column) -> Column:
-    """Cells that are present: missing trailing columns are null, empty cells are ''."""
-    return F.array_compact(row)
+# A separator and the field behind it; quotes count only where a field begins.
+_CSV_FIELD = r'([,\n])("[^"]*+(?:""[^"]*+)*+"[^,\n]*+|[^,\n]*+)'
+_ROW_MARK = "\u0001"
 
 
-def csv_lines_to_text(lines: DataFrame, max_columns: int = 64) -> DataFrame:
+def _csv_fields(text: Column) -> Column:
+    """All fields of CSV text, of any number of columns, as (separator in front, cell)."""
+    lead = F.concat(F.lit("\n"), F.regexp_replace(text, "\r\n?", "\n"))
+    cells = F.transform(
+        F.regexp_extract_all(lead, F.lit(_CSV_FIELD), F.lit(2)),
+        lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(
+            c, r'^"([^"]*+(?:""[^"]*+)*+)"([^"]*)$', "$1$2"), F.lit('""'), F.lit('"'))
+        ).otherwise(c))
+    marks = F.regexp_extract_all(lead, F.lit(_CSV_FIELD), F.lit(1))
+    return F.arrays_zip(marks.alias("mark"), cells.alias("cell"))
+
+
+def csv_lines_to_text(lines: DataFrame) -> DataFrame:
     """CSV rows ``(file_id, row_no, line)`` to one tab-separated text per file."""
-    fields = ", ".join(f"c{i} string" for i in range(max_columns))
-    parsed = F.from_csv("line", F.lit(fields), {"nullValue": "\u0001", "emptyValue": ""})
-    cells = _csv_cells(F.array(*[parsed[f"c{i}"] for i in range(max_columns)]))
+    cells = F.transform(_csv_fields(F.col("line")), lambda f: f["cell"])
     return _join_rows(lines.select("file_id", "row_no", cells.alias("cells")))
 
 
-def read_csv_files(spark: SparkSession, path: str, max_columns: int = 64) -> DataFrame:
-    """CSV files, quoted line breaks included, to one tab-separated text per file."""
-    fields = ", ".join(f"c{i} string" for i in range(max_columns))
-    rows = (
-        spark.read.schema(fields)
-        .option("multiLine", "true").option("escape", '"')
-        .option("nullValue", "\u0001").option("emptyValue", "")
-        .csv(path)
-        .select(
-            F.col("_metadata.file_path").alias("file_id"),
-            F.monotonically_increasing_id().alias("row_no"),
-            _csv_cells(F.array(*[F.col(f"c{i}") for i in range(max_columns)])).alias("cells"),
-        )
-    )
-    return _join_rows(rows)
+def csv_to_text(text: Column | str) -> Column:
+    """A whole CSV text, quoted line breaks included, as tab-separated rows without blank ones."""
+    column = F.col(text) if isinstance(text, str) else text
+    marked = F.array_join(F.transform(_csv_fields(column), lambda f: F.concat(
+        F.when(f["mark"] == "\n", _ROW_MARK).otherwise("\t"), f["cell"])), "")
+    rows = F.filter(F.split(marked, _ROW_MARK), lambda r: F.replace(r, F.lit("\t"), F.lit("")) != "")
+    return F.array_join(rows, "\n")
+
+
+def read_csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files to one tab-separated text per file; files without a filled cell are left out."""
+    whole = spark.read.format("binaryFile").load(path).select(
+        F.col("path").alias("file_id"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return whole.select("file_id", csv_to_text("text").alias("text")).filter("text <> ''")
 
 
 def _join_rows(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,30 +13,41 @@ from corvane.session import scratch_path
 from corvane.sources.store import FILE_KEY, skip_indexed
 
 
-def _held_files(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Files other batches wrote; None while the table does not exist."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    return table.filter(F.col("batch_id") != batch_id).select(*FILE_KEY).distinct()
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def ingest_stream(documents: DataFrame, chunks_path: str, checkpoint: str):
-    """Chunk new documents once: files the chunk table holds already are skipped.
+def ingest_stream(documents: DataFrame, chunks_path: str, checkpoint: str,
+                  stream_id: str = "main", newest: str | None = None):
+    """Chunk new documents once: files that are held already are skipped.
 
-    Each micro-batch overwrites its own partition of the table, so a batch that is run
-    again after a failure replaces its rows instead of adding them.
+    Chunks are partitioned by stream and batch, and a batch overwrites its own partition only, so
+    a batch that is run again replaces its rows, and streams with own checkpoints (``stream_id``)
+    write to one table without touching each other's rows. A stream that lost its checkpoint
+    needs a new ``stream_id``. Beside the chunks lies a small catalogue of files, written after
+    them, which is what each batch reads to skip. Of several versions of a file in one batch the
+    one with the largest ``newest`` column (or text) is taken.
     """
+    files_path = chunks_path.rstrip("/") + "_files"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(FILE_KEY)
-        held = _held_files(spark, chunks_path, batch_id)
-        if held is not None:
-            fresh = skip_indexed(fresh, held)
-        (chunk_documents(fresh, dedupe=True).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(chunks_path))
+        order = [F.desc(c) for c in ([newest] if newest else []) + ["text"]]
+        fresh = batch.withColumn("_n", F.row_number().over(
+            W.partitionBy(*FILE_KEY).orderBy(*order))).filter("_n = 1").drop("_n")
+        mine = (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)
+        if _exists(spark, files_path):
+            held = spark.read.parquet(files_path).filter(~mine)
+            fresh = skip_indexed(fresh, held.select(*FILE_KEY).distinct())
+
+        def put(rows: DataFrame, path: str) -> None:
+            (rows.withColumns({"stream_id": F.lit(stream_id), "batch_id": F.lit(batch_id)})
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("stream_id", "batch_id").parquet(path))
+
+        put(chunk_documents(fresh, dedupe=True), chunks_path)
+        put(fresh.select(*FILE_KEY), files_path)
 
     return (documents.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

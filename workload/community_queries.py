@@ -27,9 +27,27 @@ def telling_graph(spark, sf):
     return cut_lineage(cm.entity_graph(beds.telling_edges(spark, sf)))
 
 
+def whole_graph(spark, sf):
+    return cut_lineage(cm.entity_graph(beds.graph_edges(spark, sf)))
+
+
+@beds.stored
+def partition(spark, sf):
+    """Communities of the whole entity graph of all owners."""
+    return cm.louvain(whole_graph(spark, sf))
+
+
 @query("louvain")
 def louvain(spark, sf):
-    return cm.louvain(telling_graph(spark, sf), max_levels=3, max_rounds=6)
+    return partition(spark, sf)
+
+
+@query("louvain_settled", facts("g_edges") + "select owner_id, count(distinct node) as nodes, "
+       "0::bigint as gaining from (select owner_id, src as node from g_edges where src <> dst union "
+       "all select owner_id, dst from g_edges where src <> dst) group by 1")
+def louvain_settled(spark, sf):
+    """Every node has a community, and none would gain by moving."""
+    return cm.gaining_nodes(whole_graph(spark, sf), partition(spark, sf))
 
 
 @query("modularity", facts("t_edges members") + ", g as (select owner_id, least(src, dst) as a, "
@@ -73,8 +91,7 @@ def merge_small_communities(spark, sf):
 @query("detect_communities")
 def detect_communities(spark, sf):
     """Detection from the graph to stored communities with ids and sizes."""
-    g = telling_graph(spark, sf)
-    merged = cm.merge_small_communities(cm.louvain(g, max_levels=3, max_rounds=6), g)
+    merged = cm.merge_small_communities(partition(spark, sf), whole_graph(spark, sf))
     return cm.memberships(merged)[0].select("owner_id", "community_id", "member_count")
 
 

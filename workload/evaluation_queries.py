@@ -6,19 +6,22 @@ Relevance is the label: a topic question expects every chunk of its label.
 from pyspark.sql import functions as F
 
 from corvane.operators import evaluation as ev
+from corvane.operators import retrieval as rt
 from workload import beds
 from workload.registry import query
-from workload.retrieval_queries import retrieved
+from workload.retrieval_queries import TG, TG_RANKED, fusion, retrieved
 from workload.sqlparts import facts
 
 
 @beds.stored
 def runs(spark, sf):
-    """Two modes: the full rerank, and the bare first three."""
-    r = retrieved(spark, sf).select(
-        F.col("query_id").alias("question_id"), F.col("chunk_id").alias("chunk_key"), "rank")
-    return r.withColumn("mode", F.lit("rag")).unionByName(
-        r.filter("rank <= 3").withColumn("mode", F.lit("graph_rag")))
+    """Two modes: reranked vector search, and its fusion with graph retrieval."""
+    def of(ranked, mode):
+        return ranked.select(F.col("query_id").alias("question_id"),
+                             F.col("chunk_id").alias("chunk_key"), "rank", F.lit(mode).alias("mode"))
+
+    return of(retrieved(spark, sf), "rag").unionByName(
+        of(rt.protected_ranking(fusion(spark, sf)), "graph_rag"))
 
 
 def parts(spark, sf):
@@ -46,8 +49,9 @@ def rows(spark, sf):
 
 
 METRICS = (
-    ", modes(mode) as (values ('rag'), ('graph_rag')), runs as (select query_id as question_id, "
-    "chunk_id, rank, mode from retrieved, modes where mode = 'rag' or rank <= 3), ex as (select "
+    TG_RANKED + ", modes(mode) as (values ('rag'), ('graph_rag')), runs as (select query_id as "
+    "question_id, chunk_id, rank, 'rag' as mode from retrieved union all select query_id, chunk_id, "
+    "rank, 'graph_rag' from ranked), ex as (select "
     "owner_id || '_' || label as question_id, chunk_id from vecs where label <> 8), m as (select "
     "q.query_id as question_id, mode, label, question, (select count(*) from ex where "
     "ex.question_id = q.query_id) as ec, (select count(*) from runs r join ex using (question_id, "
@@ -76,38 +80,38 @@ SUMMARY = (
 )
 
 
-@query("retrieval_metrics", facts("retrieved vecs") + METRICS + "select question_id, mode, hit_at_k, "
+@query("retrieval_metrics", facts(f"retrieved vecs {TG}") + METRICS + "select question_id, mode, hit_at_k, "
        "recall_at_k, precision_at_k, mrr, relevant_in_top_k, expected_count, skipped from e")
 def retrieval_metrics(spark, sf):
     q, expected, answers = parts(spark, sf)
     return ev.retrieval_metrics(runs(spark, sf), expected, answers)
 
 
-@query("evaluate_questions", facts("retrieved vecs") + METRICS + "select question_id, mode, category, "
+@query("evaluate_questions", facts(f"retrieved vecs {TG}") + METRICS + "select question_id, mode, category, "
        "mrr, refused, refusal_correct, keyword_overlap from e")
 def evaluate_questions(spark, sf):
     return rows(spark, sf).select("question_id", "mode", "category", "mrr", "refused",
                                   "refusal_correct", "keyword_overlap")
 
 
-@query("summary_by_mode", facts("retrieved vecs") + METRICS + f"select mode, {SUMMARY} group by mode")
+@query("summary_by_mode", facts(f"retrieved vecs {TG}") + METRICS + f"select mode, {SUMMARY} group by mode")
 def summary_by_mode(spark, sf):
     return ev.summary_by_mode(rows(spark, sf))
 
 
-@query("summary_by_category", facts("retrieved vecs") + METRICS + f"select category, mode, {SUMMARY} "
+@query("summary_by_category", facts(f"retrieved vecs {TG}") + METRICS + f"select category, mode, {SUMMARY} "
        "group by category, mode")
 def summary_by_category(spark, sf):
     return ev.summary_by_category(rows(spark, sf))
 
 
-@query("summaries", facts("retrieved vecs") + METRICS + f"select category, mode, {SUMMARY} group by "
+@query("summaries", facts(f"retrieved vecs {TG}") + METRICS + f"select category, mode, {SUMMARY} group by "
        "grouping sets ((mode), (category, mode))")
 def summaries(spark, sf):
     return ev.summaries(rows(spark, sf))
 
 
-@query("category_table", facts("retrieved vecs") + METRICS + "select category, round(avg(mrr) filter "
+@query("category_table", facts(f"retrieved vecs {TG}") + METRICS + "select category, round(avg(mrr) filter "
        "(mode = 'rag'), 4) as rag, round(avg(mrr) filter (mode = 'graph_rag'), 4) as graph_rag from e "
        "group by 1")
 def category_table(spark, sf):

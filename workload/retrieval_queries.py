@@ -115,10 +115,17 @@ def hybrid_fusion(spark, sf):
                                     "combined_score", "source")
 
 
-@query("protected_ranking", facts(TG) + TG_GRAPH + "select query_id, chunk_id, source, cast(rn as "
-       "integer) as rank from (select *, row_number() over (partition by owner_id, query_id order by "
-       "case when v_rank <= 5 then 0 else 1 end, case when v_rank <= 5 then v_rank else 0 end, "
-       "combined_score desc, coalesce(v_rank, 1000000 + g_rank)) as rn from comb) where rn <= 5")
+#: The first five of the graph mode, vector hits in front.
+TG_RANKED = (
+    TG_GRAPH + ", ranked as (select query_id, chunk_id, source, cast(rn as integer) as rank from "
+    "(select *, row_number() over (partition by owner_id, query_id order by case when v_rank <= 5 "
+    "then 0 else 1 end, case when v_rank <= 5 then v_rank else 0 end, combined_score desc, "
+    "coalesce(v_rank, 1000000 + g_rank)) as rn from comb) where rn <= 5) "
+)
+
+
+@query("protected_ranking", facts(TG) + TG_RANKED + "select query_id, chunk_id, source, rank from "
+       "ranked")
 def protected_ranking(spark, sf):
     return rt.protected_ranking(fusion(spark, sf)).select("query_id", "chunk_id", "source", "rank")
 

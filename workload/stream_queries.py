@@ -18,21 +18,33 @@ def stream(spark, sf, name):
 
 @query("stream_ingest", facts("kept") + "select owner_id, chunk_id, char_start from kept")
 def stream_ingest(spark, sf):
-    """Ingest the documents as a stream, twice: the second run finds nothing new."""
+    """Ingest the documents from two sources with their own checkpoints into one table.
+
+    The first source holds two thirds of the documents and is read in several batches; the second
+    holds all of them, so its batches repeat files that the table has. The result is that of the
+    batch job.
+    """
     path = scratch_path(spark, "ingest")
-    for run in ("one", "two"):
-        docs = stream(spark, sf, "documents").select(
-            F.col("source").alias("owner_id"), F.col("doc_id").cast("string").alias("file_id"),
-            "text")
-        jobs.ingest_stream(docs, f"{path}/chunks", f"{path}/state").awaitTermination()
+    docs = beds.table(spark, sf, "documents").select(
+        F.col("source").alias("owner_id"), F.col("doc_id").cast("string").alias("file_id"), "text")
+    first = F.pmod(F.xxhash64("file_id"), F.lit(3)) < 2
+    for name, rows in (("first", docs.filter(first)), ("second", docs)):
+        rows.repartition("file_id").write.parquet(f"{path}/in/{name}")
+        files = spark.read.parquet(f"{path}/in/{name}").inputFiles()
+        source = jobs.read_table_stream(spark, f"{path}/in/{name}", "*.parquet", docs.schema,
+                                        -(-len(files) // 3))
+        jobs.ingest_stream(source, f"{path}/chunks", f"{path}/state/{name}", name).awaitTermination()
     return spark.read.parquet(f"{path}/chunks").select(
         "owner_id", "chunk_id", F.col("char_start").cast("bigint").alias("char_start"))
 
 
 @query("stream_dedupe", f"select distinct sha256({trim('text')}) as content_hash from documents")
 def stream_dedupe(spark, sf):
-    rows = jobs.with_hash(stream(spark, sf, "documents")).select("content_hash")
-    return jobs.run_to_table(jobs.dedupe_stream(rows), "dedupe")
+    """Documents arrive at one moment each day; the state of a hash is dropped after the delay."""
+    rows = jobs.with_hash(stream(spark, sf, "documents")).select(
+        "content_hash", F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
+    return jobs.run_to_table(jobs.dedupe_stream(rows, event_time="ts"), "dedupe").select(
+        "content_hash")
 
 
 @query("stream_counters", "select cast(epoch(date_trunc('hour', ts)) as bigint) as start, count(*) as "
