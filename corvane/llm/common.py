@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.encoders import slices
-from corvane.session import cut_lineage, shared_dir
+from corvane.session import cut_lineage, drop_steps
 
-__all__ = ["chained", "cut_lineage", "drop_step", "sliced", "table"]
+__all__ = ["chained", "cut_lineage", "local_roots", "sliced", "table"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,18 +29,18 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 2_000_000
             yield batch.slice(begin, end - begin)
 
 
-def drop_step(df: DataFrame) -> None:
-    """Delete the files of a written step that nothing reads any more.
-
-    Only folders below ``spark.checkpoint.dir`` are touched, and only whole steps of this library.
-    """
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split(":", 1)[-1].lstrip("/") in folder and "/stage-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each of n nodes over the pairs (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        after = root.copy()
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
 
 
 def chained(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 100
@@ -66,7 +67,7 @@ def chained(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int =
         after = cut_lineage(small.unionByName(least.select("a", F.col("m").alias("b")))
                             .where("a <> b").distinct())
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_step(e)
+        drop_steps(e)
         e = after
         if state == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -7,10 +7,11 @@
 2. Documents with equal sets are one class with the smallest doc_id as representative; only
    representatives go on, so copies are never paired.
 3. Representatives that share a band key form a bucket. Members of a bucket are compared with
-   its smallest and its largest member (by a hash order), not with each other: sketch first, and what passes is
-   confirmed on the full sets. Links join members into components.
-4. Buckets whose members still lie in several components are the rest: there, members are paired
-   across components until nothing is left unchecked, so no candidate link is lost.
+   its first and its last member by a hash order, not with each other: sketch first, and what
+   passes is confirmed on the full sets. Links join members into components.
+4. Buckets whose members still lie in several components are the rest: there, all members are
+   compared in blocks, sketches first and then full sets, so no candidate link is lost. A block
+   returns which members it joins, not its pairs.
 
 A pair with similarity 0.8 or more shares no band with a probability below 3e-9, and the sketch
 filter drops it with a probability below 1e-9 (``MOST_APART``).
@@ -19,13 +20,14 @@ filter drops it with a probability below 1e-9 (``MOST_APART``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chained, cut_lineage, drop_step, sliced
+from corvane.llm.common import chained, cut_lineage, local_roots, sliced
 
 BANDS, ROWS = 50, 5
 SAMPLES = BANDS * ROWS
@@ -34,6 +36,9 @@ SKETCH_WORDS = 16
 #: Words of a shingle and the similarity, as a fraction, from which documents are linked.
 SHINGLE, LINK = 5, (4, 5)
 
+#: Members and shingles of a tile of a bucket, about.
+TILE_ROWS, TILE_SHINGLES = 2048, 2_000_000
+
 _SIGNED = np.int64
 
 
@@ -73,6 +78,11 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def set_key(shingles: bytes) -> bytes:
+    """What equal sets share and different sets don't."""
+    return blake2b(shingles, digest_size=16).digest()
+
+
 def min_hashes(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
     """``SAMPLES`` minima of the shingles under as many 32-bit multiply-add orders."""
     low = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
@@ -119,8 +129,6 @@ MOST_APART = apart(LINK[0] / LINK[1])
 
 def signatures(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set_key (16 bytes that equal sets share), sketch, bands."""
-    from hashlib import blake2b
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1_000_000):
             n, keys, sketches, bands = [], [], [], []
@@ -128,7 +136,7 @@ def signatures(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
                 s = shingle_hashes(text, words)
                 samples = min_hashes(s)
                 n.append(len(s))
-                keys.append(blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(set_key(s.tobytes()))
                 sketches.append(odd_sketch(samples) if len(s) else None)
                 bands.append(band_keys(samples) if len(s) else None)
             longs = pa.list_(pa.int64())
@@ -187,6 +195,99 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, link: tuple[int, i
     return both.select("a", "b", "t1", "t2").mapInArrow(confirm, "a long, b long")
 
 
+def linked_in_block(sets: list[np.ndarray], sketches: np.ndarray, roots: np.ndarray, left: np.ndarray,
+                    right: np.ndarray, link: tuple[int, int], most_apart: int
+                    ) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left and right) in different components with intersection / union >= link.
+
+    The sketches of a whole block are compared first, with rows that no partner can match left
+    out. Full intersections of what remains are products of 0/1 matrices over the shingles that
+    both sides have, so no pair is made that isn't a link.
+    """
+    apart = np.zeros((len(left), len(right)), np.uint16)
+    for w in range(sketches.shape[1]):
+        apart += np.bitwise_count(sketches[left, w][:, None] ^ sketches[right, w][None, :])
+    may = (apart <= most_apart) & (roots[left][:, None] != roots[right][None, :])
+    left, right = left[may.any(axis=1)], right[may.any(axis=0)]
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+
+    def cells(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = [len(sets[r]) for r in rows]
+        return np.repeat(np.arange(len(rows)), size), np.concatenate([sets[r] for r in rows])
+
+    (i, x), (j, y) = cells(left), cells(right)
+    shared = np.intersect1d(x, y)
+    count = np.zeros((len(left), len(right)), np.float32)
+    at_x, at_y = np.searchsorted(shared, x), np.searchsorted(shared, y)
+    on_x = shared[np.minimum(at_x, len(shared) - 1)] == x if len(shared) else np.zeros(len(x), bool)
+    on_y = shared[np.minimum(at_y, len(shared) - 1)] == y if len(shared) else np.zeros(len(y), bool)
+    for begin in range(0, len(shared), 2048):
+        a = np.zeros((len(left), 2048), np.float32)
+        b = np.zeros((len(right), 2048), np.float32)
+        for m, row, at, on in ((a, i, at_x, on_x), (b, j, at_y, on_y)):
+            here = on & (at >= begin) & (at < begin + 2048)
+            m[row[here], at[here] - begin] = 1
+        count += a @ b.T
+    n = np.array([len(s) for s in sets], np.int64)
+    common = count.astype(np.int64)
+    p, q = link
+    good = (q * common >= p * (n[left][:, None] + n[right][None, :] - common)) & (
+        roots[left][:, None] != roots[right][None, :])
+    at = np.nonzero(good)
+    return left[at[0]], right[at[1]]
+
+
+def _block_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, words: int, link: tuple[int, int],
+                 most_apart: int) -> DataFrame:
+    """Links (a, b) between the components that meet in a bucket, from ``rest`` (band, rep, root).
+
+    Members of a bucket are dealt into tiles of bounded size by a hash; a pair of tiles is one
+    group. A group returns at most one link per member: its members with the smallest one that
+    they reach inside the group, so the rows are bounded by the members, not by their pairs.
+    """
+    wanted = rest.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            sets = [shingle_hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(map(set_key, sets), pa.binary()),
+                 pa.array(sets, pa.binary())], ["rep", "set_key", "shingles"])
+
+    sets = texts.mapInArrow(sets_of, "rep long, set_key binary, shingles binary").dropDuplicates(
+        ["rep", "set_key"]).join(reps.select("rep", "set_key", "sketch"), ["rep", "set_key"])
+    rows = rest.join(reps.select("rep", "n_shingles"), "rep")
+    tiles = rows.groupBy("band").agg(F.ceil(F.greatest(
+        F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    dealt = rest.join(tiles, "band").select("band", "rep", "root", F.col("tiles"), tile.alias("tile"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(
+        F.least(t, F.col("tile")).alias("lo"), F.greatest(t, F.col("tile")).alias("hi"))))
+    met = dealt.select("band", "rep", "root", "tile", meets.alias("m")).select(
+        "band", "m.lo", "m.hi", "tile", "rep", "root").join(sets.drop("set_key"), "rep")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        rep, roots = np.asarray(t.column("rep")), np.asarray(t.column("root"))
+        tile = np.asarray(t.column("tile"))
+        sets = [np.frombuffer(b, np.uint64) for b in t.column("shingles").to_pylist()]
+        sketches = np.asarray(t.column("sketch").combine_chunks().flatten()).reshape(
+            len(rep), -1).view(np.uint64)
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        i, j = linked_in_block(sets, sketches, roots, np.flatnonzero(tile == lo),
+                               np.flatnonzero(tile == hi), link, most_apart)
+        order = np.argsort(rep, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        least = rep[order][local_roots(len(rep), place[i], place[j])[place]]
+        on = least != rep
+        return pa.table({"a": rep[on], "b": least[on]})
+
+    return met.groupBy("band", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, link: tuple[int, int] = LINK
                     ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
@@ -208,7 +309,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, link: tuple[int, int]
     # a doc_id that repeats with different texts joins its classes
     reps = cut_lineage(whole.join(members.where("doc_id = rep").select(F.col("rep").alias("doc_id"))
                                   .distinct(), "doc_id", "left_semi")
-                       .select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "bands"))
+                       .select(F.col("doc_id").alias("rep"), "set_key", "n_shingles", "sketch",
+                               "bands").dropDuplicates(["rep", "set_key"]))
     inband = reps.select("rep", F.explode("bands").alias("band"))
     order = F.struct(F.xxhash64("rep").alias("h"), "rep")
     ends = inband.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("lo"),
@@ -222,17 +324,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, link: tuple[int, int]
     links = cut_lineage(_confirmed(_plausible(stars, reps, most_apart, link), texts, words, link))
     roots = chained(links)
 
-    # the rest: pairs of one bucket that lie in different components and were not compared
+    # the rest: members of one bucket that lie in different components
     rooted = buckets.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "band", "rep", F.coalesce("root", "rep").alias("root"))
     split = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
         "x <> y").select("band")
     rest = cut_lineage(rooted.join(split, "band", "left_semi"))
-    other = rest.select("band", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    cross = rest.withColumnRenamed("rep", "a").join(other, "band").where(
-        "a < b and root <> root_b").select("a", "b").distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti")
-    more = cut_lineage(_confirmed(_plausible(cross, reps, most_apart, link), texts, words, link))
+    more = cut_lineage(_block_links(rest, reps, texts, words, link, most_apart))
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = chained(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
                     .unionByName(more).unionByName(same))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chained, cut_lineage
+from corvane.llm.common import chained, cut_lineage, local_roots
 
 LINK = 0.98
 #: Vectors of a tile.
@@ -114,20 +114,6 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, lea
     return at[0][keep], at[1][keep]
 
 
-def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n nodes over the pairs (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
-
-
 def near_vectors(vectors: DataFrame, least: float = LINK, tile: int = TILE) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id,
     kept.
