@@ -80,17 +80,16 @@ def phrase_names(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 symbols[many] |= np.minimum(run[many], 1023) << np.uint32(21)
             else:
                 symbols[many] = mixed(symbols[many] * _A + run[many])
-        if level > 1 or len(symbols) == len(texts):
-            done = fresh & np.append(fresh[1:], True)
-            if done.any():  # texts that are one symbol now
-                docs_out.append(doc[done])
-                names_out.append(mixed(symbols[done].astype(np.uint64) + np.uint64(977)))
-                if done.all():
-                    return np.concatenate(docs_out), np.concatenate(names_out)
-                left = ~done
-                span = np.diff(begin)[left]
-                symbols, doc, fresh = symbols[left], doc[left], fresh[left]
-                begin = np.append(0, np.cumsum(span)).astype(np.int32)
+        done = fresh & np.append(fresh[1:], True)
+        if done.any():  # texts that are one symbol now
+            docs_out.append(doc[done])
+            names_out.append(mixed(symbols[done].astype(np.uint64) + np.uint64(977)))
+            if done.all():
+                return np.concatenate(docs_out), np.concatenate(names_out)
+            left = ~done
+            span = np.diff(begin)[left]
+            symbols, doc, fresh = symbols[left], doc[left], fresh[left]
+            begin = np.append(0, np.cumsum(span)).astype(np.int32)
         label = tossed(symbols, fresh)
         start = fresh.copy()
         top = label[1:-1] > label[:-2]
@@ -147,8 +146,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(common, both, assume_unique=True).sum() / len(both))
 
 
+def packed(print_: np.ndarray) -> bytes:
+    return print_.astype(">u4").tobytes()
+
+
 def written(print_: np.ndarray) -> str:
-    return print_.astype(">u4").tobytes().hex()
+    return packed(print_).hex()
 
 
 def edited_text(text: str, following: str) -> str:
@@ -171,8 +174,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         fingerprint, "doc_id long, n_chars long, fingerprint string")
 
 
-RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-          "edited_fingerprint string, near_edited double, near_next double")
+#: What tasks write; the binary columns become hexadecimal when they are read.
+RESULT = ("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, "
+          "edited_fingerprint binary, near_edited double, near_next double")
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
@@ -181,8 +185,8 @@ def _against(ids: list, texts: list[str], follow: list[str], prints: list[np.nda
     edited = [edited_text(t, f) for t, f in zip(texts, follow)]
     changed = fingerprints(edited)
     return [ids, [len(t) for t in texts],
-            [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited],
-            [written(p) for p in prints], [written(p) for p in changed],
+            [hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest() for e in edited],
+            [packed(p) for p in prints], [packed(p) for p in changed],
             [likeness(p, c) for p, c in zip(prints, changed)],
             [likeness(p, f) for p, f in zip(prints, follow_prints)]]
 
@@ -203,7 +207,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     def batch_of(columns: list[list], part: int, edge: str | None, texts: list[str | None]
                  ) -> pa.RecordBatch:
         n = len(columns[0])
-        kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays(
             [*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([part] * n, pa.int32()),
              pa.array([edge] * n, pa.string()), pa.array(texts, pa.string())], names)
@@ -256,4 +260,5 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
 
     matched = lasts.join(after, "part").join(firsts, "next_part").select(
         "doc_id", "text", "follow").mapInArrow(match, RESULT)
-    return done.where("edge is null").select(*NAMES).unionByName(matched)
+    out = done.where("edge is null").select(*NAMES).unionByName(matched)
+    return out.select(*[F.lower(F.hex(n)).alias(n) if kind == "binary" else n for n, kind in out.dtypes])
