@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.encoders import slices
+from corvane.llm.encoders import SLICE_CHARS, slices
 from corvane.session import cut_lineage, drop_steps
 
 __all__ = ["chained", "cut_lineage", "local_roots", "sliced", "table"]
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 2_000_000
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_CHARS
            ) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of each hold about ``most`` characters, or one text."""
     for batch in batches:

@@ -2,14 +2,15 @@
 
 Both vocabularies split a text at white space before they merge, so the ids of a text are those
 of its space-separated pieces, put together. Pieces repeat far more often than texts, so each
-process keeps the ids of pieces it has met. The memo is a cache: when it is full it is emptied,
-which costs time and never changes a result. ``tests/llm/test_tokens.py`` holds the ids against
+process keeps the ids of pieces it has met. The memo is a cache of two generations: when the
+younger is full, the older is dropped, which costs time and never changes a result. ``tests/llm/test_tokens.py`` holds the ids against
 encoding each whole text.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -17,10 +18,10 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-#: Pieces a process remembers, about 0.2 KB each.
+#: Pieces in each of the two generations that a process remembers, about 0.2 KB each.
 MEMO_PIECES = 400_000
-#: Characters encoded at once.
-SLICE_CHARS = 2_000_000
+#: Characters encoded at once; the pieces of a slice fit the caches of a processor.
+SLICE_CHARS = 500_000
 
 
 class PieceEncoder:
@@ -36,10 +37,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = memo
         self.kind = self._kind()
-        self.space = "Ġ" if self.kind == "attach" else ""
-        self.cache: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = np.dtype("<u4" if wide else "<u2")
+        self.dtype, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
+        self.marks = {c: self._whole([c])[0] for c in (*".,", *("\n" if self.kind == "attach" else ""))}
 
     def _kind(self) -> str:
         import json
@@ -60,57 +62,86 @@ class PieceEncoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Ids of pieces behind a space. Plain words go to the merges straight away."""
-        lead = " " if self.kind == "attach" else ""
-        merge, lower, rest = self.tokenizer.model.tokenize, self.kind == "drop", []
-        mark = {c: self._whole([c])[0] for c in ".,"}
+    def _recall(self, pieces: set[str]) -> dict[str, bytes | None]:
+        """Ids of the pieces of a slice, from the memo or learned now."""
+        if len(self.young) > self.memo:
+            self.old, self.young = self.young, {}
+        young, old, found, fresh = self.young, self.old, {}, []
         for piece in pieces:
-            word = piece[:-1] if piece[-1:] in mark else piece
-            if word.isascii() and word.isalpha():
-                ids = np.array([t.id for t in merge(self.space + (word.lower() if lower else word))],
-                               dtype=self.dtype).tobytes()
-                self.cache[piece] = ids if word is piece else ids + mark[piece[-1]]
-            elif lead and (not piece or piece[0].isspace() or piece[-1].isspace()):
-                self.cache[piece] = None  # its neighbours share the white space
+            if piece in young:
+                found[piece] = young[piece]
+            elif piece in old:
+                found[piece] = young[piece] = old[piece]
+            else:
+                fresh.append(piece)
+        learned = self._learn(fresh)
+        young.update(learned)
+        found.update(learned)
+        return found
+
+    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes | None]:
+        """Ids of pieces behind a space. Plain words go to the merges straight away.
+
+        A piece that begins with a line break stands behind that instead of a space.
+        """
+        merge, marks, attach = self.tokenizer.model.tokenize, self.marks, self.kind == "attach"
+        known, rest, code = {}, [], self.code
+        for piece in pieces:
+            broken = attach and piece[:1] == "\n"
+            own = piece[1:] if broken else piece
+            word = own[:-1] if own[-1:] in (".", ",") else own
+            if word.isalpha() and (attach or max(word) < "İ"):
+                text = word if attach else word.lower()
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+                if attach and not broken:
+                    text = "Ġ" + text
+                ids = array(code, [t.id for t in merge(text)]).tobytes()
+                known[piece] = ((marks["\n"] if broken else b"") + ids
+                                + (b"" if word is own else marks[own[-1]]))
+            elif attach and (not own or own[0].isspace() or own[-1].isspace()):
+                known[piece] = None  # its neighbours share the white space
             else:
                 rest.append(piece)
-        self.cache.update(zip(rest, self._whole([lead + p for p in rest])))
+        known.update(zip(rest, self._whole(
+            [p if not attach or p[0] == "\n" else " " + p for p in rest])))
+        return known
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids for each text; null counts as empty."""
         texts = [t or "" for t in texts]
         if self.kind == "whole":
             return [np.frombuffer(b, dtype=self.dtype) for b in self._whole(texts)]
-        split = [t.split(" ") for t in texts]
-        heads = self._whole([s[0] for s in split]) if self.kind == "attach" else None
-        if heads:
-            split = [s[1:] for s in split]
-        if len(self.cache) > self.memo:
-            self.cache.clear()
-        self._learn(set().union(*split).difference(self.cache))
-        get, out, left = self.cache.__getitem__, [], []
+        attach = self.kind == "attach"
+        split = [t.replace("\n", " \n" if attach else " ").split(" ") for t in texts]
+        heads = self._whole([s.pop(0) for s in split]) if attach else None
+        get, out, left = self._recall(set().union(*split)).__getitem__, [], []
         for k, pieces in enumerate(split):
             try:
+                if attach and pieces and shared_space(texts[k]):
+                    raise TypeError("the first piece shares white space with the next")
                 ids = b"".join(map(get, pieces))
-                if heads:
-                    if pieces and split_space(texts[k]):
-                        raise TypeError("the first piece shares white space with the next")
-                    ids = heads[k] + ids
+                out.append(heads[k] + ids if attach else ids)
             except TypeError:  # a piece that can't stand alone: encode the text as one
-                ids = b""
+                out.append(b"")
                 left.append(k)
-            out.append(ids)
         if left:
             for k, ids in zip(left, self._whole([texts[k] for k in left])):
                 out[k] = ids
         return [np.frombuffer(b, dtype=self.dtype) for b in out]
 
 
-def split_space(text: str) -> bool:
-    """Whether the first space of a text stands behind other white space."""
-    cut = text.find(" ")
-    return cut > 0 and text[cut - 1].isspace()
+def shared_space(text: str) -> bool:
+    """Whether the first piece of a text ends in white space, so that it shares it."""
+    cuts = [c for c in (text.find(" "), text.find("\n")) if c >= 0]
+    return bool(cuts) and min(cuts) > 0 and text[min(cuts) - 1].isspace()
+
+
+#: The letters that stand for bytes in byte-level vocabularies: printable bytes for themselves,
+#: the others, in order, for 256 and on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {
+    b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 @lru_cache(maxsize=4)

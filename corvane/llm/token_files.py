@@ -32,34 +32,45 @@ BLOCKS = ("part int, block int, first_id long, n_docs int, n_ids long, doc_ids b
           "known_ids binary, lengths binary, ranked binary, control binary, data binary")
 
 #: Bytes of each of the four numbers that a control byte describes, and their sum.
-WIDTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
+WIDTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1).astype(np.int32)
 
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ids by frequency, control bytes, data bytes); equal counts go by the smaller id."""
-    kinds, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) > (1 << 20) + 8 * len(ids):  # too sparse for a table
+        kinds, numbers, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        numbers = numbers.reshape(-1)
+    else:
+        counts = np.bincount(ids)
+        kinds, numbers = np.flatnonzero(counts), ids
+        counts = counts[kinds]
+        place = np.zeros(int(kinds.max(initial=0)) + 1, np.uint32)
+        place[kinds] = np.arange(len(kinds), dtype=np.uint32)
+        numbers = place[numbers]
     order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(kinds), np.uint32)
+    rank = np.empty(len(kinds), "<u4")
     rank[order] = np.arange(len(kinds), dtype=np.uint32)
-    numbers = rank[inverse.reshape(-1)].astype("<u4")
+    numbers = rank[numbers]
     more = np.zeros(-(-len(numbers) // 4) * 4, np.uint8)
-    more[:len(numbers)] = ((numbers > 0xFF).astype(np.uint8) + (numbers > 0xFFFF)
-                           + (numbers > 0xFFFFFF))
-    control = (more.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(
-        axis=1, dtype=np.uint8)
-    used = np.arange(4) <= more[:len(numbers), None]
-    return (kinds[order].astype("<u4").tobytes(), control.tobytes(),
-            numbers.view(np.uint8).reshape(-1, 4)[used].tobytes())
+    for bound in (0xFF, 0xFFFF, 0xFFFFFF):
+        if len(kinds) > bound + 1:
+            more[:len(numbers)] += numbers > bound
+    control = more[::4] | more[1::4] << 2 | more[2::4] << 4 | more[3::4] << 6
+    widest = int(more.max(initial=0)) + 1
+    data = numbers.view(np.uint8).reshape(-1, 4)[:, :widest]
+    if widest > 1:
+        data = data[np.arange(widest, dtype=np.uint8) <= more[:len(numbers), None]]
+    return kinds[order].astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
 def decode_block(ranked: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` ids of a block."""
     width = WIDTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     begin = np.cumsum(width) - width
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    numbers = np.zeros(n, np.uint32)
-    for k in range(int(width.max(initial=1))):
-        has = width > k
+    raw = np.frombuffer(data, np.uint8)
+    numbers = raw[begin].astype(np.uint32)
+    for k in range(1, int(width.max(initial=1))):
+        has = np.flatnonzero(width > k)
         numbers[has] |= raw[begin[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return np.frombuffer(ranked, "<u4")[numbers]
 
