@@ -205,7 +205,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) ->
     n = max(1, known.count())
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)
     # at most about ``most`` rows of two numbers, so small enough to broadcast
-    return docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Grammar:
