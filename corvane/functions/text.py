@@ -87,17 +87,20 @@ def fold_compat(c: Column | str) -> Column:
     out = F.translate(_col(c), source, target)
     table = F.create_map(*[F.lit(x) for pair in longer for x in pair])
     syllable = f"[{chr(HANGUL[0])}-{chr(HANGUL[1])}]"
-    several = "[" + "".join(letter for letter, _ in longer) + "]"
+    # a cheap class that holds all letters in question: the rare ones of Latin, and what lies
+    # beyond it but for dashes and quotes
+    rare = "[" + "".join(letter for letter, _ in longer if ord(letter) < 0x250) + (
+        r"\x{250}-\x{200f}\x{2024}-\x{d7ff}\x{e000}-\x{10ffff}]")
 
     def expand(letter: Column) -> Column:
-        return F.when(letter.rlike(syllable), _hangul(letter)).when(
-            letter.rlike(several), F.element_at(table, letter)).otherwise(letter)
+        return F.when(~letter.rlike(rare), letter).when(letter.rlike(syllable), _hangul(letter)
+                                                        ).otherwise(
+            F.coalesce(F.try_element_at(table, letter), letter))
 
     def spell(text: Column) -> Column:
         letters = F.transform(F.sequence(F.lit(1), F.length(text)),
                               lambda i: expand(F.substring(text, i, F.lit(1))))
-        return F.when(text.rlike(several) | text.rlike(syllable), F.array_join(letters, "")
-                      ).otherwise(text)
+        return F.when(text.rlike(rare), F.array_join(letters, "")).otherwise(text)
 
     return F.regexp_replace(let(out, spell), r"\p{Mn}+", "")
 

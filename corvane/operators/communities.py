@@ -70,8 +70,10 @@ def _best_moves(links: DataFrame, state: DataFrame, totals: DataFrame) -> DataFr
         F.max(F.when(F.col("comm") == F.col("home"), F.col("gain"))).alias("stay"))
 
 
-def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame) -> DataFrame:
-    """Move nodes to the neighbouring community of highest modularity gain until none gains.
+def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame, most_left: float = 0.0
+                 ) -> DataFrame:
+    """Move nodes to the neighbouring community of highest modularity gain until none gains, or
+    at most the share ``most_left`` of them moved in a sweep.
 
     ``links`` are directed both ways without self loops, ``nodes`` carry degree and comm. A sweep
     gives every node one turn; in a turn a part of the nodes, chosen by a hash, moves at once, so
@@ -80,6 +82,7 @@ def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame) -> DataF
     only a positive gain moves a node.
     """
     state = cut_lineage(nodes.select("owner_id", "node", "degree", "comm"))
+    enough = most_left * state.count()
     sweep = moved_in_sweep = turn = 0
     while True:
         parts = 2 + sweep // 10
@@ -94,14 +97,15 @@ def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame) -> DataF
         state = after.drop("home")
         turn += 1
         if turn == parts:
-            if not moved_in_sweep:
+            if moved_in_sweep <= enough:
                 return state.select("owner_id", "node", "comm")
             sweep, turn, moved_in_sweep = sweep + 1, 0, 0
 
 
 def louvain(graph: DataFrame) -> DataFrame:
     """Communities by modularity: single nodes move, then whole communities, and again, until
-    neither a node nor a community gains by joining another. Owners are independent but share
+    neither a node nor a community gains by joining another. The first pass leaves the last few
+    moves to the later ones, which go on until nothing moves. Owners are independent but share
     every job.
     """
     links = _both_ways(graph)
@@ -109,22 +113,24 @@ def louvain(graph: DataFrame) -> DataFrame:
     degrees = cut_lineage(links.groupBy("owner_id", F.col("src").alias("node")).agg(
         F.sum("weight").alias("degree")))
     members = cut_lineage(degrees.select("owner_id", "node", F.col("node").alias("comm")))
+    most_left = 0.02
     while True:
-        moved = _local_moves(links, degrees.join(members, ["owner_id", "node"]), totals)
-        before, members = members, _joined_up(graph, degrees, moved, totals)
+        moved = _local_moves(links, degrees.join(members, ["owner_id", "node"]), totals, most_left)
+        before, members = members, _joined_up(graph, degrees, moved, totals, most_left)
         same = before.join(members.withColumnRenamed("comm", "now"), ["owner_id", "node"])
         pairs = same.select("owner_id", "comm", "now").distinct()
         # a partition is the same when its communities and those before are one to one
         done = pairs.count() == before.select("owner_id", "comm").distinct().count() == (
             members.select("owner_id", "comm").distinct().count())
         drop_steps(before, moved)
-        if done:
+        if done and not most_left:
             drop_steps(totals, degrees)
             return members
+        most_left = 0.0
 
 
-def _joined_up(graph: DataFrame, degrees: DataFrame, members: DataFrame, totals: DataFrame
-               ) -> DataFrame:
+def _joined_up(graph: DataFrame, degrees: DataFrame, members: DataFrame, totals: DataFrame,
+               most_left: float) -> DataFrame:
     """Let communities move as the nodes of a smaller graph, level by level."""
     members = cut_lineage(members)
     while True:
@@ -140,7 +146,8 @@ def _joined_up(graph: DataFrame, degrees: DataFrame, members: DataFrame, totals:
             .agg(F.sum("weight").alias("weight")))
         nodes = degrees.join(members, ["owner_id", "node"]).groupBy(
             "owner_id", F.col("comm").alias("node")).agg(F.sum("degree").alias("degree"))
-        moved = _local_moves(_both_ways(current), nodes.withColumn("comm", F.col("node")), totals)
+        moved = _local_moves(_both_ways(current), nodes.withColumn("comm", F.col("node")), totals,
+                             most_left)
         idle = moved.filter("node <> comm").isEmpty()
         if not idle:
             step = moved.select("owner_id", F.col("node").alias("comm"), F.col("comm").alias("up"))

@@ -96,7 +96,7 @@ def csv_to_text(spark, sf):
                     F.posexplode(F.array(line, F.lit(",,"))).alias("p", "line"),
                     (F.col("o_orderkey") * 2).alias("k"))
     return fs.csv_lines_to_text(
-        rows.select("file_id", (F.col("k") + F.col("p")).alias("row_no"), "line"), 8)
+        rows.select("file_id", (F.col("k") + F.col("p")).alias("row_no"), "line"))
 
 
 @query("assemble_pages", "select 'V' || conv_id as file_id, string_agg('[Trang ' || (turn + 1) || "
