@@ -195,38 +195,49 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, link: tuple[int, i
     return both.select("a", "b", "t1", "t2").mapInArrow(confirm, "a long, b long")
 
 
-def linked_in_block(sets: list[np.ndarray], sketches: np.ndarray, roots: np.ndarray, left: np.ndarray,
-                    right: np.ndarray, link: tuple[int, int], most_apart: int
-                    ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of left and right) in different components with intersection / union >= link.
-
-    The sketches of a whole block are compared first, with rows that no partner can match left
-    out. Full intersections of what remains are products of 0/1 matrices over the shingles that
-    both sides have, so no pair is made that isn't a link.
-    """
+def plausible_in_block(sketches: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray,
+                       most_apart: int) -> np.ndarray:
+    """Which pairs of left and right lie in different components and have sketches near enough."""
     apart = np.zeros((len(left), len(right)), np.uint16)
     for w in range(sketches.shape[1]):
         apart += np.bitwise_count(sketches[left, w][:, None] ^ sketches[right, w][None, :])
-    may = (apart <= most_apart) & (roots[left][:, None] != roots[right][None, :])
-    left, right = left[may.any(axis=1)], right[may.any(axis=0)]
-    if not len(left) or not len(right):
-        return left[:0], right[:0]
+    return (apart <= most_apart) & (roots[left][:, None] != roots[right][None, :])
+
+
+def met_first(bands: np.ndarray, band: int, i: np.ndarray, j: np.ndarray, step: int = 100_000) -> np.ndarray:
+    """Which pairs (i, j) share no band before ``band``: each pair is compared in one bucket only."""
+    before = int(np.flatnonzero(bands[0] == band)[0])
+    out = np.ones(len(i), bool)
+    for k in range(0, len(i), step):
+        out[k:k + step] = ~(bands[i[k:k + step], :before] == bands[j[k:k + step], :before]).any(axis=1)
+    return out
 
+
+def linked_in_block(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray,
+                    link: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left and right) in different components with intersection / union >= link.
+
+    Intersections of the whole block are products of 0/1 matrices over the shingles that both
+    sides have, so no pair is made that isn't a link.
+    """
     def cells(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = [len(sets[r]) for r in rows]
         return np.repeat(np.arange(len(rows)), size), np.concatenate([sets[r] for r in rows])
 
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
     (i, x), (j, y) = cells(left), cells(right)
     shared = np.intersect1d(x, y)
     count = np.zeros((len(left), len(right)), np.float32)
-    at_x, at_y = np.searchsorted(shared, x), np.searchsorted(shared, y)
-    on_x = shared[np.minimum(at_x, len(shared) - 1)] == x if len(shared) else np.zeros(len(x), bool)
-    on_y = shared[np.minimum(at_y, len(shared) - 1)] == y if len(shared) else np.zeros(len(y), bool)
+    if len(shared):
+        at_x, at_y = (np.minimum(np.searchsorted(shared, v), len(shared) - 1) for v in (x, y))
+        i, at_x = i[shared[at_x] == x], at_x[shared[at_x] == x]
+        j, at_y = j[shared[at_y] == y], at_y[shared[at_y] == y]
     for begin in range(0, len(shared), 2048):
         a = np.zeros((len(left), 2048), np.float32)
         b = np.zeros((len(right), 2048), np.float32)
-        for m, row, at, on in ((a, i, at_x, on_x), (b, j, at_y, on_y)):
-            here = on & (at >= begin) & (at < begin + 2048)
+        for m, row, at in ((a, i, at_x), (b, j, at_y)):
+            here = (at >= begin) & (at < begin + 2048)
             m[row[here], at[here] - begin] = 1
         count += a @ b.T
     n = np.array([len(s) for s in sets], np.int64)
@@ -243,11 +254,39 @@ def _block_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, words: int,
     """Links (a, b) between the components that meet in a bucket, from ``rest`` (band, rep, root).
 
     Members of a bucket are dealt into tiles of bounded size by a hash; a pair of tiles is one
-    group. A group returns at most one link per member: its members with the smallest one that
-    they reach inside the group, so the rows are bounded by the members, not by their pairs.
+    group. The sketches of a group are compared first; members that have a near one in another
+    component, which no bucket of an earlier band holds too, come back with their full sets. Then a group returns at most one link per member:
+    its members with the smallest one that they reach inside the group, so the rows are bounded
+    by the members, not by their pairs.
     """
-    wanted = rest.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    rows = rest.join(reps.select("rep", "set_key", "n_shingles", "sketch", "bands"), "rep")
+    tiles = rows.groupBy("band").agg(F.ceil(F.greatest(
+        F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(
+        F.least(t, F.col("tile")).alias("lo"), F.greatest(t, F.col("tile")).alias("hi"))))
+    met = rows.join(tiles, "band").withColumn("tile", tile).withColumn("m", meets).select(
+        "band", "m.lo", "m.hi", "tile", "rep", "root", "set_key", "sketch", "bands")
+    group = ["band", "lo", "hi"]
+
+    def sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        tile = np.asarray(t.column("tile"))
+        return (np.asarray(t.column("root")), np.flatnonzero(tile == t.column("lo")[0].as_py()),
+                np.flatnonzero(tile == t.column("hi")[0].as_py()))
+
+    def plausible(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        roots, left, right = sides(t)
+        sketches, bands = (np.asarray(t.column(c).combine_chunks().flatten()).reshape(
+            t.num_rows, -1) for c in ("sketch", "bands"))
+        at = np.nonzero(plausible_in_block(sketches.view(np.uint64), roots, left, right, most_apart))
+        i, j = left[at[0]], right[at[1]]
+        first = met_first(bands, t.column("band")[0].as_py(), i, j)
+        on = np.union1d(i[first], j[first])
+        return t.select([*group, "tile", "rep", "root", "set_key"]).take(pa.array(on))
+
+    near = cut_lineage(met.groupBy(*group).applyInArrow(
+        plausible, "band long, lo int, hi int, tile int, rep long, root long, set_key binary"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -256,28 +295,16 @@ def _block_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, words: int,
                 [batch.column("doc_id"), pa.array(map(set_key, sets), pa.binary()),
                  pa.array(sets, pa.binary())], ["rep", "set_key", "shingles"])
 
-    sets = texts.mapInArrow(sets_of, "rep long, set_key binary, shingles binary").dropDuplicates(
-        ["rep", "set_key"]).join(reps.select("rep", "set_key", "sketch"), ["rep", "set_key"])
-    rows = rest.join(reps.select("rep", "n_shingles"), "rep")
-    tiles = rows.groupBy("band").agg(F.ceil(F.greatest(
-        F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    dealt = rest.join(tiles, "band").select("band", "rep", "root", F.col("tiles"), tile.alias("tile"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(
-        F.least(t, F.col("tile")).alias("lo"), F.greatest(t, F.col("tile")).alias("hi"))))
-    met = dealt.select("band", "rep", "root", "tile", meets.alias("m")).select(
-        "band", "m.lo", "m.hi", "tile", "rep", "root").join(sets.drop("set_key"), "rep")
+    texts = docs.join(near.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.select("doc_id", "text").mapInArrow(
+        sets_of, "rep long, set_key binary, shingles binary").dropDuplicates(["rep", "set_key"])
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        rep, roots = np.asarray(t.column("rep")), np.asarray(t.column("root"))
-        tile = np.asarray(t.column("tile"))
+        rep = np.asarray(t.column("rep"))
+        roots, left, right = sides(t)
         sets = [np.frombuffer(b, np.uint64) for b in t.column("shingles").to_pylist()]
-        sketches = np.asarray(t.column("sketch").combine_chunks().flatten()).reshape(
-            len(rep), -1).view(np.uint64)
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        i, j = linked_in_block(sets, sketches, roots, np.flatnonzero(tile == lo),
-                               np.flatnonzero(tile == hi), link, most_apart)
+        i, j = linked_in_block(sets, roots, left, right, link)
         order = np.argsort(rep, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
@@ -285,7 +312,8 @@ def _block_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, words: int,
         on = least != rep
         return pa.table({"a": rep[on], "b": least[on]})
 
-    return met.groupBy("band", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    return near.join(sets, ["rep", "set_key"]).drop("set_key").groupBy(*group).applyInArrow(
+        compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, link: tuple[int, int] = LINK
