@@ -12,10 +12,14 @@ number of others however many there are in a text.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import cut_lineage
+from corvane.session import broadcast_if_small
 
 #: Base kinds in listed order: pattern, group that must be long enough, its least length.
 BASE = {
@@ -36,6 +40,9 @@ WEAK = {
                              r"[^\x09-\x0D\x20\"'<>]+|(?i:host(?:_?name)?|server|endpoint)"
                              r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{4,}""", 1 << 30, ()),
 }
+#: Strings of which every match of a kind has one.
+HOLDS = {"assign": (":", "="), "access": ("AKIA",), "weak_id": (":", "="),
+         "weak_secret": (":", "="), "endpoint": (":", "=")}
 BASE_ROLES = {"assign": "secret", "access": "id", "hex": "secret"}
 KINDS = [*BASE, *WEAK]
 #: Code points between the ends of two parts that belong together.
@@ -46,10 +53,11 @@ SPAN = "struct<start:int,rank:int,end:int>"
 
 
 def found(text: Column, pattern: str, rank: int, group: int = 0, least: int = 1,
-          most: int = 1 << 30, needs: tuple[str, ...] = ()) -> Column:
+          most: int = 1 << 30, needs: tuple[str, ...] = (), holds: tuple[str, ...] = ()) -> Column:
     """Spans (start, rank of the kind, end) of the leftmost matches of ``pattern``, in order,
     without those whose ``group`` is shorter than ``least``, that are longer than ``most`` or
-    lack one of the patterns in ``needs``."""
+    lack one of the patterns in ``needs``. Every match has one of the strings ``holds``, so texts
+    without them are passed over before the pattern is tried."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def good(match: Column) -> Column:
@@ -75,8 +83,10 @@ def found(text: Column, pattern: str, rank: int, group: int = 0, least: int = 1,
     none = F.array().cast(f"array<{SPAN}>")
     zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
     rows = rows.cast("array<struct<gap:int,len:int,size:int>>")
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda s: s["out"])
-                  ).otherwise(none)
+    may = text.rlike(pattern)
+    if holds:
+        may = reduce(or_, [F.contains(text, F.lit(h)) for h in holds]) & may
+    return F.when(may, F.aggregate(rows, zero, step, lambda s: s["out"])).otherwise(none)
 
 
 def row_key() -> Column:
@@ -88,9 +98,10 @@ def row_key() -> Column:
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (null without any part), base and weak spans of each whole text."""
     text = F.coalesce("text", F.lit(""))
-    base = F.concat(*[found(text, p, k, g, n) for k, (p, g, n) in enumerate(BASE.values())])
-    weak = F.concat(*[found(text, p, len(BASE) + k, most=most, needs=needs)
-                      for k, (_, p, most, needs) in enumerate(WEAK.values())])
+    base = F.concat(*[found(text, p, k, g, n, holds=HOLDS.get(kind, ()))
+                      for k, (kind, (p, g, n)) in enumerate(BASE.items())])
+    weak = F.concat(*[found(text, p, len(BASE) + k, most=most, needs=needs, holds=HOLDS.get(kind, ()))
+                      for k, (kind, (_, p, most, needs)) in enumerate(WEAK.items())])
     spans = docs.select("doc_id", row_key().alias("key"), F.array_sort(base).alias("base"),
                         F.array_sort(weak).alias("weak"))
     any_part = (F.size("base") > 0) | (F.size("weak") > 0)
@@ -185,19 +196,18 @@ def masked(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with all secret spans masked in text (n_chars, if present, follows).
 
-    Every row stays. Only rows that hold a span are joined; all others pass through unshuffled.
+    Every row stays. Rows with spans are few; they are looked up by key, by a broadcast where
+    their number was checked, else by a join that moves each text once.
     """
     hits = secret_spans(docs, scope).where(F.size("spans") > 0).select("row_key", "spans").distinct()
     hits = cut_lineage(hits.withColumnsRenamed({"row_key": "_row_key", "spans": "_spans"}))
-    parts = "|".join(f"(?:{p})" for p in [*(b[0] for b in BASE.values()),
-                                          *(w[1] for w in WEAK.values())])
-    may = F.coalesce(F.col("text").rlike(parts), F.lit(False))
-    with_parts = docs.where(may).join(hits, row_key() == F.col("_row_key"), "left").drop("_row_key")
-    clean = F.when(F.col("_spans").isNotNull(), masked(F.col("text"), F.col("_spans"))
-                   ).otherwise(F.col("text"))
-    out = with_parts.withColumn("text", clean)
+    out = docs.withColumn("_key", row_key()).join(
+        broadcast_if_small(hits), F.col("_key") == F.col("_row_key"), "left")
+    hit = F.col("_spans").isNotNull()
+    clean = F.when(hit, masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    out = out.withColumn("text", clean)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(kind))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns).unionByName(docs.where(~may))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(
+            F.col("n_chars")))
+    return out.select(*docs.columns)
