@@ -6,6 +6,7 @@ from corvane.functions import lexicon as lx
 from corvane.operators import canonical as cn
 from corvane.operators import graph as gr
 from corvane.session import cut_lineage
+from corvane.session import scratch_path
 from workload import beds
 from workload.registry import query
 from workload.sqlparts import facts, in_list, norm_name, tokens, trim, values
@@ -249,3 +250,15 @@ def rebuild_document_graph(spark, sf):
     new = m.join(debt, "file_id", "left_semi").select(*m.columns).withColumn("version", F.lit(2))
     return replace_rows(old, new).select("owner_id", F.col("chunk_id").alias("src"),
                                          F.col("entity_id").alias("dst"), "version")
+
+
+@query("read_alias_map", "select lower(n_name) as alias_norm, n_comment_or_name as display from (select "
+       "n_name, n_name || '!' as n_comment_or_name from nation)")
+def read_alias_map(spark, sf):
+    """Nations as a caller's alias file in JSON."""
+    path = f"{scratch_path(spark, 'aliases')}/aliases"
+    n = beds.table(spark, sf, "nation").select(F.lower("n_name").alias("k"), F.concat(
+        "n_name", F.lit("!")).alias("v"))
+    n.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).coalesce(
+        1).write.text(path)
+    return cn.read_alias_map(spark, path).select("alias_norm", "display")

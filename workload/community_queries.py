@@ -6,7 +6,9 @@ telling edges of the order graph.
 
 from pyspark.sql import functions as F
 
+from corvane.functions import lexicon as lx
 from corvane.operators import communities as cm
+from corvane.operators import context as cx
 from corvane.session import cut_lineage
 from workload import beds
 from workload.graph_queries import linked
@@ -183,7 +185,7 @@ def list_communities(spark, sf):
         "owner_id", "community_id", "member_count")
 
 
-@query("relevant_communities", facts("linked members nation_comms g_entities") + ", o as (select "
+RELEVANT = (", o as (select "
        "l.owner_id, l.query_id, m.comm, count(*) as overlap from linked l join g_entities e on "
        "l.owner_id = e.owner_id and l.name_norm = e.name_norm join members m on m.owner_id = "
        "e.owner_id and m.node = e.entity_id group by 1, 2, 3), t as (select distinct owner_id, "
@@ -193,13 +195,36 @@ def list_communities(spark, sf):
        "q.owner_id, q.query_id, c.comm, c.member_count, coalesce(overlap, 0) as overlap, "
        "coalesce(hits, 0) as hits from asked q join nation_comms c on q.owner_id = c.owner_id left "
        "join o on o.query_id = q.query_id and o.comm = c.comm left join h on h.query_id = "
-       "q.query_id and h.comm = c.comm) select owner_id, query_id, comm, overlap, hits, score from "
+       "q.query_id and h.comm = c.comm) select * from "
        "(select *, round(3.0 * overlap + hits + 0.1 * member_count, 3)::double as score, "
        "row_number() over (partition by owner_id, query_id order by round(3.0 * overlap + hits + "
        "0.1 * member_count, 3) desc, member_count desc, comm) as rn from s where overlap > 0 or "
        "hits > 0) where rn <= 2")
-def relevant_communities(spark, sf):
+RELEVANT_NEEDS = "linked members nation_comms g_entities"
+
+
+def relevant(spark, sf):
     return cm.relevant_communities(
         beds.supplier_questions(spark, sf), linked(spark, sf), beds.nation_communities(spark, sf),
-        beds.nation_membership(spark, sf), beds.graph_entities(spark, sf)).select(
-        "owner_id", "query_id", "comm", "overlap", "hits", "score")
+        beds.nation_membership(spark, sf), beds.graph_entities(spark, sf))
+
+
+@query("relevant_communities", facts(RELEVANT_NEEDS) + RELEVANT.replace(
+    "select * from", "select owner_id, query_id, comm, overlap, hits, score from"))
+def relevant_communities(spark, sf):
+    return relevant(spark, sf).select("owner_id", "query_id", "comm", "overlap", "hits", "score")
+
+
+@query("community_section", facts(RELEVANT_NEEDS) + RELEVANT.replace(
+    "select * from", ", best as (select * from") + "), e as (select b.query_id, rn, '[1] ' || "
+    "trim(c.summary) || chr(10) || '(Community — ' || c.member_count || ' entities)' as entry, "
+    "c.member_count from best b join nation_comms c on b.owner_id = c.owner_id and b.comm = c.comm) "
+    f"select query_id, '{lx.COMMUNITY_TITLE}' || chr(10) || chr(10) || case when length(entry) + "
+    f"{len(lx.COMMUNITY_TITLE) + 1} > 120 then substr(entry, 1, {120 - len(lx.COMMUNITY_TITLE) - 1}) || "
+    "'...' else entry end as text, member_count from e where rn = 1")
+def community_section(spark, sf):
+    """The community section of each question, 120 characters each."""
+    found = relevant(spark, sf)
+    params = found.select("owner_id", "query_id").distinct().select(
+        "*", F.lit(120).alias("community_budget"), F.lit(1).alias("ref_start"))
+    return cx.community_section(found, params).select("query_id", "text", "member_count")

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from corvane.functions import lexicon as lx
+from corvane.operators import context as cx
 from corvane.operators import graph as gr
 from workload import beds
 from workload.registry import query
@@ -71,6 +73,29 @@ def facts_text(spark, sf):
     return gr.facts_text(fact_rows(spark, sf)).select("query_id", "text")
 
 
+@query("graph_section", facts(FACT_NEEDS) + f", f as ({FACTS}), rel as (select query_id, name, "
+       "related_name, rel_type, trim(coalesce(arg_min(rel_desc, row_no), '')) as d, min(row_no) as first_no "
+       "from f where related_name is not null group by 1, 2, 3, 4), k as (select query_id, n, '[' || n "
+       "|| '] ' || name || ' — ' || lower(replace(rel_type, '_', ' ')) || ' → ' || related_name || "
+       "case when d <> '' then ' (' || d || ')' else '' end as entry from (select *, row_number() over "
+       "(partition by query_id order by first_no, name, related_name, rel_type) as n from rel) where n <= "
+       "10), u as (select *, sum(length(entry) + 2) over (partition by query_id order by n) - 2 + "
+       f"{len(lx.GRAPH_TITLE) + 1} as used from k) select query_id, '{lx.GRAPH_TITLE}' || chr(10) || "
+       "chr(10) || string_agg(entry, chr(10) || chr(10) order by n) as text, count(*) as n_refs "
+       "from u where used <= 600 group by 1")
+def graph_section(spark, sf):
+    """The relation section of each question from its facts, 600 characters each."""
+    rows = fact_rows(spark, sf)
+    relations = gr.fact_relations(rows).select(
+        "owner_id", "query_id", F.col("name").alias("from_name"),
+        F.col("related_name").alias("to_name"), "rel_type", F.col("rel_desc").alias("description"),
+        F.col("row_no").alias("at"))
+    params = linked(spark, sf).select("owner_id", "query_id").distinct().select(
+        "*", F.lit(600).alias("graph_budget"), F.lit(1).alias("ref_start"))
+    section, _ = cx.graph_section(relations.limit(0), relations, rows, params)
+    return section.select("query_id", "text", F.col("n_refs").cast("bigint").alias("n_refs"))
+
+
 def question_paths(spark, sf):
     entities = beds.graph_entities(spark, sf)
     return gr.entity_paths(linked(spark, sf), entities, beds.graph_edges(spark, sf))

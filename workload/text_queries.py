@@ -243,3 +243,11 @@ def parse_extractions(spark, sf):
     expected = outputs.select("owner_id", "file_id", F.lit(0).alias("chunk_index"))
     entities, _ = parse_extraction(outputs, expected)
     return entities.drop("subtype")
+
+
+@query("humanize_relation", "select distinct event_type, lower(replace(upper(event_type) || "
+       "'_OF', '_', ' ')) as relation from events")
+def humanize_relation(spark, sf):
+    e = beds.table(spark, sf, "events").select("event_type").distinct()
+    return e.select("event_type", tx.humanize(F.concat(F.upper("event_type"), F.lit("_OF")))
+                    .alias("relation"))
