@@ -5,6 +5,7 @@ block-level tags); each block is a line with a ratio of text to tags. The ratios
 with a Gaussian, and a two-means threshold splits lines into content and the rest. The content
 region is the article, or else the smallest element, that holds most of the content lines' text;
 within it, blocks of menus, notices, adverts, forms and comments are left out by their element.
+A mark on an element that turns out to hold most of the content lines' text is lifted.
 """
 
 from __future__ import annotations
@@ -39,7 +40,21 @@ MARKS = frozenset(
     "cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations widget "
     "widgets pagination pager search complementary contentinfo dialog skip".split())
+#: Words that leave a compound name such as site-footer or comment-list a name of the marked thing;
+#: with any other word (has-sidebar, no-menu) it may name the page that has or lacks the thing.
+PARTS = frozenset(
+    "area bar block body bottom box buttons container content footer header inner item items links "
+    "list main mobile page post primary secondary section site slot title top wrap wrapper".split())
+#: Marks that themes also give to what is wrapped around the page.
+LAYOUT = frozenset(
+    "banner sidebar sidebars menu menus nav navbar navigation footer header masthead toolbar alert "
+    "popup modal overlay share sharing social signup login search widget widgets notice notices".split())
 ROOTS = frozenset("html body main article".split())
+#: What a head may hold; any other tag closes it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Kinds of marks: of layout and forms, of other text and sections, and of what is never text.
+WRAPS, OTHER, NEVER = 1, 2, 3
+SECTIONS = frozenset("nav aside footer menu dialog".split())
 SIGMA = 1.0
 #: Share of the content that the chosen element holds at least.
 REGION_SHARE = 0.6
@@ -48,19 +63,36 @@ REGION_SHARE = 0.6
 class Element:
     """An open element: its place in the tree and what its text counts as."""
 
-    __slots__ = ("tag", "parent", "drop", "inside", "header")
+    __slots__ = ("tag", "parent", "mark", "inside", "header")
 
-    def __init__(self, tag: str, parent: Element | None, drop: bool, header: bool):
-        self.tag, self.parent, self.drop, self.header = tag, parent, drop, header
+    def __init__(self, tag: str, parent: Element | None, mark: int, header: bool):
+        self.tag, self.parent, self.mark, self.header = tag, parent, mark, header
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
 
+    def line(self) -> Iterator[Element]:
+        """The element and those around it, inside out."""
+        at: Element | None = self
+        while at:
+            yield at
+            at = at.parent
+
+
+def marks_of(value: str) -> set[str]:
+    """The words of MARKS that whole names in a class, id or role stand for."""
+    out: set[str] = set()
+    for name in value.lower().split():
+        words = set(re.findall("[a-z]+", name))
+        if words <= MARKS | PARTS:
+            out |= words & MARKS
+    return out
+
 
 class BlockReader(HTMLParser):
-    """Streams a page into blocks: (text, tags met, element, dropped)."""
+    """Streams a page into blocks: (text, tags met, element, header text that is dropped)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.top = Element("", None, False, False)
+        self.top = Element("", None, 0, False)
         self.blocks: list[tuple[str, int, Element, bool]] = []
         self.words: list[str] = []
         self.tags = 0
@@ -68,8 +100,8 @@ class BlockReader(HTMLParser):
     def close_block(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:
-            drop = self.top.drop
-            if self.top.header and not drop:
+            drop = False
+            if self.top.header:
                 at = self.top
                 while at and at.tag not in HEADINGS and at.tag != "header":
                     at = at.parent
@@ -84,21 +116,28 @@ class BlockReader(HTMLParser):
             self.words.append("\n")
         if tag not in INLINE:
             self.close_block()
+        if tag == "body" and any(e.tag == "head" for e in self.top.line()) or (
+                self.top.tag == "head" and tag not in IN_HEAD):
+            self._leave("head")
         if tag in VOID:
             return
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and self.top.tag in (tag, "p"):
             self._leave(self.top.tag)
-        marked = tag in DROPPED
-        if not marked and tag not in ROOTS:
+        mark = 0
+        if tag in DROPPED:
+            mark = WRAPS if tag == "form" else OTHER if tag in SECTIONS else NEVER
+        elif tag not in ROOTS:
             for name, value in attrs:
-                if name in ("class", "id", "role") and value:
-                    marked = not MARKS.isdisjoint(re.split(r"[^a-z]+", value.lower()))
-                marked = marked or name == "hidden" or (name == "aria-hidden" and value == "true")
-                if marked:
-                    break
+                words = marks_of(value) if name in ("class", "id", "role") and value else set()
+                if words:
+                    mark = max(mark, WRAPS if words <= LAYOUT else OTHER)
+                if name == "hidden" or (name == "aria-hidden" and value == "true"):
+                    mark = NEVER
         elif tag == "article" and self.top.inside:
-            marked = any(n in ("class", "id") and v and "comment" in v.lower() for n, v in attrs)
-        self.top = Element(tag, self.top, self.top.drop or marked, self.top.header or tag in HEADERS)
+            if any(n in ("class", "id") and v and not marks_of(v).isdisjoint(("comment", "comments"))
+                   for n, v in attrs):
+                mark = OTHER
+        self.top = Element(tag, self.top, mark, self.top.header or tag in HEADERS)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -121,6 +160,8 @@ class BlockReader(HTMLParser):
             self.top = at.parent
 
     def handle_data(self, data: str) -> None:
+        if self.top.tag == "head" and data.strip():
+            self._leave("head")
         self.words.append(data)
 
 
@@ -144,6 +185,36 @@ def content_lines(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return smooth >= (low + high) / 2
 
 
+def dropped(blocks: list[tuple[str, int, Element, bool]], lines: np.ndarray) -> list[bool]:
+    """Which blocks go, after marks on what holds most of the content lines' text are lifted.
+
+    Marks of layout are lifted from what holds the article, or where no article has text below its
+    headings; marks of other text only where both hold, so long comments don't take the page over.
+    """
+    mass: dict[Element, int] = {}
+    holds: set[Element] = set()
+    total = 0
+    flagged = [(len(text), element) for flag, (text, _, element, drop) in zip(lines, blocks)
+               if flag and not drop and all(e.mark < NEVER for e in element.line())]
+    for size, element in flagged:
+        total += size
+        named = False
+        for e in element.line():
+            mass[e] = mass.get(e, 0) + size
+            if named:
+                holds.add(e)
+            named = named or e.tag in ("article", "main")
+    # what holds more comes first, and of equals the outer: lifting it may show the article
+    marked = sorted((e for e in mass if e.mark and 2 * mass[e] > total),
+                    key=lambda e: (-mass[e], sum(1 for _ in e.line())))
+    for e in marked:
+        story = any(x.inside and not any(a.mark or a.tag in HEADINGS for a in x.line())
+                    for _, _, x, _ in blocks)
+        if (e in holds or not story) if e.mark == WRAPS else (e in holds and not story):
+            e.mark = 0
+    return [drop or any(e.mark for e in element.line()) for _, _, element, drop in blocks]
+
+
 def main_text(html: str | None) -> str:
     """Main text of one page: blocks joined by newlines; empty for null, empty or textless pages."""
     if not html:
@@ -158,6 +229,8 @@ def main_text(html: str | None) -> str:
     mass: dict[int, float] = {}
     found: dict[int, Element] = {}
     lines = content_lines(ratios)
+    gone = dropped(blocks, lines)
+    blocks = [(text, tags, element, drop) for (text, tags, element, _), drop in zip(blocks, gone)]
     if not any(flag and not drop for flag, (_, _, _, drop) in zip(lines, blocks)):
         lines = np.ones(len(blocks), bool)
     for flag, (text, _, element, drop) in zip(lines, blocks):

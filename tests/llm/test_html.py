@@ -39,6 +39,30 @@ def test_long_page_is_kept_whole():
     assert main_text(f"<article>{body}</article>").count("\n") == 2999
 
 
+STORY = "".join(f"<p>{LONG} {i}</p>" for i in range(4))
+TOLD = "\n".join(f"{LONG} {i}" for i in range(4))
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><body>{STORY}</body></html>",
+    f"<html><head><title>T</title><p hidden>x</p>{STORY}",
+    f"<html><head><title>T</title>{STORY}</html>",
+    f"<body><div class='has-sidebar'><article>{STORY}</article></div></body>",
+    f"<body><div class='no-sidebar'>{STORY}</div></body>",
+    f"<body><div class='page with-menu'><div class='sidebar'><p>{LONG}</p></div><main>{STORY}</main></div>",
+    f"<body><div class='navigation'><ul class='menu'><li>a</ul><article>{STORY}</article></div></body>",
+    f"<body><form action=x><nav>menu</nav><div>{STORY}</div></form></body>",
+    f"<main><article class='post no-comments'>{STORY}</article></main>",
+])
+def test_marks_around_the_page_do_not_empty_it(page):
+    assert main_text(page) == TOLD
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "cookie consent", "sidebar"])
+def test_long_marked_text_beside_an_article_stays_out(name):
+    assert main_text(f"<article><p>{LONG}</p></article><div class='{name}'>{STORY}</div>") == LONG
+
+
 def test_lines_split_by_ratio():
     ratios = np.array([2, 3, 2, 80, 90, 75, 85, 2, 1], float)
     assert content_lines(ratios, 0.5).tolist() == [False] * 3 + [True] * 4 + [False] * 2
