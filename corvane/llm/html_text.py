@@ -3,8 +3,9 @@
 The standard library's parser streams events. Text is gathered in blocks (what stands between
 block-level tags); each block is a line with a ratio of text to tags. The ratios are smoothed
 with a Gaussian, and a two-means threshold splits lines into content and the rest. The content
-region is the article, or else the smallest element, that holds most of the content lines' text;
-within it, blocks of menus, notices, adverts, forms and comments are left out by their element.
+region is the articles, or else the main element, that hold most of the content lines' text; without
+such, the smallest element that holds them all, or where less than that holds most of them, those
+of its parts that hold any. Within the region, blocks of menus, notices, adverts, forms and comments are left out by their element.
 A mark on an element that turns out to hold most of the content lines' text is lifted.
 """
 
@@ -55,8 +56,11 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script st
 #: Kinds of marks: of layout and forms, of other text and sections, and of what is never text.
 WRAPS, OTHER, NEVER = 1, 2, 3
 SECTIONS = frozenset("nav aside footer menu dialog".split())
+#: Elements inside a text, which are no region of it, and those that stand between its parts.
+FLOWING = INLINE | HEADINGS | {"p", "li", "td", "tr", "blockquote"}
+TEXTUAL = FLOWING | {"ul", "ol", "dl", "table", "pre", "figure"}
 SIGMA = 1.0
-#: Share of the content that the chosen element holds at least.
+#: Share of the content from which an element counts as the place of most of it.
 REGION_SHARE = 0.6
 
 
@@ -225,48 +229,49 @@ def main_text(html: str | None) -> str:
     reader.close_block()
     blocks = reader.blocks
     ratios = np.array([len(text) / tags for text, tags, _, _ in blocks], float)
-    weight = {True: 0.0, False: 0.0}
-    mass: dict[int, float] = {}
-    found: dict[int, Element] = {}
     lines = content_lines(ratios)
     gone = dropped(blocks, lines)
     blocks = [(text, tags, element, drop) for (text, tags, element, _), drop in zip(blocks, gone)]
     if not any(flag and not drop for flag, (_, _, _, drop) in zip(lines, blocks)):
         lines = np.ones(len(blocks), bool)
+    mass: dict[Element, int] = {}
+    total = 0
     for flag, (text, _, element, drop) in zip(lines, blocks):
         if drop or not flag:
             continue
-        weight[True] += len(text)
-        at: Element | None = element
-        while at:
-            mass[id(at)] = mass.get(id(at), 0.0) + len(text)
-            found[id(at)] = at
-            at = at.parent
+        total += len(text)
+        for at in element.line():
+            mass[at] = mass.get(at, 0) + len(text)
     if not mass:
         return ""
-
-    def depth(at: Element) -> int:
-        n = 0
-        while at.parent:
-            at, n = at.parent, n + 1
-        return n
-
-    named = [k for k, e in found.items() if e.tag == "article"] or [
-        k for k, e in found.items() if e.tag == "main"]
-    if named:
-        region = found[max(named, key=lambda k: mass[k])]
-    else:
-        wide = [k for k in found if mass[k] >= REGION_SHARE * weight[True]
-                and found[k].tag not in INLINE | HEADINGS | {"p", "li", "td", "tr", "blockquote"}]
-        region = found[max(wide, key=lambda k: (depth(found[k]), mass[k]))] if wide else None
+    return "\n".join(text for text, _, element, drop in kept(blocks, mass, total) if not drop)
+
+
+def kept(blocks: list[tuple[str, int, Element, bool]], mass: dict[Element, int],
+         total: int) -> list[tuple[str, int, Element, bool]]:
+    """The blocks of the content region; ``mass`` is the content lines' text in each element."""
+    for tag in ("article", "main"):
+        named = {e for e in mass if e.tag == tag}
+        outer = [e for e in named if named.isdisjoint(list(e.line())[1:])]
+        if 2 * sum(mass[e] for e in outer) > total:
+            return [b for b in blocks if not named.isdisjoint(b[2].line())]
+    wide = [e for e in mass if e.tag not in FLOWING]
+
+    def deepest(least: float) -> Element:
+        return max((e for e in wide if mass[e] >= least),
+                   key=lambda e: (sum(1 for _ in e.line()), mass[e]))
+
+    region, whole = deepest(REGION_SHARE * total), deepest(total)
+    if mass[region] == total:
+        return [b for b in blocks if region in b[2].line()]
     out = []
-    for text, _, element, drop in blocks:
-        at = element
-        while at and at is not region:
-            at = at.parent
-        if not drop and (region is None or at is region):
-            out.append(text)
-    return "\n".join(out)
+    for b in blocks:
+        line = list(b[2].line())
+        if whole in line:
+            part = line[line.index(whole) - 1] if line[0] is not whole else None
+            if part is None or part in mass or part.tag in TEXTUAL:
+                out.append(b)
+    return out
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:

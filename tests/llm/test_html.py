@@ -63,6 +63,32 @@ def test_long_marked_text_beside_an_article_stays_out(name):
     assert main_text(f"<article><p>{LONG}</p></article><div class='{name}'>{STORY}</div>") == LONG
 
 
+def told(first, last):
+    return "\n".join(f"{LONG} {i}" for i in range(first, last))
+
+
+MENU = "<ul><li><a>a</a><li><a>b</a><li><a>c</a></ul>"
+
+
+def story(first, last):
+    return "".join(f"<p>{LONG} {i}</p>" for i in range(first, last))
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><article>{story(0, 6)}</article><article>{story(6, 10)}</article></body>", told(0, 10)),
+    (f"<body><main><div>{story(0, 6)}</div></main><article><p>{LONG} 6</p></article></body>", told(0, 6)),
+    (f"<body><nav>{MENU}</nav><div>{story(0, 6)}</div><article>{story(6, 8)}</article></body>", told(0, 8)),
+    (f"<body><div>{MENU}</div><div>{story(0, 7)}</div><div class='ad'>buy</div><div>{story(7, 10)}</div>"
+     f"<div>{MENU}</div></body>", told(0, 10)),
+    (f"<body><div><div>{story(0, 6)}</div><div>{story(6, 10)}</div></div><div><a>x</a></div></body>",
+     told(0, 10)),
+    (f"<body><div>{story(0, 4)}</div><h2>Two</h2><div>{story(4, 7)}</div><div>{story(7, 10)}</div></body>",
+     f"{told(0, 4)}\nTwo\n{told(4, 10)}"),
+])
+def test_all_parts_with_content_lines_stay(page, want):
+    assert main_text(page) == want
+
+
 def test_lines_split_by_ratio():
     ratios = np.array([2, 3, 2, 80, 90, 75, 85, 2, 1], float)
     assert content_lines(ratios, 0.5).tolist() == [False] * 3 + [True] * 4 + [False] * 2
