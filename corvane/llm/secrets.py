@@ -35,7 +35,7 @@ WEAK = {
                       r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", 1 << 30, ()),
     "weak_secret": ("secret", r"(?i:pass|pwd|pin|auth|credentials?|private_?key|access_?key|signature)"
                               r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}""", 1 << 30, ()),
-    "weak_key": ("secret", r"[A-Za-z0-9+/]{32,}={0,2}", 66, ("[0-9]", "[A-Z]", "[a-z]")),
+    "weak_key": ("secret", r"[A-Za-z0-9+/]{32,}={0,2}", 1 << 30, ("[0-9]", "[A-Z]", "[a-z]")),
     "endpoint": ("endpoint", r"(?:https?|ftp|ssh|jdbc|mongodb|redis|postgres(?:ql)?|mysql|amqp)://"
                              r"[^\x09-\x0D\x20\"'<>]+|(?i:host(?:_?name)?|server|endpoint)"
                              r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{4,}""", 1 << 30, ()),

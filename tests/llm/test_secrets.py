@@ -1,5 +1,6 @@
 """Secret spans against Python's regular expressions."""
 
+import base64
 import hashlib
 import random
 import re
@@ -104,3 +105,14 @@ def test_overlaps_are_one_mask(spark, spans):
                                "t string, s array<struct<start:int,rank:int,end:int>>")
     want = "[SECRET]fg[SECRET]" if spans else "abcdefgh"
     assert df.select(secrets.masked(F.col("t"), F.col("s"))).first()[0] == want
+
+
+@pytest.mark.parametrize("size", [48, 64, 3000])
+def test_long_keys_beside_their_counterpart(spark, size):
+    key = base64.b64encode(random.Random(size).randbytes(size)).decode()
+    texts = [f"login: bob {key} end", f"see https://h.example/x {key} end", f"alone {key} end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.secrets_report(docs).collect()}
+    assert spans == {0: f"weak_id:0:10,weak_key:11:{11 + len(key)}", 1: f"weak_key:24:{24 + len(key)}", 2: ""}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean == {0: "[SECRET] [SECRET] end", 1: "see https://h.example/x [SECRET] end", 2: texts[2]}
