@@ -1,7 +1,7 @@
 """Weights, Louvain, merging, bundles, texts and the communities a question needs.
 
 Nations stand in as communities where SQL has to agree; the detection itself runs on the
-telling edges of the order graph.
+whole entity graph.
 """
 
 from pyspark.sql import functions as F
@@ -66,21 +66,43 @@ def louvain_settled(spark, sf):
        "(select owner_id, sum(tot * tot)::double as sq from (select k.owner_id, comm, sum(k) as tot "
        "from k join c using (owner_id, node) group by 1, 2) group by 1) s using (owner_id)")
 def modularity(spark, sf):
-    """Nations as communities, each part with the group of its maker."""
-    t = beds.telling_edges(spark, sf)
-    made = t.filter("rel_type = 'CREATED_BY'").select("owner_id", F.col("src").alias("node"),
-                                                      F.col("dst").alias("comm"))
+    """Nations as communities, each part with the group of its maker; telling edges only."""
+    return cm.modularity(telling_graph(spark, sf), makers_and_nations(spark, sf)).withColumn(
+        "modularity", F.round("modularity", 6))
+
+
+def makers_and_nations(spark, sf):
+    """Members of nations and regions, and each part with the group of its maker."""
+    made = beds.telling_edges(spark, sf).filter("rel_type = 'CREATED_BY'").select(
+        "owner_id", F.col("src").alias("node"), F.col("dst").alias("comm"))
     e = beds.graph_entities(spark, sf).filter("type = 'LOCATION'").select(
         "owner_id", F.col("entity_id").alias("node"), F.col("name_norm").alias("comm"))
-    m = beds.nation_membership(spark, sf).unionByName(e).unionByName(made)
-    return cm.modularity(telling_graph(spark, sf), m).withColumn("modularity",
-                                                                 F.round("modularity", 6))
+    return beds.nation_membership(spark, sf).unionByName(e).unionByName(made)
+
+
+@query("modularity_whole", facts("g_edges members") + ", g as (select owner_id, least(src, dst) as a, "
+       "greatest(src, dst) as b, sum(case when rel_type = 'COOCCURS_WITH' then 1.0 else 2.5 end) as w "
+       "from g_edges where src <> dst group by 1, 2, 3), c as (select owner_id, owner_id || '__' || "
+       "lower(r_name) as node, lower(r_name) as comm from o_nations union select owner_id, owner_id "
+       "|| '__' || lower(n_name), lower(n_name) from o_nations union select owner_id, node, comm from "
+       "members union select owner_id, src, dst from t_edges where rel_type = 'CREATED_BY'), ends as ("
+       "select owner_id, a as node, w from g union all select owner_id, b, w from g), tots as (select "
+       "owner_id, comm, sum(w) as tot from ends join c using (owner_id, node) group by 1, 2), s as ("
+       "select owner_id, sum(tot * tot)::double as sq from tots group by 1), i as (select g.owner_id, "
+       "sum(case when x.comm = y.comm then w else 0 end)::double as inside, sum(w)::double as m from g "
+       "join c x on g.owner_id = x.owner_id and g.a = x.node join c y on g.owner_id = y.owner_id and "
+       "g.b = y.node group by 1) select owner_id, round(inside / m - sq / (4 * m * m), 6) as modularity "
+       "from i join s using (owner_id)")
+def modularity_whole(spark, sf):
+    """The same communities over telling and co-occurrence edges."""
+    return cm.modularity(whole_graph(spark, sf), makers_and_nations(spark, sf)).withColumn(
+        "modularity", F.round("modularity", 6))
 
 
 @query("merge_small_communities")
 def merge_small_communities(spark, sf):
-    """Every maker with its parts is a community; the small ones join a neighbour."""
-    g = telling_graph(spark, sf)
+    """Every maker with its parts is a community of the whole graph; the small ones join a neighbour."""
+    g = whole_graph(spark, sf)
     t = beds.telling_edges(spark, sf)
     maker = t.filter("rel_type = 'CREATED_BY'").select(
         "owner_id", F.col("src").alias("node"), F.col("dst").alias("comm"))

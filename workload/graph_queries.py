@@ -154,6 +154,48 @@ def neighbourhood(spark, sf):
                             beds.telling_edges(spark, sf))
 
 
+@query("path_hops_whole", facts("t_edges c_edges") + f", e as ("
+       f"{SIMPLE}), co as (select owner_id, src as a, dst as b from c_edges union select owner_id, dst, "
+       "src from c_edges), firsts as (select owner_id, min(src) as a from t_edges where rel_type = "
+       "'CREATED_BY' group by owner_id, dst), pairs as (select owner_id, least(a, o) as a, greatest(a, "
+       "o) as b from (select owner_id, a, max(b) as o from co join firsts using (owner_id, a) group by "
+       "1, 2) group by 1, 2, 3), walk as (select owner_id, a, b, a as pos, 0 as hops from pairs union "
+       "select w.owner_id, w.a, w.b, e.b, w.hops + 1 from walk w join e on w.owner_id = e.owner_id and "
+       "w.pos = e.a where w.hops < 5) select p.owner_id, p.a, p.b, coalesce(t.hops, 1) as hops, t.hops "
+       "is not null as semantic from pairs p left join (select owner_id, a, b, min(hops) as hops from "
+       "walk where pos = b group by 1, 2, 3) t using (owner_id, a, b)")
+def path_hops_whole(spark, sf):
+    """Distance of each maker's first part to the last part it occurs with, over the whole graph.
+
+    Where no telling edges connect the two, the second search takes the co-occurrence edge.
+    """
+    edges = beds.graph_edges(spark, sf)
+    first = edges.filter("rel_type = 'CREATED_BY'").groupBy("owner_id", "dst").agg(
+        F.min("src").alias("a")).drop("dst")
+    met = edges.filter("rel_type = 'COOCCURS_WITH'").select("owner_id", "src", "dst")
+    both = met.toDF("owner_id", "a", "o").unionByName(met.toDF("owner_id", "o", "a"))
+    last = both.join(first, ["owner_id", "a"]).groupBy("owner_id", "a").agg(F.max("o").alias("o"))
+    pairs = last.select("owner_id", F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b"))
+    return gr.shortest_paths(pairs.distinct(), edges).select("owner_id", "a", "b", "hops", "semantic")
+
+
+@query("neighbourhood_whole", facts("g_edges o_suppliers") + ", e as (select owner_id, src as a, dst as "
+       "b, rel_type as t from g_edges union all select owner_id, dst, src, rel_type from g_edges), "
+       "seeds as (select distinct owner_id, dst as root from t_edges where rel_type = 'CREATED_BY'), one "
+       "as (select s.owner_id, s.root, e.b as node, min(t) as rel_type from seeds s join e on "
+       "s.owner_id = e.owner_id and s.root = e.a group by 1, 2, 3), two as (select o.owner_id, o.root, "
+       "e.b as node, min(t) as rel_type from one o join e on o.owner_id = e.owner_id and o.node = e.a "
+       "where e.b <> o.root and not exists (select 1 from one x where x.owner_id = o.owner_id and "
+       "x.root = o.root and x.node = e.b) group by 1, 2, 3) select owner_id, root, node, hops, rel_type "
+       "from (select *, row_number() over (partition by owner_id, root order by hops, node) as rn from "
+       "(select *, 1 as hops from one union all select *, 2 from two)) where rn <= 50")
+def neighbourhood_whole(spark, sf):
+    """Two hops around each maker: its parts, and what occurs with them."""
+    edges = beds.graph_edges(spark, sf)
+    makers = edges.filter("rel_type = 'CREATED_BY'").select("owner_id", F.col("dst").alias("entity_id"))
+    return gr.neighbourhood(makers.distinct(), edges)
+
+
 HOP1 = ("select l.owner_id, l.query_id, m.chunk_id, e.name, e.type, 1.0::double as score from linked "
         "l join g_entities e on l.owner_id = e.owner_id and l.name_norm = e.name_norm join (select *, "
         "row_number() over (partition by owner_id, entity_id order by chunk_id, file_id) as rn from "
