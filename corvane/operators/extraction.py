@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.text import let, normalize_name, tokenize, trim_blank
+from corvane.session import cut_lineage
 
 ENTITY_JSON = ("array<struct<name:string,type:string,label:string,subtype:string,"
                "description:string>>")
@@ -109,28 +110,45 @@ def extract_mentions(chunks: DataFrame, gazetteer: DataFrame | None = None,
         "*", F.lit("").alias("subtype"), F.lit("").alias("description"))
 
 
-def comention_relations(chunks: DataFrame, mentions: DataFrame, reach: int = 8) -> DataFrame:
+def comention_relations(chunks: DataFrame, mentions: DataFrame, block: int = 64) -> DataFrame:
     """Raw relations between names of one sentence, found without a model.
 
-    Names are linked with the next ``reach`` names behind them in the sentence, in text order, so
-    a sentence that lists very many names gives rows in proportion to them. Rows are those of
+    A name is linked once with every other name that has a place behind one of its own in the
+    sentence. The pairs are the result itself; the names of a sentence are spread over blocks and
+    joined block against block, and pairs are numbered by counts per name. Rows are those of
     ``parse_extraction`` with ``chunk_id``: both names, RELATED_TO, and the sentence.
     """
     base = ["owner_id", "file_id", "chunk_id"]
+    place = [*base, "sentence_no"]
     pieces = F.split("text", r"(?U)(?<=[.!?])\s+|\n")
     told = chunks.select(*base, F.posexplode(pieces).alias("sentence_no", "sentence"))
     names = mentions.select(*base, "raw_name").distinct()
+    last = F.length("sentence") - F.length("raw_name") + 2 - F.expr(
+        "instr(reverse(sentence), reverse(raw_name))")
     here = told.join(names, base).withColumn("at", F.instr("sentence", F.col("raw_name"))).filter(
-        "at > 0")
-    place = W.partitionBy(*base, "sentence_no").orderBy("at", "raw_name")
-    after = F.collect_list("raw_name").over(place.rowsBetween(1, reach))
-    pairs = here.withColumn("after", after).select(
-        *base, "sentence_no", "at", "sentence", F.col("raw_name").alias("from_raw"),
-        F.explode("after").alias("to_raw"))
-    order = F.row_number().over(W.partitionBy(*base).orderBy("sentence_no", "at", "from_raw", "to_raw"))
-    return pairs.select(*base, (order - 1).alias("rel_ord"), "from_raw", "to_raw",
-                        F.lit("RELATED_TO").alias("relation_raw"),
-                        F.substring("sentence", 1, 200).alias("description"))
+        "at > 0").select(*place, "raw_name", "at", last.alias("last"),
+                         F.substring("sentence", 1, 200).alias("description"))
+    here = cut_lineage(here)
+    size = here.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1")
+    sized = here.join(size, place).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    spread = sized.withColumn("mine", F.pmod(F.hash("raw_name"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = spread.select(*place, F.col("mine").alias("ba"), F.col("other").alias("bb"), "at",
+                      F.col("raw_name").alias("from_raw"), "description")
+    b = spread.select(*place, F.col("other").alias("ba"), F.col("mine").alias("bb"), "last",
+                      F.col("raw_name").alias("to_raw"))
+    pairs = a.join(b, [*place, "ba", "bb"]).filter(
+        (F.col("from_raw") != F.col("to_raw"))
+        & (F.struct("at", "from_raw") < F.struct(F.col("last").alias("at"), F.col("to_raw").alias("from_raw"))))
+    mine = [*place, "from_raw"]
+    counts = pairs.groupBy(*mine, "at").agg(F.count("*").alias("n"))
+    ahead = W.partitionBy(*base).orderBy("sentence_no", "at", "from_raw").rowsBetween(
+        W.unboundedPreceding, -1)
+    offsets = counts.select(*mine, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(W.partitionBy(*mine).orderBy("to_raw"))
+    return pairs.withColumn("rank", rank).join(offsets, mine).select(
+        *base, (F.col("offset") + F.col("rank") - 1).cast("int").alias("rel_ord"), "from_raw", "to_raw",
+        F.lit("RELATED_TO").alias("relation_raw"), "description")
 
 
 def word_runs(normalized: Column, max_words: int) -> Column:

@@ -46,3 +46,16 @@ def test_names_of_one_sentence(spark):
     got = [(r["from_raw"], r["to_raw"], r["rel_ord"]) for r in
            ex.comention_relations(chunks, mentions).orderBy("rel_ord").collect()]
     assert got == [("Ann Lee", "Bob Ray", 0), ("Bob Ray", "Ann Lee", 1)]
+
+
+def test_all_names_of_a_long_list_are_linked(spark):
+    names = [f"Nam{chr(97 + i // 26)}{chr(97 + i % 26)} Xo" for i in range(90)]
+    text = ", ".join([*names, names[3]])
+    chunks = spark.createDataFrame([("o", "f", "c", text)], WHERE + ", text string")
+    mentions = spark.createDataFrame([("o", "f", "c", n) for n in names], WHERE + ", raw_name string")
+    rows = ex.comention_relations(chunks, mentions, block=16).collect()
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1:]}
+    want |= {(a, names[3]) for a in names if a != names[3]}
+    assert {(r["from_raw"], r["to_raw"]) for r in rows} == want and len(rows) == len(want)
+    rows.sort(key=lambda r: (text.index(r["from_raw"]), r["to_raw"]))
+    assert [r["rel_ord"] for r in rows] == list(range(len(want)))

@@ -155,6 +155,26 @@ def extract_mentions(spark, sf):
         "owner_id", "file_id", "chunk_id", "raw_name", "raw_type")
 
 
+@query("comention_relations", facts("kept") + ", told as (select owner_id, file_id, chunk_id, "
+       "unnest(range(len(p))) as sentence_no, unnest(p) as sentence from (select owner_id, file_id, "
+       "chunk_id, string_split(replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), "
+       "chr(10), chr(1)), chr(1)) as p from kept)), named as (select distinct owner_id, file_id, "
+       "chunk_id, unnest(regexp_extract_all(text, '\\p{L}{10,}')) as n from kept), here as (select *, instr(sentence, n) as "
+       "at, length(sentence) - length(n) + 2 - instr(reverse(sentence), reverse(n)) as last from told "
+       "join named using (owner_id, file_id, chunk_id) where instr(sentence, n) > 0) select owner_id, "
+       "file_id, chunk_id, (row_number() over (partition by owner_id, file_id, chunk_id order by "
+       "sentence_no, a.at, a.n, b.n) - 1)::integer as rel_ord, a.n as from_raw, b.n as to_raw from here "
+       "a join here b using (owner_id, file_id, chunk_id, sentence_no) where a.n <> b.n and (a.at < "
+       "b.last or (a.at = b.last and a.n < b.n))")
+def comention_relations(spark, sf):
+    """All pairs of long words of one sentence; the given texts hold no phrases of capitalised words."""
+    chunks = kept(spark, sf)
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}{10,}"), F.lit(0))
+    named = chunks.select("owner_id", "file_id", "chunk_id", F.explode(words).alias("raw_name"))
+    return ex.comention_relations(chunks, named).select(
+        "owner_id", "file_id", "chunk_id", "rel_ord", "from_raw", "to_raw")
+
+
 @query("hash_embeddings", facts("files") + ", w as (select file_id, cast(('0x' || substr(md5(t), 1, "
        "8)) as bigint) % 64 as slot, count(*) as n from (select file_id, unnest("
        + tokens("text") + ") as t from files) group by 1, 2), s as (select file_id, "
