@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import (html_text, mixing, near_dedup, packing, phrase_prints, secrets,
-                         token_counts, token_files, toxicity, vector_dedup)
+from corvane.llm import (bloom_scores, html_text, mixing, near_dedup, packing, pair_counts,
+                         phrase_prints, secrets, token_counts, token_files, toxicity,
+                         vector_dedup, whitening)
 from corvane.llm.common import table
 
 #: The registered dedup takes pairs of words.
@@ -55,11 +57,25 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op11_vector_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_bloom_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return bloom_scores.score_documents(table(spark, sf, "documents"),
+                                        F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+def op13_pair_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return pair_counts.token_alignment(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash_dedup, op2_poisson_mix, op3_html_text, op4_length_histogram,
         op5_best_fit_packing, op6_secret_scan, op7_vector_dedup, op8_token_files,
-        op9_phrase_prints, op10_toxicity)}
+        op9_phrase_prints, op10_toxicity, op11_vector_whitening, op12_bloom_scores, op13_pair_counts)}
 
 _COMPONENTS = """
 both_ways as (select a, b from links union select b, a from links),
