@@ -6,6 +6,11 @@ of entities; ``membership(owner_id, node, comm)`` one row per entity.
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,39 +75,119 @@ def _best_moves(links: DataFrame, state: DataFrame, totals: DataFrame) -> DataFr
         F.max(F.when(F.col("comm") == F.col("home"), F.col("gain"))).alias("stay"))
 
 
-def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame, most_left: float = 0.0
-                 ) -> DataFrame:
+#: Links of the nodes that one task moves; a node with more moves by itself, from sums.
+BLOCK_LINKS = 500_000
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """Move the nodes of one block one after the other until none gains.
+
+    Rows are links (src, degree, home, home_tot, dst, comm, tot, weight, two_m). Communities of nodes
+    outside the block stay as they are. After a move only the neighbours of the node are scored
+    again. Every move raises the modularity as the block sees it, so the moves end.
+    """
+    names = pa.chunked_array([*table["home"].chunks, *table["comm"].chunks]).combine_chunks().unique()
+    names = names.take(pc.sort_indices(names))  # ties go to the smallest community
+    nodes = table["src"].combine_chunks().unique()
+    nodes = nodes.take(pc.sort_indices(nodes))
+    column = {c: table[c].to_numpy() for c in ("degree", "home_tot", "tot", "weight", "two_m")}
+    src, inner, home, outer = (pc.fill_null(pc.index_in(table[c], value_set=v), -1).to_numpy()
+                               for c, v in (("src", nodes), ("dst", nodes), ("home", names), ("comm", names)))
+    tot = np.zeros(len(names))
+    tot[outer], tot[home] = column["tot"], column["home_tot"]
+    degree, comm = np.zeros(len(nodes)), np.zeros(len(nodes), dtype=np.int64)
+    degree[src], comm[src] = column["degree"], home
+    order = np.argsort(src, kind="stable")
+    ends = np.searchsorted(src[order], np.arange(len(nodes) + 1)).tolist()
+    inner, outer, weight = (x[order].tolist() for x in (inner, outer, column["weight"]))
+    tot, degree, comm, two_m = tot.tolist(), degree.tolist(), comm.tolist(), float(column["two_m"][0])
+    waiting, waits = deque(range(len(nodes))), [True] * len(nodes)
+    while waiting:
+        i = waiting.popleft()
+        waits[i] = False
+        here, k = comm[i], degree[i]
+        near = {here: 0.0}
+        for e in range(ends[i], ends[i + 1]):
+            c = comm[inner[e]] if inner[e] >= 0 else outer[e]
+            near[c] = near.get(c, 0.0) + weight[e]
+        stay = near.pop(here) - (tot[here] - k) * k / two_m
+        gain, minus = max(((w - tot[c] * k / two_m, -c) for c, w in near.items()), default=(stay, 0))
+        if gain > stay + 1e-9:
+            comm[i] = -minus
+            tot[here] -= k
+            tot[-minus] += k
+            for e in range(ends[i], ends[i + 1]):
+                j = inner[e]
+                if j >= 0 and not waits[j] and comm[j] != -minus:
+                    waits[j] = True
+                    waiting.append(j)
+    return pa.table({"owner_id": table["owner_id"].combine_chunks()[:1].take(
+        pa.array(np.zeros(len(nodes), dtype=np.int64))), "node": nodes, "best": names.take(pa.array(comm))})
+
+
+def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame, most_left: float = 0.0,
+                 block_links: int = BLOCK_LINKS) -> DataFrame:
     """Move nodes to the neighbouring community of highest modularity gain until none gains, or
     at most the share ``most_left`` of them moved in a sweep.
 
-    ``links`` are directed both ways without self loops, ``nodes`` carry degree and comm. A sweep
-    gives every node one turn; in a turn a part of the nodes, chosen by a hash, moves at once, so
-    that two neighbours do not swap for ever. Every ten sweeps the parts get smaller; a node that
-    moves alone raises the modularity, so the sweeps end. Ties go to the smallest community, and
-    only a positive gain moves a node.
+    ``links`` are directed both ways without self loops, ``nodes`` carry degree and comm. Nodes are
+    dealt to blocks of about ``block_links`` links: an owner with few links is one block, otherwise
+    communities are dealt by hash and large communities split by node. Each block is settled in its
+    own task against the communities that the others had before. A node with more links than a block
+    takes its best move from sums by community instead. Where an owner has several blocks, a turn
+    moves only a part of them, every ten sweeps the parts get smaller, and a block that moves alone
+    raises the modularity; so the sweeps end. Ties go to the smallest community.
     """
-    state = cut_lineage(nodes.select("owner_id", "node", "degree", "comm"))
+    count = links.groupBy("owner_id", F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    state = cut_lineage(nodes.select("owner_id", "node", "degree", "comm").join(
+        count, ["owner_id", "node"], "left").fillna(0, ["n"]))
+    owners = cut_lineage(totals.join(state.groupBy("owner_id").agg(
+        F.ceil(F.sum("n") / block_links).alias("blocks"),
+        F.max("n").alias("most")), "owner_id"))
+    facts = owners.agg(F.max("blocks"), F.max("most")).first()
+    split, heavy = (facts[0] or 0) > 1, (facts[1] or 0) > block_links
     enough = most_left * state.count()
     sweep = moved_in_sweep = turn = 0
     while True:
-        parts = 2 + sweep // 10
-        best = _best_moves(links, state, totals)
-        may_move = F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(parts)) == turn
-        moves = may_move & (-F.col("best.minus") > F.col("stay") + 1e-9)
-        after = cut_lineage(best.select(
-            "owner_id", "node", "degree", "home",
-            F.when(moves, F.col("best.comm")).otherwise(F.col("home")).alias("comm")))
+        parts = 2 + sweep // 10 if split or heavy else 1
+        sizes = state.groupBy("owner_id", "comm").agg(F.sum("degree").alias("tot"),
+                                                      F.sum("n").alias("held"))
+        block = F.when(F.col("held") > block_links, F.concat_ws("/", "comm", F.pmod(
+            F.xxhash64("node"), F.ceil(F.col("held") / block_links)).cast("string"))).otherwise(
+            F.pmod(F.xxhash64("comm"), F.greatest("blocks", F.lit(1))).cast("string"))
+        placed = state.join(sizes, ["owner_id", "comm"]).join(owners, "owner_id").withColumn("block", block)
+        goes = F.when(F.col("blocks") <= 1, F.lit(turn == 0)).otherwise(
+            F.pmod(F.xxhash64("block", F.lit(sweep)), F.lit(parts)) == turn)
+        movers = placed.where(goes & F.col("n").between(1, block_links)).select(
+            "owner_id", F.col("node").alias("src"), "degree", F.col("comm").alias("home"),
+            F.col("tot").alias("home_tot"), "two_m", "block")
+        others = placed.select("owner_id", F.col("node").alias("dst"), "comm", "tot")
+        moved = links.join(movers, ["owner_id", "src"]).join(others, ["owner_id", "dst"]).groupBy(
+            "owner_id", "block").applyInArrow(_settle, "owner_id string, node string, best string")
+        if heavy:
+            hubs = state.where((F.col("n") > block_links) & (
+                F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(parts)) == turn))
+            best = _best_moves(links.join(hubs.select("owner_id", F.col("node").alias("src")),
+                                          ["owner_id", "src"], "left_semi"), state, totals)
+            moved = moved.unionByName(best.join(hubs.select("owner_id", "node"), ["owner_id", "node"])
+                                      .where(-F.col("best.minus") > F.col("stay") + 1e-9)
+                                      .select("owner_id", "node", F.col("best.comm").alias("best")))
+        after = cut_lineage(state.join(moved, ["owner_id", "node"], "left").select(
+            "owner_id", "node", "degree", "n", F.col("comm").alias("home"),
+            F.coalesce("best", "comm").alias("comm")))
         moved_in_sweep += after.filter("comm <> home").count()
         drop_steps(state)
         state = after.drop("home")
         turn += 1
         if turn == parts:
-            if moved_in_sweep <= enough:
+            # whole blocks are settled, so without a second block one sweep is enough
+            if moved_in_sweep <= enough or parts == 1:
+                drop_steps(owners)
                 return state.select("owner_id", "node", "comm")
             sweep, turn, moved_in_sweep = sweep + 1, 0, 0
 
 
-def louvain(graph: DataFrame) -> DataFrame:
+def louvain(graph: DataFrame, block_links: int = BLOCK_LINKS) -> DataFrame:
     """Communities by modularity: single nodes move, then whole communities, and again, until
     neither a node nor a community gains by joining another. The first pass leaves the last few
     moves to the later ones, which go on until nothing moves. Owners are independent but share
@@ -115,8 +200,9 @@ def louvain(graph: DataFrame) -> DataFrame:
     members = cut_lineage(degrees.select("owner_id", "node", F.col("node").alias("comm")))
     most_left = 0.02
     while True:
-        moved = _local_moves(links, degrees.join(members, ["owner_id", "node"]), totals, most_left)
-        before, members = members, _joined_up(graph, degrees, moved, totals, most_left)
+        moved = _local_moves(links, degrees.join(members, ["owner_id", "node"]), totals, most_left,
+                             block_links)
+        before, members = members, _joined_up(graph, degrees, moved, totals, most_left, block_links)
         same = before.join(members.withColumnRenamed("comm", "now"), ["owner_id", "node"])
         pairs = same.select("owner_id", "comm", "now").distinct()
         # a partition is the same when its communities and those before are one to one
@@ -130,7 +216,7 @@ def louvain(graph: DataFrame) -> DataFrame:
 
 
 def _joined_up(graph: DataFrame, degrees: DataFrame, members: DataFrame, totals: DataFrame,
-               most_left: float) -> DataFrame:
+               most_left: float, block_links: int) -> DataFrame:
     """Let communities move as the nodes of a smaller graph, level by level."""
     members = cut_lineage(members)
     while True:
@@ -147,7 +233,7 @@ def _joined_up(graph: DataFrame, degrees: DataFrame, members: DataFrame, totals:
         nodes = degrees.join(members, ["owner_id", "node"]).groupBy(
             "owner_id", F.col("comm").alias("node")).agg(F.sum("degree").alias("degree"))
         moved = _local_moves(_both_ways(current), nodes.withColumn("comm", F.col("node")), totals,
-                             most_left)
+                             most_left, block_links)
         idle = moved.filter("node <> comm").isEmpty()
         if not idle:
             step = moved.select("owner_id", F.col("node").alias("comm"), F.col("comm").alias("up"))
