@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,13 +35,17 @@ SPREAD = 1.5
 #: Bytes of tables (hash, keys and counts) that are broadcast at once.
 TABLE_BYTES = 96 << 20
 #: Segments a process remembers, and the longest of them in characters.
-MEMO_SEGMENTS, MEMO_CHARS = 400_000, 64
+MEMO_SEGMENTS, MEMO_CHARS = 700_000, 64
+#: Characters aligned at once.
+SLICE_CHARS = 2_000_000
 #: Distinct pairs that a task gathers before it hands them on.
 FLUSH_PAIRS = 1_000_000
 
 U = np.uint64
 #: A cut is safe before one space or line break with other characters on both sides.
 CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: White space that makes a text irregular: all others are cut at every space and line break.
+IRREGULAR = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
 
 
 # --- aligned segments -------------------------------------------------------------------------
@@ -57,15 +60,15 @@ def links_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def groups_of(names_a: list[str], names_b: list[str], ends_a: np.ndarray, ends_b: np.ndarray
-              ) -> tuple[list[str], np.ndarray]:
-    """Tokens between the places where both cuts end one, as ``a1,a2|b1``, and these places."""
+              ) -> list[str]:
+    """Tokens between the places where both cuts end one, as ``a1,a2|b1``."""
     shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
     cuts = zip(*(np.append(0, np.searchsorted(e, shared) + 1).tolist() for e in (ends_a, ends_b)))
     out, (i0, j0) = [], next(cuts)
     for i, j in cuts:
         out.append(f"{','.join(names_a[i0:i])}|{','.join(names_b[j0:j])}")
         i0, j0 = i, j
-    return out, shared
+    return out
 
 
 def counted(ends: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -73,10 +76,26 @@ def counted(ends: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.searchsorted(places, ends, side="right")))
 
 
+class Numbers(dict):
+    """Numbers of segments in the order they are met; long ones are met anew each time."""
+
+    def __init__(self):
+        super().__init__()
+        self.next, self.fresh = 0, []
+
+    def __missing__(self, key: str) -> int:
+        number = self.next
+        self.next = number + 1
+        self.fresh.append(key)
+        if len(key) <= MEMO_CHARS:
+            self[key] = number
+        return number
+
+
 class Aligner:
     """Segments by number, with the ids of both vocabularies aligned."""
 
-    def __init__(self, path_a: str, path_b: str, memo: int = MEMO_SEGMENTS):
+    def __init__(self, path_a: str, path_b: str, name_groups: bool, memo: int = MEMO_SEGMENTS):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -104,40 +123,55 @@ class Aligner:
                                     for parts in (self.bytes_a, self.bytes_b))
         self.names_a, self.names_b = ([str(k) for k in range(len(parts))]
                                       for parts in (self.bytes_a, self.bytes_b))
-        self.memo = memo
+        self.marks = {c: self.a.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
+        self.memo, self.name_groups = memo, name_groups
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = Numbers()
         #: Per segment: tokens of a, of b, groups, links, and whether both give its bytes back.
         self.facts = array("q")
         self.groups: list[bytes] = []
         self.pairs, self.pair_ends = array("I"), array("q", [0])
 
     def full(self) -> bool:
-        return len(self.groups) > self.memo
+        return self.numbers.next > self.memo
 
-    def segments(self, text: str) -> list[str]:
-        return CUTS.split(" " + text) if self.cuts else [" " + text]
+    def keys(self, text: str) -> list[str]:
+        """The segments of a space and the text; that space is left out where no other follows."""
+        if not self.cuts:
+            return [" " + text]
+        if not IRREGULAR.search(text):
+            return text.replace("\n", " \n").split(" ")
+        return [s if s[0] == "\n" or s[1:2].isspace() or s == " " else s[1:]
+                for s in CUTS.split(" " + text)]
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of segments. Plain words go to the merges of the first vocabulary straight away."""
-        merge, found, rest = self.a.model.tokenize, {}, []
-        for text in texts:
-            if text[0] == " " and text[1:].isalpha():
-                word = text[1:] if text.isascii() else text[1:].encode().decode("latin-1").translate(BYTE_LETTERS)
-                found[text] = [t.id for t in merge("Ġ" + word)]
+        merge, marks, out, rest = self.a.model.tokenize, self.marks, [], []
+        for k, text in enumerate(texts):
+            mark = marks.get(text[-1]) if text[0] == " " else None
+            word = text[1:] if mark is None else text[1:-1]
+            if word.isalpha() and text[0] == " ":
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = [t.id for t in merge("Ġ" + word)]
+                out.append(ids if mark is None else ids + [mark])
             else:
-                rest.append(text)
-        found.update(zip(rest, (e.ids for e in self.a.encode_batch_fast(rest, add_special_tokens=False))))
+                out.append([])
+                rest.append(k)
+        found = self.a.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
+        for k, encoded in zip(rest, found):
+            out[k] = encoded.ids
         encoded_b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
         for k, text in enumerate(texts):
             if text[0] != " ":  # the model put a space before the line break
                 encoded_b[k] = encoded_b[k][1:]
-        return [found[t] for t in texts], encoded_b
+        return out, encoded_b
 
-    def learn(self, texts: list[str]) -> dict[str, int]:
-        """Encode and align distinct segments; long ones get a number only for the caller."""
+    def learn(self, keys: list[str]) -> None:
+        """Encode and align segments, in the order of their numbers."""
+        texts = [k if k[:1] in ("\n", " ") else " " + k for k in keys]
         a, b = self.encode(texts)
         good = [True] * len(texts)
         flat = [x for ids in a for x in ids], [x for ids in b for x in ids]
@@ -154,31 +188,26 @@ class Aligner:
         ends = np.append(0, ends_a)[np.cumsum(sizes[:, 0])]
         i, j = links_of(ends_a, ends_b)
         n_links = counted(np.cumsum(sizes[:, 0]) - 1, i)
-        groups, shared = groups_of(list(map(self.names_a.__getitem__, flat[0])),
-                                   list(map(self.names_b.__getitem__, flat[1])), ends_a, ends_b)
-        n_groups = counted(ends, shared)
-        begin = len(self.groups)
-        cuts = np.cumsum(n_groups).tolist()
-        self.groups += [";".join(groups[x:y]).encode() for x, y in zip([0, *cuts], cuts)]
+        n_groups = counted(ends, np.intersect1d(ends_a, ends_b, assume_unique=True))
+        if self.name_groups:
+            groups = groups_of(list(map(self.names_a.__getitem__, flat[0])),
+                               list(map(self.names_b.__getitem__, flat[1])), ends_a, ends_b)
+            cuts = np.cumsum(n_groups).tolist()
+            self.groups += [";".join(groups[x:y]).encode() for x, y in zip([0, *cuts], cuts)]
         self.facts.frombytes(np.column_stack([sizes, n_groups, n_links, np.array(good, dtype=np.int64)]
                                              ).astype(np.int64).tobytes())
         self.pair_ends.frombytes((len(self.pairs) + np.cumsum(n_links)).tobytes())
         self.pairs.frombytes((flat_a[i] * self.size_b + flat_b[j]).astype(np.uint32).tobytes())
-        fresh = {t: begin + k for k, t in enumerate(texts)}
-        self.numbers.update((t, k) for t, k in fresh.items() if len(t) <= MEMO_CHARS)
-        return fresh
 
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the segments of all texts, segments per text); empty texts have none."""
-        split = [self.segments(t) if t else [] for t in texts]
-        flat = [s for segments in split for s in segments]
-        numbers = self.numbers
-        fresh = self.learn([s for s in set(flat) if s not in numbers])
-        if any(len(s) > MEMO_CHARS for s in fresh):
-            numbers = ChainMap(fresh, numbers)
-        get = numbers.__getitem__
-        return (np.fromiter(map(get, flat), dtype=np.int64, count=len(flat)),
-                np.array([len(s) for s in split], dtype=np.int64))
+        split = [self.keys(t) if t else [] for t in texts]
+        numbers = np.fromiter((n for keys in split for n in map(self.numbers.__getitem__, keys)),
+                              dtype=np.int64, count=sum(map(len, split)))
+        if self.numbers.fresh:
+            self.learn(self.numbers.fresh)
+            self.numbers.fresh = []
+        return numbers, np.array([len(s) for s in split], dtype=np.int64)
 
     def aligned(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As ``align``, without the segments of texts that either vocabulary changes.
@@ -193,9 +222,10 @@ class Aligner:
         return numbers[keep], np.where(broken, 0, sizes), facts
 
 
-@lru_cache(maxsize=2)
-def aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
+@lru_cache(maxsize=1)
+def aligner(path_a: str, path_b: str, name_groups: bool = False) -> Aligner:
+    """The aligner of this process; tasks of one worker and pass share its memo."""
+    return Aligner(path_a, path_b, name_groups)
 
 
 # --- minimal perfect hash ---------------------------------------------------------------------
@@ -268,8 +298,8 @@ class Counts:
 def document_pairs(numbers: np.ndarray, sizes: np.ndarray, own: Aligner) -> np.ndarray:
     """Each distinct pair of each text once."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    kinds = np.unique(doc * max(1, len(own.groups)) + numbers)
-    doc, numbers = np.divmod(kinds, max(1, len(own.groups)))
+    kinds = np.unique(doc * max(1, own.numbers.next) + numbers)
+    doc, numbers = np.divmod(kinds, max(1, own.numbers.next))
     ends = np.array(own.pair_ends)
     count = ends[numbers + 1] - ends[numbers]
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends[numbers], count)
@@ -304,7 +334,7 @@ def pair_rows(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
                      pa.array([total[mine].tobytes()], pa.binary())],
                     ["shard", "lane", "keys", "counts"])
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE_CHARS):
             if own.full():
                 own.forget()
             numbers, sizes, _ = own.aligned(batch.column("text").to_pylist())
@@ -443,10 +473,10 @@ def token_alignment(docs: DataFrame, path_a: str | None = None, path_b: str | No
 
     def reader(held, shards: list[int], first: bool, last: bool):
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, tops = aligner(*paths), best.value
+            own, tops = aligner(*paths, True), best.value
             counts = {s: Counts(*data) for s, data in held.value.items()}
             sums = SegmentSums(own, counts, tops)
-            for batch in sliced(batches, "text"):
+            for batch in sliced(batches, "text", SLICE_CHARS):
                 if own.full():
                     own.forget()
                     sums = SegmentSums(own, counts, tops)
