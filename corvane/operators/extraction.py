@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,6 +83,7 @@ def parse_extraction(outputs: DataFrame, expected: DataFrame | None = None
     return entities, relations
 
 
+CHUNK = ["owner_id", "file_id", "chunk_id"]
 PHRASE = r"(?U)\b\p{Lu}\w+(?: \p{Lu}\w+)+"
 
 
@@ -90,35 +93,101 @@ def phrases(text: Column | str) -> Column:
                                 F.lit(PHRASE), F.lit(0))
 
 
-def extract_mentions(chunks: DataFrame, gazetteer: DataFrame | None = None,
-                     max_words: int = 4) -> DataFrame:
+#: Letters of all names that one automaton may hold (about 100 bytes each in a task).
+AUTOMATON_LETTERS = 2_000_000
+
+
+def extract_mentions(chunks: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Mentions found without a model: capitalised phrases and gazetteer names.
 
-    Gazetteer rows are ``(name_norm, name, type)``; they meet word runs of the text by
-    equality, never by scanning every name against every text.
+    Gazetteer rows are ``(name_norm, name, type)``; names have any number of words.
     """
-    base = ["owner_id", "file_id", "chunk_id"]
-    found = chunks.select(*base, F.explode(F.array_distinct(phrases("text"))).alias("raw_name"))
-    mentions = found.select(*base, "raw_name", F.lit("OTHER").alias("raw_type"))
+    found = chunks.select(*CHUNK, F.explode(F.array_distinct(phrases("text"))).alias("raw_name"))
+    mentions = found.select(*CHUNK, "raw_name", F.lit("OTHER").alias("raw_type"))
     if gazetteer is not None:
-        grams = chunks.select(*base, F.explode(word_runs(normalize_name("text"), max_words))
-                              .alias("name_norm"))
-        named = grams.join(gazetteer.select("name_norm", "name", "type"), "name_norm")
+        named = gazetteer_matches(chunks, gazetteer.select("name_norm")).join(
+            gazetteer.select("name_norm", "name", "type"), "name_norm")
         mentions = mentions.unionByName(named.select(
-            *base, F.col("name").alias("raw_name"), F.col("type").alias("raw_type")))
+            *CHUNK, F.col("name").alias("raw_name"), F.col("type").alias("raw_type")))
     return mentions.distinct().select(
         "*", F.lit("").alias("subtype"), F.lit("").alias("description"))
 
 
-def comention_relations(chunks: DataFrame, mentions: DataFrame, block: int = 64) -> DataFrame:
+def gazetteer_matches(chunks: DataFrame, names: DataFrame,
+                      automaton_letters: int = AUTOMATON_LETTERS) -> DataFrame:
+    """(owner_id, file_id, chunk_id, name_norm): names that stand in a chunk as whole words.
+
+    A gazetteer whose letters were counted and found few becomes an automaton in each task: one pass
+    over the text finds names of all lengths, and nothing is shuffled. A larger one meets the texts
+    by the first two words of its names; only names of three and more words are then looked for in
+    their candidate texts. Both ways give the same rows.
+    """
+    names = names.where(F.coalesce(F.col("name_norm"), F.lit("")) != "").select("name_norm").distinct()
+    spaced = F.array_join(F.filter(F.split(normalize_name("text"), " "), lambda w: w != ""), " ")
+    texts = chunks.select(*CHUNK, F.concat(F.lit(" "), spaced, F.lit(" ")).alias("spaced"))
+    letters = names.agg(F.sum(F.length("name_norm"))).first()[0] or 0
+    if letters <= automaton_letters:
+        return _automaton_matches(texts, names)
+    return _anchored_matches(texts, names)
+
+
+def _automaton_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
+    listed = [r["name_norm"] for r in names.collect()]  # the caller checked their size
+    held = texts.sparkSession.sparkContext.broadcast(listed)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields
+                       if f.name != "spaced") + ", name_norm string"
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, name in enumerate(held.value):
+            automaton.add_word(f" {name} ", k)
+        if not held.value:
+            return
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for row, text in enumerate(batch.column("spaced").to_pylist()):
+                hits = {k for _, k in automaton.iter(text)} if text else ()
+                rows += [row] * len(hits)
+                found += hits
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in CHUNK),
+                 pa.array([held.value[k] for k in found], pa.string())], [*CHUNK, "name_norm"])
+
+    return texts.mapInArrow(match, schema)
+
+
+def _anchored_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
+    def pairs(words: Column) -> Column:
+        return F.array_distinct(F.transform(words, lambda w, i: F.concat_ws(
+            " ", w, F.try_element_at(words, i + 2))))
+
+    words = F.split("name_norm", " ")
+    keyed = names.select("name_norm", F.size(words).alias("n"),
+                         F.array_join(F.slice(words, 1, 2), " ").alias("anchor"))
+    own = texts.select(*CHUNK, F.split(F.trim("spaced"), " ").alias("w"))
+    one = own.select(*CHUNK, F.explode(F.array_distinct("w")).alias("anchor"))
+    two = own.where(F.size("w") > 1).select(*CHUNK, F.explode(pairs(F.col("w"))).alias("anchor"))
+    short = one.join(keyed.where("n = 1"), "anchor")
+    met = two.join(keyed.where("n > 1"), "anchor")
+    long = met.where("n > 2").join(texts, CHUNK).where(
+        F.contains("spaced", F.concat(F.lit(" "), F.col("name_norm"), F.lit(" "))))
+    return short.select(*CHUNK, "name_norm").unionByName(
+        met.where("n = 2").select(*CHUNK, "name_norm")).unionByName(long.select(*CHUNK, "name_norm"))
+
+
+def comention_relations(chunks: DataFrame, mentions: DataFrame, block: int = 64,
+                        description_chars: int = 200) -> DataFrame:
     """Raw relations between names of one sentence, found without a model.
 
     A name is linked once with every other name that has a place behind one of its own in the
     sentence. The pairs are the result itself; the names of a sentence are spread over blocks and
     joined block against block, and pairs are numbered by counts per name. Rows are those of
-    ``parse_extraction`` with ``chunk_id``: both names, RELATED_TO, and the sentence.
+    ``parse_extraction`` with ``chunk_id``: both names, RELATED_TO, and the sentence, of which the
+    description repeats ``description_chars`` characters for each pair.
     """
-    base = ["owner_id", "file_id", "chunk_id"]
+    base = CHUNK
     place = [*base, "sentence_no"]
     pieces = F.split("text", r"(?U)(?<=[.!?])\s+|\n")
     told = chunks.select(*base, F.posexplode(pieces).alias("sentence_no", "sentence"))
@@ -127,7 +196,7 @@ def comention_relations(chunks: DataFrame, mentions: DataFrame, block: int = 64)
         "instr(reverse(sentence), reverse(raw_name))")
     here = told.join(names, base).withColumn("at", F.instr("sentence", F.col("raw_name"))).filter(
         "at > 0").select(*place, "raw_name", "at", last.alias("last"),
-                         F.substring("sentence", 1, 200).alias("description"))
+                         F.substring("sentence", 1, description_chars).alias("description"))
     here = cut_lineage(here)
     size = here.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1")
     sized = here.join(size, place).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))

@@ -59,3 +59,25 @@ def test_all_names_of_a_long_list_are_linked(spark):
     assert {(r["from_raw"], r["to_raw"]) for r in rows} == want and len(rows) == len(want)
     rows.sort(key=lambda r: (text.index(r["from_raw"]), r["to_raw"]))
     assert [r["rel_ord"] for r in rows] == list(range(len(want)))
+
+
+def test_gazetteer_names_of_any_length(spark):
+    words = "aa bb cc dd ee ff gg hh ii jj kk ll".split()
+    names = [" ".join(words[:n]) for n in range(1, 13)] + ["university of economics and law", "law", "", None,
+                                                           "bb", "cc dd", "dd cc", "of economics"]
+    texts = {"1": "He left the University of Economics and Law.", "2": " ".join(words) + " dd", "3": "", "4": None,
+             "5": "xaa bb", "6": "aa bb cc xdd", "7": "Law", "8": "aa  bb\ncc-dd"}
+    chunks = spark.createDataFrame([("o", "f", k, t) for k, t in texts.items()], WHERE + ", text string")
+    gazetteer = spark.createDataFrame([(n, n, "T") for n in [*names, "law"]],
+                                      "name_norm string, name string, type string")
+
+    def plain(text):
+        spaced = f" {' '.join((text or '').lower().replace('.', ' ').replace('-', ' ').split())} "
+        return {n for n in names if n and f" {n} " in spaced}
+
+    want = sorted((k, n) for k, t in texts.items() for n in plain(t))
+    for letters in (ex.AUTOMATON_LETTERS, 0):
+        got = ex.gazetteer_matches(chunks, gazetteer, letters)
+        assert sorted((r["chunk_id"], r["name_norm"]) for r in got.collect()) == want
+    found = {r["raw_name"] for r in ex.extract_mentions(chunks, gazetteer).filter("raw_type = 'T'").collect()}
+    assert "university of economics and law" in found and " ".join(words) in found

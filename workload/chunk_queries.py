@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corvane.functions.text import normalize_name
 from corvane.operators import chunking as ck
 from corvane.operators import extraction as ex
 from workload import beds
@@ -155,6 +156,26 @@ def extract_mentions(spark, sf):
         "owner_id", "file_id", "chunk_id", "raw_name", "raw_type")
 
 
+PASSAGE_WORDS = "list_filter(string_split(" + norm_name("text") + ", ' '), lambda w: w <> '')"
+
+
+@query("gazetteer_matches", facts("kept") + f", b as (select {PASSAGE_WORDS} as w from benchmark), "
+       "g as (select distinct array_to_string(w[1:n], ' ') as name_norm from b, range(1, 13) t(n) "
+       f"where len(w) >= n), k as (select owner_id, file_id, chunk_id, ' ' || array_to_string("
+       f"{PASSAGE_WORDS}, ' ') || ' ' as spaced from kept) select owner_id, file_id, chunk_id, "
+       "name_norm from k join g on contains(spaced, ' ' || name_norm || ' ')")
+def gazetteer_matches(spark, sf):
+    """The first one to twelve words of every benchmark passage as names."""
+    return ex.gazetteer_matches(kept(spark, sf), passage_names(spark, sf))
+
+
+def passage_names(spark, sf):
+    words = F.filter(F.split(normalize_name("text"), " "), lambda w: w != "")
+    return beds.table(spark, sf, "benchmark").select(words.alias("w")).select(
+        "w", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("n")).where("size(w) >= n").select(
+        F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("name_norm"))
+
+
 @query("comention_relations", facts("kept") + ", told as (select owner_id, file_id, chunk_id, "
        "unnest(range(len(p))) as sentence_no, unnest(p) as sentence from (select owner_id, file_id, "
        "chunk_id, string_split(replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), "
