@@ -261,62 +261,73 @@ def _search(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     """Shortest paths of ``(owner_id, a, b)`` pairs as ``(.., hops, nodes, rels)``.
 
     Breadth-first from both ends, one hop at a time and turn about; a pair leaves as soon as
-    its two sides meet, and an end leaves with its last open pair. Each side keeps one parent
-    step per reached node, the smallest, so equal inputs give equal paths. The loop has
-    ``max_hops`` turns, and each turn is written out before the next.
+    its two sides meet, and an end leaves with its last open pair. A reached node keeps only its
+    parent and the step from there, the smallest, so equal inputs give equal paths; paths are put
+    together from the parents for the pairs that were found. The loop has ``max_hops`` turns; the
+    last one only looks at nodes that the other side has reached.
     """
-    both = undirected(edges).select("owner_id", "node", "other", "rel_type", "description", "back")
-    node_key = ["owner_id", "root", "node"]
+    links = cut_lineage(undirected(edges).groupBy("owner_id", "node", "other").agg(
+        F.min(F.struct("rel_type", "description", "back")).alias("step")))
     wanted = cut_lineage(pairs.select("owner_id", "a", "b").distinct().filter("a <> b"))
-    reached = {}
-    for side in ("a", "b"):
-        reached[side] = wanted.select(
-            "owner_id", F.col(side).alias("root"), F.col(side).alias("node"),
-            F.lit(0).alias("dist"), F.array(side).alias("nodes"),
-            F.array().cast("array<struct<rel_type:string,description:string,back:int>>")
-            .alias("rels")).distinct()
+    left = wanted.count()
+    front = {side: wanted.select("owner_id", F.col(side).alias("root"), F.col(side).alias("node"))
+             .distinct() for side in "ab"}
+    reached, parents = dict(front), {"a": [], "b": []}
     found = None
     for turn in range(1, max_hops + 1):
-        side = "a" if turn % 2 else "b"
-        depth = (turn + 1) // 2
+        side, far = "ab" if turn % 2 else "ba"
         roots = wanted.select("owner_id", F.col(side).alias("root")).distinct()
-        frontier = reached[side].filter(F.col("dist") == depth - 1).join(
-            roots, ["owner_id", "root"], "left_semi")
-        steps = frontier.join(both, ["owner_id", "node"]).select(
-            "owner_id", "root", F.col("other").alias("node"),
-            F.struct(F.array_append("nodes", F.col("other")).alias("nodes"),
-                     F.array_append("rels", F.struct("rel_type", "description", "back"))
-                     .alias("rels")).alias("path"))
-        fresh = steps.join(reached[side], node_key, "left_anti").groupBy(*node_key).agg(
-            F.min("path").alias("path"))
-        fresh = cut_lineage(fresh.select(*node_key, F.lit(depth).alias("dist"), "path.nodes",
-                                         "path.rels"))
-        reached[side] = reached[side].unionByName(fresh)
-        far = "b" if side == "a" else "a"
-        near_new = fresh.select("owner_id", F.col("root").alias(side), "node",
-                                F.struct("dist", "nodes", "rels").alias(f"p_{side}"))
-        other = reached[far].select("owner_id", F.col("root").alias(far), "node",
-                                    F.struct("dist", "nodes", "rels").alias(f"p_{far}"))
-        meet = wanted.join(near_new, ["owner_id", side]).join(other, ["owner_id", far, "node"])
-        best = meet.groupBy("owner_id", "a", "b").agg(F.min(F.struct(
-            (F.col("p_a.dist") + F.col("p_b.dist")).alias("hops"), "node", "p_a", "p_b"))
-            .alias("m"))
-        joined = cut_lineage(best.select(
-            "owner_id", "a", "b", "m.hops",
-            F.concat("m.p_a.nodes", F.slice(F.reverse("m.p_b.nodes"), 2, max_hops + 1))
-            .alias("nodes"),
-            F.concat("m.p_a.rels", F.transform(F.reverse("m.p_b.rels"), lambda r: F.struct(
-                r["rel_type"].alias("rel_type"), r["description"].alias("description"),
-                (1 - r["back"]).alias("back")))).alias("rels")))
-        found = joined if found is None else found.unionByName(joined)
-        # An end without fresh nodes has seen its whole component, so its open pairs have no path.
-        alive = fresh.select("owner_id", F.col("root").alias(side)).distinct()
-        wanted = cut_lineage(wanted.join(joined, ["owner_id", "a", "b"], "left_anti")
-                             .join(alive, ["owner_id", side], "left_semi")
-                             .select("owner_id", "a", "b"))
-        if wanted.isEmpty():
+        near = links
+        if turn == max_hops:
+            near = links.join(front[far].select("owner_id", F.col("node").alias("other")).distinct(),
+                              ["owner_id", "other"], "left_semi")
+        fresh = cut_lineage(
+            front[side].join(roots, ["owner_id", "root"], "left_semi").join(near, ["owner_id", "node"])
+            .select("owner_id", "root", F.col("other").alias("node"),
+                    F.struct(F.col("node").alias("parent"), "step").alias("via"))
+            .join(reached[side], ["owner_id", "root", "node"], "left_anti")
+            .groupBy("owner_id", "root", "node").agg(F.min("via").alias("via")))
+        met = cut_lineage(
+            wanted.join(fresh.select("owner_id", F.col("root").alias(side), "node"), ["owner_id", side])
+            .join(front[far].select("owner_id", F.col("root").alias(far), "node"), ["owner_id", far, "node"])
+            .groupBy("owner_id", "a", "b").agg(F.min("node").alias("node")))
+        parents[side].append(fresh)
+        front[side] = fresh.select("owner_id", "root", "node")
+        reached[side] = reached[side].unionByName(front[side])
+        n_met = met.count()
+        if n_met:
+            rows = _told(met, parents).withColumn("hops", F.lit(turn))
+            found = rows if found is None else found.unionByName(rows)
+            left -= n_met
+            wanted = cut_lineage(wanted.join(met, ["owner_id", "a", "b"], "left_anti"))
+        if left <= 0:
             break
-    return found
+    if found is None:
+        found = _told(met, parents).withColumn("hops", F.lit(0))
+    return cut_lineage(found.select("owner_id", "a", "b", "hops", "nodes", "rels"))
+
+
+def _told(met: DataFrame, parents: dict[str, list[DataFrame]]) -> DataFrame:
+    """Nodes and relations of the paths over the node where both sides met, end by end.
+
+    ``parents`` holds the nodes that each side reached, one table per hop.
+    """
+    rels = "array<struct<rel_type:string,description:string,back:int>>"
+    rows = met.withColumns({"nodes": F.array("node"), "rels": F.array().cast(rels)})
+    for side in "ab":
+        rows = rows.withColumn("at", F.col("node"))
+        for hop in reversed(parents[side]):
+            via = hop.select("owner_id", F.col("root").alias(side), F.col("node").alias("at"), "via")
+            rows = rows.join(via, ["owner_id", side, "at"])
+            parent, step = F.col("via.parent"), F.col("via.step")
+            if side == "a":
+                nodes, steps = F.array_prepend("nodes", parent), F.array_prepend("rels", step)
+            else:
+                back = F.struct(step["rel_type"].alias("rel_type"), step["description"].alias("description"),
+                                (1 - step["back"]).alias("back"))
+                nodes, steps = F.array_append("nodes", parent), F.array_append("rels", back)
+            rows = rows.withColumns({"nodes": nodes, "rels": steps, "at": parent}).drop("via")
+    return rows.drop("at", "node")
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 5) -> DataFrame:
@@ -390,21 +401,28 @@ def paths_text(paths: DataFrame) -> DataFrame:
 
 
 def neighbourhood(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
-    """Nodes within ``depth`` hops of each seed ``(owner_id, entity_id)``, nearest first."""
+    """Nodes within ``depth`` hops of each seed ``(owner_id, entity_id)``, nearest first.
+
+    A hop keeps the first ``limit`` nodes of each root, and a root that has as many goes no further:
+    nothing beyond can be in the result. So no hop starts from more than ``limit`` nodes of a root.
+    """
     both = undirected(edges).select("owner_id", "node", "other", "rel_type")
-    key = ["owner_id", "root", "node"]
+    root, key = ["owner_id", "root"], ["owner_id", "root", "node"]
     seen = seeds.select("owner_id", F.col("entity_id").alias("root"),
                         F.col("entity_id").alias("node"), F.lit(0).alias("hops"),
                         F.lit("").alias("rel_type")).distinct()
     frontier = seen
     for hop in range(1, depth + 1):
-        step = frontier.select("owner_id", "root", "node").join(both, ["owner_id", "node"]).select(
-            "owner_id", "root", F.col("other").alias("node"), "rel_type")
+        step = frontier.select(*key).join(both, ["owner_id", "node"]).select(
+            *root, F.col("other").alias("node"), "rel_type")
         fresh = step.join(seen, key, "left_anti").groupBy(*key).agg(
             F.min("rel_type").alias("rel_type"))
-        frontier = cut_lineage(fresh.select(*key, F.lit(hop).alias("hops"), "rel_type"))
-        seen = seen.unionByName(frontier)
-    return first_per(seen.filter("hops > 0"), ["owner_id", "root"], ["hops", "node"], limit)
+        fresh = cut_lineage(first_per(fresh, root, ["node"], limit, "place").select(
+            *key, F.lit(hop).alias("hops"), "rel_type"))
+        seen = seen.unionByName(fresh)
+        done = seen.filter("hops > 0").groupBy(*root).count().filter(F.col("count") >= limit)
+        frontier = fresh.join(done, root, "left_anti")
+    return first_per(seen.filter("hops > 0"), root, ["hops", "node"], limit)
 
 
 # --- Chunk retrieval over the graph ---------------------------------------
