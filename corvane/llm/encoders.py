@@ -144,6 +144,65 @@ BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {
     b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+class Numbers(dict):
+    """Numbers of pieces in the order they are met."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        number = self[piece] = len(self)
+        return number
+
+
+class NumberedEncoder(PieceEncoder):
+    """As above, with one lookup per piece: pieces are numbered, and their ids found by number.
+
+    The memo starts anew when it is full. Gives the ids of a text as bytes of ``dtype``.
+    """
+
+    def __init__(self, path: str, memo: int = 2 * MEMO_PIECES):
+        super().__init__(path, memo)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.parts = Numbers(), []
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        if self.kind == "whole":
+            return self._whole(texts)
+        if len(self.numbers) > self.memo:
+            self.forget()
+        attach, number = self.kind == "attach", self.numbers.__getitem__
+        split = [t.replace("\n", " \n" if attach else " ").split(" ") for t in texts]
+        out = self._whole([s.pop(0) for s in split]) if attach else [b""] * len(texts)
+        numbers = [list(map(number, s)) for s in split]
+        if self.numbers.fresh:
+            learned = self._learn(self.numbers.fresh)
+            self.parts += map(learned.__getitem__, self.numbers.fresh)
+            self.numbers.fresh = []
+        left, part = [], self.parts.__getitem__
+        for k, own in enumerate(numbers):
+            try:
+                if attach and own and shared_space(texts[k]):
+                    raise TypeError("the first piece shares white space with the next")
+                out[k] += b"".join(map(part, own))
+            except TypeError:  # a piece that can't stand alone: encode the text as one
+                left.append(k)
+        for k, ids in zip(left, self._whole([texts[k] for k in left]) if left else ()):
+            out[k] = ids
+        return out
+
+
+@lru_cache(maxsize=2)
+def numbered_encoder(path: str) -> NumberedEncoder:
+    """The numbered encoder of this process."""
+    return NumberedEncoder(path)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> PieceEncoder:
     """The encoder of this process; tasks of one worker share its memo."""

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm.common import sliced
-from corvane.llm.encoders import encoder, vocabulary
+from corvane.llm.encoders import numbered_encoder, vocabulary
 from corvane.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -87,18 +87,21 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = encoder(vocab).encode, TaskContext.get().partitionId()
-        held: list[np.ndarray] = []
+        own, part = numbered_encoder(vocab), TaskContext.get().partitionId()
+        if end_id > np.iinfo(own.dtype).max:
+            raise ValueError("the end id is none of the vocabulary's width")
+        wide, end = own.dtype.itemsize, np.array(end_id, own.dtype).tobytes()
+        held: list[bytes] = []
         ids_of: list[int | None] = []
         size = block = 0
 
         def close() -> pa.RecordBatch:
-            ids = np.concatenate(held)
+            ids = np.frombuffer(b"".join(held), own.dtype)
             known = np.array([d is not None for d in ids_of])
             row = (part, block, next((d for d in ids_of if d is not None), None), len(held),
                    len(ids), np.array([d or 0 for d in ids_of], "<i8").tobytes(),
                    known.astype(np.uint8).tobytes(),
-                   np.array([len(h) for h in held], "<u4").tobytes(), *encode_block(ids))
+                   np.array([len(h) // wide for h in held], "<u4").tobytes(), *encode_block(ids))
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(),
                      *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays(
@@ -107,10 +110,10 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
 
         for batch in sliced(batches, "text"):
             for doc, ids in zip(batch.column("doc_id").to_pylist(),
-                                encode(batch.column("text").to_pylist())):
-                held.append(np.append(ids.astype(np.uint32), np.uint32(end_id)))
+                                own.encode(batch.column("text").to_pylist())):
+                held.append(ids + end)
                 ids_of.append(doc)
-                size += len(held[-1])
+                size += len(held[-1]) // wide
                 if size >= block_ids:
                     yield close()
                     held, ids_of, size, block = [], [], 0, block + 1
