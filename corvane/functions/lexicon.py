@@ -12,17 +12,45 @@ ENTITY_LABELS = [
     "PRODUCT", "DOCUMENT", "DATE", "WORK_OF_ART", "OTHER",
 ]
 
+# Alias -> canonical name.
 LABEL_ALIASES = {
-    "ORGANIZATION": ["ORG", "COMPANY", "CORPORATION", "CORP", "BUSINESS", "ORGANISATION",
-                     "INSTITUTION", "AGENCY", "GROUP"],
-    "PERSON": ["PEOPLE", "HUMAN", "INDIVIDUAL"],
-    "LOCATION": ["PLACE", "GPE", "COUNTRY", "CITY", "REGION"],
-    "DATE": ["TIME", "DATETIME", "YEAR"],
-    "PRODUCT": ["TECHNOLOGY", "TECH", "TOOL", "SOFTWARE", "APP", "SERVICE"],
-    "WORK_OF_ART": ["ARTWORK", "WORKOFART"],
-    "DOCUMENT": ["ARTICLE", "BOOK", "REPORT", "PAPER"],
-    "CONCEPT": ["THEORY", "METHOD", "IDEA"],
-    "OTHER": ["MISC", "UNKNOWN"],
+    "ORG": "ORGANIZATION",
+    "COMPANY": "ORGANIZATION",
+    "CORPORATION": "ORGANIZATION",
+    "CORP": "ORGANIZATION",
+    "BUSINESS": "ORGANIZATION",
+    "ORGANISATION": "ORGANIZATION",
+    "INSTITUTION": "ORGANIZATION",
+    "AGENCY": "ORGANIZATION",
+    "GROUP": "ORGANIZATION",
+    "PEOPLE": "PERSON",
+    "HUMAN": "PERSON",
+    "INDIVIDUAL": "PERSON",
+    "PLACE": "LOCATION",
+    "GPE": "LOCATION",
+    "COUNTRY": "LOCATION",
+    "CITY": "LOCATION",
+    "REGION": "LOCATION",
+    "TIME": "DATE",
+    "DATETIME": "DATE",
+    "YEAR": "DATE",
+    "TECHNOLOGY": "PRODUCT",
+    "TECH": "PRODUCT",
+    "TOOL": "PRODUCT",
+    "SOFTWARE": "PRODUCT",
+    "APP": "PRODUCT",
+    "SERVICE": "PRODUCT",
+    "ARTWORK": "WORK_OF_ART",
+    "WORKOFART": "WORK_OF_ART",
+    "ARTICLE": "DOCUMENT",
+    "BOOK": "DOCUMENT",
+    "REPORT": "DOCUMENT",
+    "PAPER": "DOCUMENT",
+    "THEORY": "CONCEPT",
+    "METHOD": "CONCEPT",
+    "IDEA": "CONCEPT",
+    "MISC": "OTHER",
+    "UNKNOWN": "OTHER",
 }
 
 TYPE_PRIORITY = {
@@ -42,26 +70,65 @@ SYSTEM_RELATIONS = [
     "BELONGS_TO", "IN_COMMUNITY",
 ]
 
+# Alias -> canonical name.
 RELATION_ALIASES = {
-    "WORKS_FOR": ["WORKS_AT", "WORK_AT", "WORKING_AT", "WORK_FOR", "WORKING_FOR", "EMPLOYED_AT",
-                  "EMPLOYED_BY", "IS_EMPLOYEE_OF", "EMPLOYEE_OF", "LAM_VIEC_TAI", "INTERNS_AT",
-                  "INTERN_AT", "INTERNSHIP_AT", "THUC_TAP_TAI"],
-    "STUDIES_AT": ["STUDY_AT", "HOC_TAI"],
-    "DIRECTOR_OF": ["GIAM_DOC", "DIRECTOR", "CEO_OF", "HEAD_OF"],
-    "MANAGES": ["QUAN_LY", "MANAGER_OF", "MANAGE"],
-    "REPORTS_TO": ["BAO_CAO_CHO", "REPORT_TO"],
-    "MEMBER_OF": ["THANH_VIEN", "BELONGS_TO_ORG", "MEMBER"],
-    "LOCATED_IN": ["O_TAI", "LOCATION_OF", "LOCATED_AT", "IN_LOCATION"],
-    "PART_OF": ["THUOC", "SUBSIDIARY_OF", "DIVISION_OF"],
-    "SIGNED_BY": ["KY_BOI"],
-    "CREATED_BY": ["CREATED", "MADE_BY", "DEVELOPED_BY"],
-    "AUTHORED_BY": ["WRITTEN_BY", "AUTHOR_OF"],
-    "OWNS": ["OWNED_BY", "OWNER_OF", "ACQUIRED", "ACQUIRES"],
-    "COLLABORATES_WITH": ["HOP_TAC", "COLLABORATE_WITH", "PARTNER_WITH"],
-    "CAUSES": ["CAUSE", "CAUSED_BY"],
-    "LEADS_TO": ["RESULTS_IN", "LEAD_TO"],
-    "REFERENCES": ["REFERENCE", "REFERS_TO", "CITES"],
-    "RELATED_TO": ["LIEN_QUAN", "RELATED"],
+    "WORKS_AT": "WORKS_FOR",
+    "WORK_AT": "WORKS_FOR",
+    "WORKING_AT": "WORKS_FOR",
+    "WORK_FOR": "WORKS_FOR",
+    "WORKING_FOR": "WORKS_FOR",
+    "EMPLOYED_AT": "WORKS_FOR",
+    "EMPLOYED_BY": "WORKS_FOR",
+    "IS_EMPLOYEE_OF": "WORKS_FOR",
+    "EMPLOYEE_OF": "WORKS_FOR",
+    "LAM_VIEC_TAI": "WORKS_FOR",
+    "INTERNS_AT": "WORKS_FOR",
+    "INTERN_AT": "WORKS_FOR",
+    "INTERNSHIP_AT": "WORKS_FOR",
+    "THUC_TAP_TAI": "WORKS_FOR",
+    "STUDY_AT": "STUDIES_AT",
+    "HOC_TAI": "STUDIES_AT",
+    "GIAM_DOC": "DIRECTOR_OF",
+    "DIRECTOR": "DIRECTOR_OF",
+    "CEO_OF": "DIRECTOR_OF",
+    "HEAD_OF": "DIRECTOR_OF",
+    "QUAN_LY": "MANAGES",
+    "MANAGER_OF": "MANAGES",
+    "MANAGE": "MANAGES",
+    "BAO_CAO_CHO": "REPORTS_TO",
+    "REPORT_TO": "REPORTS_TO",
+    "THANH_VIEN": "MEMBER_OF",
+    "BELONGS_TO_ORG": "MEMBER_OF",
+    "MEMBER": "MEMBER_OF",
+    "O_TAI": "LOCATED_IN",
+    "LOCATION_OF": "LOCATED_IN",
+    "LOCATED_AT": "LOCATED_IN",
+    "IN_LOCATION": "LOCATED_IN",
+    "THUOC": "PART_OF",
+    "SUBSIDIARY_OF": "PART_OF",
+    "DIVISION_OF": "PART_OF",
+    "KY_BOI": "SIGNED_BY",
+    "CREATED": "CREATED_BY",
+    "MADE_BY": "CREATED_BY",
+    "DEVELOPED_BY": "CREATED_BY",
+    "WRITTEN_BY": "AUTHORED_BY",
+    "AUTHOR_OF": "AUTHORED_BY",
+    "OWNED_BY": "OWNS",
+    "OWNER_OF": "OWNS",
+    "ACQUIRED": "OWNS",
+    "ACQUIRES": "OWNS",
+    "HOP_TAC": "COLLABORATES_WITH",
+    "COLLABORATE_WITH": "COLLABORATES_WITH",
+    "PARTNER_WITH": "COLLABORATES_WITH",
+    "CAUSE": "CAUSES",
+    "CAUSED_BY": "CAUSES",
+    "RESULTS_IN": "LEADS_TO",
+    "LEAD_TO": "LEADS_TO",
+    "REFERENCE": "REFERENCES",
+    "REFERS_TO": "REFERENCES",
+    "CITES": "REFERENCES",
+    "LIEN_QUAN": "RELATED_TO",
+    "RELATED": "RELATED_TO",
 }
 
 MAX_RELATION_LENGTH = 60

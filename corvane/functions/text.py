@@ -162,25 +162,15 @@ def relation_key(c: Column | str) -> Column:
     return let(plain_key(latin), shaped)
 
 
-@lru_cache(maxsize=None)
-def _alias_pairs(which: str) -> tuple[tuple[str, str], ...]:
-    table = {"relation": lx.RELATION_ALIASES, "label": lx.LABEL_ALIASES}[which]
-    return tuple((alias, target) for target, aliases in table.items() for alias in aliases)
-
-
-def _lookup(key: Column, pairs: list[tuple[str, str]] | tuple[tuple[str, str], ...]) -> Column:
-    """Constant lookup inside the expression: no join for tables of fixed size."""
-    literals = [F.lit(x) for pair in pairs for x in pair]
-    return F.try_element_at(F.create_map(*literals), key)
-
-
 def lookup(key: Column | str, table: dict[str, str]) -> Column:
-    return _lookup(_col(key), list(table.items()))
+    """Constant lookup inside the expression: no join for tables of fixed size."""
+    literals = [F.lit(x) for pair in table.items() for x in pair]
+    return F.try_element_at(F.create_map(*literals), _col(key))
 
 
 def relation_type(c: Column | str) -> Column:
     """Known variants become their canonical relation; unknown keys are kept."""
-    return let(relation_key(c), lambda k: F.coalesce(_lookup(k, _alias_pairs("relation")), k))
+    return let(relation_key(c), lambda k: F.coalesce(lookup(k, lx.RELATION_ALIASES), k))
 
 
 def is_canonical_relation(c: Column | str) -> Column:
@@ -194,7 +184,7 @@ def is_semantic_relation(c: Column | str) -> Column:
 def entity_label(c: Column | str) -> Column:
     """Core label, directly or through an alias, else OTHER."""
     return let(plain_key(c), lambda k: F.coalesce(
-        F.when(k.isin(lx.ENTITY_LABELS), k), _lookup(k, _alias_pairs("label")), F.lit("OTHER")))
+        F.when(k.isin(lx.ENTITY_LABELS), k), lookup(k, lx.LABEL_ALIASES), F.lit("OTHER")))
 
 
 def type_priority(c: Column | str) -> Column:

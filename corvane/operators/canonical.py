@@ -57,8 +57,23 @@ def alias_table(spark: SparkSession, pairs: list[tuple[str, str]] | None = None)
     return spark.range(1, numPartitions=1).select(F.inline(rows))
 
 
+def read_alias_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Alias rows of files with one JSON object ``{alias: display}`` per line, read in splits.
+
+    Numbers follow the order of files and lines; they are unique, not gapless.
+    """
+    entries = F.map_entries(F.from_json("value", "map<string,string>"))
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    return lines.select("line", F.posexplode(entries).alias("pos", "e")).select(
+        F.struct("line", "pos").alias("alias_no"), F.col("e.key").alias("alias_norm"),
+        F.col("e.value").alias("display"))
+
+
 def read_alias_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object ``{alias: display}`` as alias rows, in the order of the file."""
+    """One JSON object ``{alias: display}`` as alias rows, in the order of the file.
+
+    The object is read by one task; ``read_alias_lines`` reads long lists.
+    """
     text = spark.read.option("wholetext", "true").text(path)
     entries = F.map_entries(F.from_json("value", "map<string,string>"))
     return text.select(F.posexplode(entries).alias("alias_no", "e")).select(
@@ -203,13 +218,20 @@ def fuzzy_leaders(names: DataFrame, block: list[str], threshold: int | None = No
 
 # --- Resolution and merging -----------------------------------------------
 
-def resolve_entities(mentions: DataFrame, aliases: DataFrame, fuzzy: bool = False,
+def resolve_entities(mentions: DataFrame, aliases: DataFrame, fuzzy: bool = True,
                      threshold: int | None = None) -> DataFrame:
     """Canonical name of each mention: title, block list, alias, similar earlier name, itself.
 
-    Similar names are looked for among the earlier names of the same file and label.
+    Names repeat far more often than they differ, so the first steps are done once for each distinct
+    (owner, name, type) and joined back. Similar names are looked for among the earlier names of the
+    same file and label; ``fuzzy`` leaves that step out.
     """
-    clean = resolve_alias(block_entities(mentions), aliases)
+    given = ["owner_id", "raw_name", "raw_type"]
+    known = cut_lineage(resolve_alias(block_entities(mentions.select(*given).distinct()), aliases))
+    known = broadcast_if_small(known.select(*[F.col(c).alias(f"_{c}") for c in given], "label",
+                                            "clean_name", "clean_norm", "alias_name"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in given]
+    clean = mentions.join(known, same).drop(*[f"_{c}" for c in given])
     if fuzzy:
         block = ["owner_id", "file_id", "label"]
         shown = F.coalesce("alias_name", "clean_name")

@@ -124,7 +124,7 @@ def anchor_places(body: str, anchors: set[str]) -> dict[str, list[int]]:
         ranked = window[order]
         for anchor in group:
             own = np.frombuffer(anchor.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-            key = (own * power[:n]).sum() * undo[0]
+            key = ((own * power[:n]).sum(keepdims=True) * undo[:1])[0]
             lo, hi = np.searchsorted(ranked, key, "left"), np.searchsorted(ranked, key, "right")
             found[anchor] = order[lo:hi].tolist()
     return found

@@ -225,10 +225,12 @@ def hybrid_scores(candidates: DataFrame, vector_weight: float | None = None,
 
 
 def retrieve(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, top_k: int | None = None,
-             min_score: float | None = None, file_id: str | None = None) -> DataFrame:
+             min_score: float | None = None, file_id: str | None = None,
+             hits: DataFrame | None = None) -> DataFrame:
     """Vector candidates, reranked with keywords, above a score, best ``top_k`` per question.
 
-    A ``top_k`` column of the questions overrides the argument.
+    A ``top_k`` column of the questions overrides the argument. ``hits`` are the rows of a
+    ``vector_topk`` that was made before, of at least as many candidates.
     """
     top_k = lx.TOP_K if top_k is None else top_k
     min_score = lx.MIN_SCORE if min_score is None else min_score
@@ -241,7 +243,8 @@ def retrieve(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, top_k: i
     if file_id is not None:
         wanted = chunks.filter(F.col("file_id") == file_id).select("owner_id", "chunk_id")
         vectors = vectors.join(wanted, ["owner_id", "chunk_id"], "left_semi")
-    hits = vector_topk(queries, vectors, widest)
+    if hits is None:
+        hits = vector_topk(queries, vectors, widest)
     asked = limits.select("owner_id", F.col("query_id").cast("string").alias("query_id"),
                           "question", "_k")
     cap = F.least(F.col("_k") * lx.CANDIDATE_MULTIPLIER, F.lit(lx.MAX_CANDIDATES))

@@ -53,7 +53,7 @@ class FileTables:
 
 
 def index_files(documents: DataFrame, aliases: DataFrame, gazetteer: DataFrame | None = None,
-                fuzzy: bool = False, canonical: DataFrame | None = None,
+                fuzzy: bool = True, canonical: DataFrame | None = None,
                 key_vectors: DataFrame | None = None) -> FileTables:
     """Chunk ``documents`` (owner_id, file_id, text, ..), find names and relations in the chunks,
     and resolve them. The results are written, since several tables are derived from each."""

@@ -82,6 +82,8 @@ def within_rows(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Hint a broadcast only for a side whose row count was checked; otherwise shuffle-join."""
-    return F.broadcast(df) if within_rows(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Hint a broadcast only for a side whose rows and bytes were counted; otherwise shuffle-join."""
+    size = F.sum(F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df

@@ -51,3 +51,24 @@ def test_places_are_those_of_searching_each_chunk():
         parts = pack_units(units, size, overlap) + ["missing", "", "end"]
         got = [(r["char_start"], r["char_end"]) for r in chunk_places(body, parts)]
         assert got == naive_places(body, parts)
+
+
+def test_state_falls_once_the_delay_has_passed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    day, folder = 86_400, str(tmp_path / "in")
+    schema = "content_hash string, at long"
+    for rows in ([("a", 0), ("b", 0)], [("a", 1), ("c", 1)], [("d", 2)], [("e", 3)], [("a", 4), ("e", 4), ("b", 0)]):
+        spark.createDataFrame([(h, 1_700_006_400 + d * day) for h, d in rows], schema).coalesce(1).write.mode(
+            "append").parquet(folder)
+    source = jobs.read_table_stream(spark, folder, "*.parquet", spark.createDataFrame([], schema).schema, 1)
+    kept = jobs.dedupe_stream(source.withColumn("ts", F.timestamp_seconds("at")), event_time="ts", delay="1 day")
+    query = (kept.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    got = sorted((r["content_hash"], (r["at"] - 1_700_006_400) // day)
+                 for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # the repeat of a on day 1 is dropped, that of day 4 finds no state; b comes too late
+    assert got == [("a", 0), ("a", 4), ("b", 0), ("c", 1), ("d", 2), ("e", 3)]
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress]
+    assert max(held) > held[-1]

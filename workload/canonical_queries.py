@@ -56,7 +56,7 @@ PRIO = "case label when 'PRODUCT' then 3 when 'CONCEPT' then 2 else 1 end"
 
 
 def resolved(spark, sf):
-    return cn.resolve_entities(part_mentions(spark, sf), cn.alias_table(spark))
+    return cn.resolve_entities(part_mentions(spark, sf), cn.alias_table(spark), fuzzy=False)
 
 
 @query("block_entities", facts("files") + "select file_id, token, n from (select file_id, "
@@ -97,9 +97,27 @@ def resolve_entities(spark, sf):
                                        "name", "name_norm").agg(F.count("*").alias("n"))
 
 
+@query("resolve_similar", "select owner_id, label, name_norm || ' ' || md5(name_norm) as name_norm, "
+       f"count(*) as n from ({RESOLVED}) group by 1, 2, 3")
+def resolve_similar(spark, sf):
+    """All steps, the similar earlier name of the same file and label included.
+
+    Every line names its part twice, the second time with the last letter doubled; that spelling
+    has to come back to the first. A digest behind the names keeps other names apart.
+    """
+    m = part_mentions(spark, sf)
+    base = F.lower(F.trim(F.regexp_replace("raw_name", "!$", "")))
+    m = m.withColumn("raw_name", F.concat(base, F.lit(" "), F.md5(base)))
+    twice = m.withColumn("raw_name", F.regexp_replace("raw_name", "(.)$", "$1$1")).withColumn(
+        "ord", F.col("ord").withField("o", F.col("ord.o") + 1_000_000_000_000))
+    found = cn.resolve_entities(m.unionByName(twice), cn.alias_table(spark))
+    return found.filter("ord.o >= 1000000000000").groupBy("owner_id", "label", "name_norm").agg(
+        F.count("*").alias("n"))
+
+
 @query("fuzzy_match")
 def fuzzy_match(spark, sf):
-    """Names of parts and customers, with a typo in some; blocked by their first letter."""
+    """Names of parts, each also with a typo; blocked by their first letter."""
     parts = beds.table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("n"))
     typos = parts.select(F.concat(F.substring("n", 1, 3), F.lit("x"), F.expr("substring(n, 4)"))
                          .alias("n"))
@@ -252,13 +270,10 @@ def rebuild_document_graph(spark, sf):
                                          F.col("entity_id").alias("dst"), "version")
 
 
-@query("read_alias_map", "select lower(n_name) as alias_norm, n_comment_or_name as display from (select "
-       "n_name, n_name || '!' as n_comment_or_name from nation)")
+@query("read_alias_map", "select lower(c_name) as alias_norm, c_name || '!' as display from customer")
 def read_alias_map(spark, sf):
-    """Nations as a caller's alias file in JSON."""
+    """Customers as a caller's alias file, one JSON object a line."""
     path = f"{scratch_path(spark, 'aliases')}/aliases"
-    n = beds.table(spark, sf, "nation").select(F.lower("n_name").alias("k"), F.concat(
-        "n_name", F.lit("!")).alias("v"))
-    n.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).coalesce(
-        1).write.text(path)
-    return cn.read_alias_map(spark, path).select("alias_norm", "display")
+    pair = F.create_map(F.lower("c_name"), F.concat("c_name", F.lit("!")))
+    beds.table(spark, sf, "customer").select(F.to_json(pair)).write.text(path)
+    return cn.read_alias_lines(spark, path).select("alias_norm", "display")

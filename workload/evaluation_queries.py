@@ -9,7 +9,7 @@ from corvane.operators import evaluation as ev
 from corvane.operators import retrieval as rt
 from workload import beds
 from workload.registry import query
-from workload.retrieval_queries import TG, TG_RANKED, fusion, retrieved
+from workload.retrieval_queries import TG, TG_RANKED, fusion, retrieved, topic_hits
 from workload.sqlparts import facts
 
 
@@ -20,7 +20,7 @@ def runs(spark, sf):
         return ranked.select(F.col("query_id").alias("question_id"),
                              F.col("chunk_id").alias("chunk_key"), "rank", F.lit(mode).alias("mode"))
 
-    return of(retrieved(spark, sf), "rag").unionByName(
+    return of(retrieved(spark, sf, hits=topic_hits(spark, sf)), "rag").unionByName(
         of(rt.protected_ranking(fusion(spark, sf)), "graph_rag"))
 
 

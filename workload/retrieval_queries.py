@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corvane.functions import lexicon as lx
 from corvane.operators import context as cx
 from corvane.operators import graph as gr
 from corvane.operators import questions as qs
@@ -18,9 +19,16 @@ def tables(spark, sf):
             v.drop("embedding", "label", "mime_type"))
 
 
-def retrieved(spark, sf, top_k=5):
+def retrieved(spark, sf, top_k=5, hits=None):
     q, v, c = tables(spark, sf)
-    return rt.retrieve(q, v, c, top_k)
+    return rt.retrieve(q, v, c, top_k, hits=hits)
+
+
+@beds.stored
+def topic_hits(spark, sf):
+    """The vector search of every topic question, once for all modes that start from it."""
+    q, v, _ = tables(spark, sf)
+    return rt.vector_topk(q, v, lx.MAX_CANDIDATES)
 
 
 @query("vector_topk", facts("hits") + "select owner_id, query_id, chunk_id, round(cosine, 6) as "
@@ -103,7 +111,7 @@ def fusion(spark, sf):
     linked = gr.link_entities(q, entities)
     graph = gr.graph_retrieve(gr.graph_hop1(linked, entities, mentions),
                               gr.graph_hop2(linked, entities, edges, mentions), v)
-    vector = rt.retrieve(q, v, c, 10).withColumn("score", F.col("combined_score"))
+    vector = retrieved(spark, sf, 10, topic_hits(spark, sf)).withColumn("score", F.col("combined_score"))
     params = q.select("owner_id", "query_id", F.lit(0.6).alias("alpha"), F.lit(5).alias("n"))
     return rt.hybrid_fusion(vector, graph, params)
 

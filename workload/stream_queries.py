@@ -38,13 +38,26 @@ def stream_ingest(spark, sf):
         "owner_id", "chunk_id", F.col("char_start").cast("bigint").alias("char_start"))
 
 
-@query("stream_dedupe", f"select distinct sha256({trim('text')}) as content_hash from documents")
+DAYS = 8
+
+#: A hash is held until the watermark, a day behind the latest row of the batch before, has passed its
+#: day and the delay; so it comes through again from the fourth day after.
+@query("stream_dedupe", f"with h as (select distinct sha256({trim('text')}) as content_hash, "
+       f"hash_day as day from (select *, ascii(substr(md5(doc_id::varchar), 1, 1)) % {DAYS} as hash_day from "
+       "documents)), f as (select content_hash, min(day) as day from h group by 1), a as (select h.content_hash, "
+       "min(h.day) as day from h join f using (content_hash) where h.day >= f.day + 4 group by 1) select "
+       "content_hash, day::integer as day from f union all select content_hash, day::integer from a")
 def stream_dedupe(spark, sf):
-    """Documents arrive at one moment each day; the state of a hash is dropped after the delay."""
-    rows = jobs.with_hash(stream(spark, sf, "documents")).select(
-        "content_hash", F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
+    """Documents arrive over eight days, a day in each batch; a repeat within the delay is dropped."""
+    path = scratch_path(spark, "days")
+    docs = beds.table(spark, sf, "documents").select("text", (F.ascii(
+        F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)) % DAYS).alias("day"))
+    for day in range(DAYS):  # files of a day are older than those of the next
+        docs.filter(F.col("day") == day).repartition(4).write.mode("append").parquet(path)
+    rows = jobs.with_hash(jobs.read_table_stream(spark, path, "*.parquet", docs.schema, 4)).select(
+        "content_hash", "day", F.timestamp_seconds(1_700_006_400 + F.col("day") * 86_400).alias("ts"))
     return jobs.run_to_table(jobs.dedupe_stream(rows, event_time="ts"), "dedupe").select(
-        "content_hash")
+        "content_hash", "day")
 
 
 @query("stream_counters", "select cast(epoch(date_trunc('hour', ts)) as bigint) as start, count(*) as "

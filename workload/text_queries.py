@@ -69,7 +69,7 @@ def clean_relation(spark, sf):
 
 
 RAW_BY_STATUS = {"F": "Làm việc tại", "O": "leads to", "P": "frobnicates"}
-_PAIRS = [(a, t) for t, aliases in lx.RELATION_ALIASES.items() for a in aliases]
+_PAIRS = list(lx.RELATION_ALIASES.items())
 
 
 @query("canonical_relation", "select raw, coalesce(t, k) as rel_type, coalesce(t, k) in "
@@ -92,7 +92,7 @@ def canonical_relation(spark, sf):
                        tx.is_semantic_relation("raw").alias("semantic"), "n")
 
 
-_LABELS = [(a, t) for t, aliases in lx.LABEL_ALIASES.items() for a in aliases]
+_LABELS = list(lx.LABEL_ALIASES.items())
 
 
 @query("canonical_label", f"select raw, case when k in {in_list(lx.ENTITY_LABELS)} then k else "
