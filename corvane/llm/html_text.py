@@ -50,6 +50,15 @@ PARTS = frozenset(
 LAYOUT = frozenset(
     "banner sidebar sidebars menu menus nav navbar navigation footer header masthead toolbar alert "
     "popup modal overlay share sharing social signup login search widget widgets notice notices".split())
+#: Marks that name the thing also beside words that say whose or which: user-comments, left-sidebar.
+TELLING = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsored promo sidebar sidebars "
+    "comment comments commentlist disqus replies cookie cookies consent gdpr newsletter related "
+    "recommended recommendations notice notices".split())
+#: Words that say that a page has, lacks or shows a thing.
+STATES = frozenset(
+    "has have had no not non without with is are show shows showing hide hides hidden enable enabled "
+    "disable disabled allow allows open opened closed close on off free count supports".split())
 ROOTS = frozenset("html body main article".split())
 #: What a head may hold; any other tag closes it.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -82,12 +91,20 @@ class Element:
 
 
 def marks_of(value: str) -> set[str]:
-    """The words of MARKS that whole names in a class, id or role stand for."""
+    """The words of MARKS that whole names in a class, id or role stand for.
+
+    A name counts if all its words are marks or parts, or if a telling mark is its first or last word
+    and none says that something has or lacks it. Words end at other characters than letters, and
+    before a capital.
+    """
     out: set[str] = set()
-    for name in value.lower().split():
-        words = set(re.findall("[a-z]+", name))
+    for name in value.split():
+        listed = re.findall("[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+        words = set(listed)
         if words <= MARKS | PARTS:
             out |= words & MARKS
+        elif words.isdisjoint(STATES):
+            out |= TELLING & {listed[0], listed[-1]}
     return out
 
 

@@ -35,6 +35,10 @@ _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PLACES = np.random.default_rng(97).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Runs of one character up to this length are written beside it in one symbol.
+LONGEST_PLAIN_RUN = 1023
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _A
     x = (x ^ (x >> np.uint64(27))) * _B
@@ -77,7 +81,11 @@ def phrase_names(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             begin = np.append(begin[at], begin[-1])
             many = np.flatnonzero(run > 1)
             if level == 1:
-                symbols[many] |= np.minimum(run[many], 1023) << np.uint32(21)
+                # 21 bits of code point, ten of length; a longer run is hashed below a bit of its own
+                long = many[run[many] > LONGEST_PLAIN_RUN]
+                far = mixed(symbols[long].astype(np.uint64) << np.uint64(40) | run[long])
+                symbols[many] |= np.minimum(run[many], LONGEST_PLAIN_RUN) << np.uint32(21)
+                symbols[long] = (far >> np.uint64(33)).astype(np.uint32) | np.uint32(1 << 31)
             else:
                 symbols[many] = mixed(symbols[many] * _A + run[many])
         done = fresh & np.append(fresh[1:], True)

@@ -63,6 +63,22 @@ def test_long_marked_text_beside_an_article_stays_out(name):
     assert main_text(f"<article><p>{LONG}</p></article><div class='{name}'>{STORY}</div>") == LONG
 
 
+@pytest.mark.parametrize("name", [
+    "user-comments", "article-comments", "story__comments", "reader-comments", "fb-comments", "commentsList",
+    "comment-thread", "article-sidebar", "left-sidebar", "sidebar-left", "cookieBanner", "google-ads",
+    "related-posts", "site-notice", "x y-comments z"])
+def test_marked_parts_inside_an_article_stay_out(name):
+    page = f"<article>{STORY}<div class='{name}'><p>{LONG} no</p><p>{LONG} no</p></div><p>{LONG} end</p></article>"
+    assert main_text(page) == f"{TOLD}\n{LONG} end"
+
+
+@pytest.mark.parametrize("name", [
+    "has-sidebar", "comments-open", "no-related-posts", "with-ads", "ad-free", "hasComments", "story-body",
+    "commentary", "download", "adsorption", "noticeable", "-", "12"])
+def test_other_names_inside_an_article_stay(name):
+    assert main_text(f"<article class='{name}'><div class='{name}'>{STORY}</div></article>") == TOLD
+
+
 def told(first, last):
     return "\n".join(f"{LONG} {i}" for i in range(first, last))
 

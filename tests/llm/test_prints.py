@@ -78,3 +78,11 @@ def test_an_edit_is_nearer_than_another_text():
     other = [pp.likeness(a, b) for a, b in zip(p, p[1:] + p[:1])]
     assert sum(n > o for n, o in zip(near, other)) >= 198
     assert np.median(near) > 0.3 and np.median(other) < 0.02
+
+
+def test_lengths_of_long_runs_count():
+    lengths = [1, 2, 1021, 1022, 1023, 1024, 1500, 50_000]
+    prints = pp.fingerprints([f"head {'-' * n} tail" for n in lengths] + [f"head {' ' * n}tail" for n in lengths])
+    assert len({pp.written(p) for p in prints}) == 2 * len(lengths)
+    again = pp.fingerprints([f"head {'-' * 50_000} tail", "other"])[0]
+    assert (again == prints[7]).all()
