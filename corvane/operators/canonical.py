@@ -174,15 +174,37 @@ def similar_pairs(names: DataFrame, block: list[str], threshold: int | None = No
         *block, "id_a", "id_b", F.bround("ratio", 0).cast("int").alias("score"))
 
 
-def fuzzy_leaders(names: DataFrame, block: list[str], threshold: int | None = None) -> DataFrame:
+def similar_in_blocks(names: DataFrame, block: list[str], wider: list[str],
+                      threshold: int | None = None) -> DataFrame:
+    """``similar_pairs`` of each block, from pairs of distinct names of a ``wider`` block.
+
+    A name occurs in many blocks of the wider one, and is compared once. Two wider names meet in the
+    blocks that hold both.
+    """
+    distinct = names.groupBy(*wider, "id").agg(F.min("text").alias("text")).withColumn(
+        "pos", F.struct(F.xxhash64("id"), "id"))
+    pairs = cut_lineage(similar_pairs(distinct, wider, threshold))
+    ends = F.array(F.struct(F.col("id_a").alias("x"), F.col("id_b").alias("y")),
+                   F.struct(F.col("id_b").alias("x"), F.col("id_a").alias("y")))
+    both = pairs.select(*wider, "score", F.explode(ends).alias("e")).select(*wider, "score", "e.x", "e.y")
+    a = names.select(*block, F.col("id").alias("x"), F.col("pos").alias("pos_a"))
+    b = names.select(*block, F.col("id").alias("y"), F.col("pos").alias("pos_b"))
+    return a.join(both, [*wider, "x"]).join(b, [*block, "y"]).filter("pos_a < pos_b").select(
+        *block, F.col("x").alias("id_a"), F.col("y").alias("id_b"), "score")
+
+
+def fuzzy_leaders(names: DataFrame, block: list[str], threshold: int | None = None,
+                  wider: list[str] | None = None) -> DataFrame:
     """Map each name to the most similar earlier name that stands for itself.
 
     A name stands for itself when no earlier one of its block that stands for itself is
     similar. Each round settles the names whose earlier neighbours are all settled; the first
     open name of a block always is such a name, so the rounds end.
-    Output rows are ``(block.., id, leader_id, score)``; a leader points at itself.
+    Output rows are ``(block.., id, leader_id, score)``; a leader points at itself. With ``wider``,
+    a part of the columns of ``block``, equal names of its blocks are compared once.
     """
-    pairs = cut_lineage(similar_pairs(names, block, threshold))
+    pairs = cut_lineage(similar_in_blocks(names, block, wider, threshold) if wider else
+                        similar_pairs(names, block, threshold))
     key = [*block, "id"]
     a_key = [F.col(c) for c in block] + [F.col("id_a").alias("id")]
     settled = cut_lineage(
@@ -239,8 +261,10 @@ def resolve_entities(mentions: DataFrame, aliases: DataFrame, fuzzy: bool = True
             *block, F.col("show_norm").alias("id")).agg(
             F.min("ord").alias("pos"), F.min_by(shown, "ord").alias("display"),
             F.bool_or(F.col("alias_name").isNotNull()).alias("fixed"))
+        names = cut_lineage(names)
         linked = fuzzy_leaders(
-            names.select(*block, "id", "pos", token_sorted("id").alias("text")), block, threshold)
+            names.select(*block, "id", "pos", token_sorted("id").alias("text")), block, threshold,
+            ["owner_id", "label"])
         display = names.select(*block, F.col("id").alias("leader_id"), "display")
         target = linked.join(display, [*block, "leader_id"]).select(
             *block, F.col("id").alias("clean_norm"), F.col("display").alias("near_name"))
