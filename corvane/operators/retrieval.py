@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from corvane.functions import lexicon as lx
 from corvane.functions.keys import default_link
 from corvane.functions.text import normalize_text, split_words
 from corvane.operators.graph import first_per
-from corvane.session import within_rows
+from corvane.session import cut_lineage, within_rows
 
 Q = ["owner_id", "query_id"]
 TOP_SCHEMA = "owner_id string, query_id string, chunk_id string, cosine double"
@@ -107,22 +108,21 @@ def _scan_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def _block_join_search(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int,
-                       vector_rows: int) -> DataFrame:
+                       vector_rows: int, by: tuple[str, ...] = ("owner_id",)) -> DataFrame:
+    """Best k of each question in the vectors with equal ``by``, block against block."""
     unit, _, search = _block_search()
 
     def counted(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.groupBy("owner_id").agg(
-            F.ceil(F.count("*") / rows).cast("int").alias(name))
+        return df.groupBy(*by).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
-    blocks = counted(queries, query_rows, "nq").join(
-        counted(vectors, vector_rows, "nv"), "owner_id")
+    blocks = counted(queries, query_rows, "nq").join(counted(vectors, vector_rows, "nv"), [*by])
 
     def spread(df: DataFrame, key: str, mine: str, n_mine: str, other: str, n_other: str):
-        return df.join(blocks, "owner_id").withColumn(
+        return df.join(blocks, [*by]).withColumn(
             mine, F.pmod(F.xxhash64(key), F.col(n_mine)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("nq", "nv")
 
-    key = ["owner_id", "qb", "vb"]
+    key = [*by, "qb", "vb"]
     left = spread(queries, "query_id", "qb", "nq", "vb", "nv").groupBy(*key)
     right = spread(vectors, "chunk_id", "vb", "nv", "qb", "nq").groupBy(*key)
 
@@ -144,6 +144,105 @@ def _block_join_search(queries: DataFrame, vectors: DataFrame, k: int, query_row
     return left.cogroup(right).applyInPandas(pair, TOP_SCHEMA)
 
 
+# --- Inverted file --------------------------------------------------------
+
+@dataclass
+class InvertedFile:
+    """Vectors in lists around centroids, with the widest angle of each list.
+
+    ``members(owner_id, list_id, chunk_id, embedding)``;
+    ``lists(owner_id, list_id, centroid, radius, n)`` with unit centroids.
+    """
+
+    members: DataFrame
+    lists: DataFrame
+
+
+def inverted_file(vectors: DataFrame, most_lists: int = 64, sample_rows: int = 2048,
+                  rounds: int = 4, block_rows: int = 8192) -> InvertedFile:
+    """Deal each owner's vectors to the nearest of at most ``most_lists`` centroids.
+
+    Centroids are learned from at most ``sample_rows`` vectors of an owner, chosen by hash; every
+    vector is a member of one list. They decide how much a search can skip, never its result.
+    """
+    unit, _, _ = _block_search()
+    stored = vectors.select("owner_id", "chunk_id", "embedding")
+    sample = first_per(stored, ["owner_id"], [F.xxhash64("chunk_id"), "chunk_id"], sample_rows)
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        x = unit(rows.sort_values("chunk_id")["embedding"])
+        centres = x[np.linspace(0, len(x) - 1, min(most_lists, int(np.ceil(np.sqrt(len(x)))))).astype(int)]
+        for _ in range(rounds):
+            own = (x @ centres.T).argmax(axis=1)
+            centres = unit([x[own == i].sum(axis=0) if (own == i).any() else c for i, c in enumerate(centres)])
+        return pd.DataFrame({"owner_id": rows["owner_id"].iloc[0], "list_id": np.arange(len(centres)),
+                             "centroid": list(centres)})
+
+    centroids = cut_lineage(sample.groupBy("owner_id").applyInPandas(
+        learn, "owner_id string, list_id int, centroid array<double>"))
+    blocks = stored.groupBy("owner_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    dealt = stored.join(blocks, "owner_id").withColumn(
+        "block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")).drop("blocks")
+    everywhere = centroids.join(blocks, "owner_id").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def assign(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({c: [] for c in ("owner_id", "list_id", "chunk_id", "embedding", "cosine")})
+        near = near.sort_values("list_id")
+        cosines = unit(rows["embedding"]) @ np.stack(near["centroid"]).T
+        own = cosines.argmax(axis=1)
+        return rows[["owner_id", "chunk_id", "embedding"]].assign(
+            list_id=near["list_id"].to_numpy()[own], cosine=cosines[np.arange(len(own)), own])[
+            ["owner_id", "list_id", "chunk_id", "embedding", "cosine"]]
+
+    key = ["owner_id", "block"]
+    members = cut_lineage(dealt.groupBy(*key).cogroup(everywhere.groupBy(*key)).applyInPandas(
+        assign, "owner_id string, list_id int, chunk_id string, embedding array<double>, cosine double"))
+    angle = F.acos(F.greatest(F.least(F.min("cosine"), F.lit(1.0)), F.lit(-1.0))) + 1e-7
+    sizes = members.groupBy("owner_id", "list_id").agg(F.count("*").alias("n"), angle.alias("radius"))
+    return InvertedFile(members.drop("cosine"), cut_lineage(sizes.join(centroids, ["owner_id", "list_id"])))
+
+
+def indexed_topk(queries: DataFrame, index: InvertedFile, k: int, query_rows: int = 4096,
+                 vector_rows: int = 16384) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``vector_topk`` from an inverted file, and which lists were read for each question.
+
+    No vector of a list is nearer to a question than the angle to its centroid less its radius. The
+    nearest lists that hold k vectors are searched first; of the others only those that can beat the
+    worst of these k. So the result is exact. Everything is joined by (owner, list) in blocks; no
+    part of it passes through the driver.
+    """
+    def unit(c: str) -> Column:
+        size = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+        return F.transform(c, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+
+    asked = queries.select("owner_id", F.col("query_id").cast("string").alias("query_id"), "embedding")
+    met = asked.withColumn("u", unit("embedding")).join(index.lists, "owner_id").withColumn(
+        "cosine", F.aggregate(F.zip_with("u", "centroid", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
+    away = F.acos(F.greatest(F.least("cosine", F.lit(1.0)), F.lit(-1.0))) - F.col("radius")
+    nearest = W.partitionBy(*Q).orderBy("away", "list_id").rowsBetween(W.unboundedPreceding, -1)
+    met = met.withColumn("away", away).select(
+        *Q, "list_id", "n", F.when(F.col("away") <= 0, 1.0).otherwise(F.cos("away")).alias("best"),
+        (F.coalesce(F.sum("n").over(nearest), F.lit(0)) < k).alias("first"))
+    met = cut_lineage(met)
+
+    def search(lists: DataFrame) -> DataFrame:
+        return cut_lineage(_block_join_search(
+            lists.select(*Q, "list_id").join(asked, Q), index.members, k, query_rows, vector_rows,
+            ("owner_id", "list_id")))
+
+    begun = search(met.where("first"))
+    worst = first_per(begun, Q, [F.desc("cosine"), "chunk_id"], k).groupBy(*Q).agg(
+        F.min("cosine").alias("worst"), F.count("*").alias("held"))
+    probes = cut_lineage(met.join(worst, Q, "left").select(
+        *Q, "list_id", "n", "first", (F.col("first") | (F.coalesce("held", F.lit(0)) < k)
+                                      | (F.col("best") + 1e-9 >= F.col("worst"))).alias("read")))
+    rest = search(probes.where("read and not first"))
+    hits = first_per(begun.unionByName(rest), Q, [F.desc("cosine"), "chunk_id"], k, "vec_rank")
+    return hits, probes.drop("first")
+
+
 def round4(value: Column) -> Column:
     """Four digits; the last bits of a sum do not decide how a half is rounded."""
     return F.round(F.round(value, 10), 4)

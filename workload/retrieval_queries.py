@@ -49,6 +49,24 @@ def vector_topk_blocks(spark, sf):
     return rt.vector_topk(q, v, 15, max_local_queries=4, block_rows=16).drop("cosine")
 
 
+@query("vector_topk_indexed", facts("hits") + "select owner_id, query_id, chunk_id, round(cosine, 6) as "
+       "cosine, cast(vec_rank as integer) as vec_rank from hits where vec_rank <= 15")
+def vector_topk_indexed(spark, sf):
+    """The same search by an inverted file that skips lists too far away."""
+    q, v, _ = tables(spark, sf)
+    return rt.indexed_topk(q, rt.inverted_file(v), 15)[0].withColumn("cosine", F.round("cosine", 6))
+
+
+@query("vector_scored_share")
+def vector_scored_share(spark, sf):
+    """Share of the owner's vectors that the indexed search reads, over all its questions."""
+    q, v, _ = tables(spark, sf)
+    probes = rt.indexed_topk(q, rt.inverted_file(v), 15)[1]
+    return probes.groupBy("owner_id").agg(
+        F.countDistinct("query_id").alias("questions"), F.sum("n").alias("pairs"),
+        (F.sum(F.when(F.col("read"), F.col("n")).otherwise(0)) / F.sum("n")).alias("scored_share"))
+
+
 @query("keyword_score", facts("scored") + "select query_id, chunk_id, round(kw, 4) as keyword_score "
        "from scored where vec_rank <= 15")
 def keyword_score(spark, sf):
