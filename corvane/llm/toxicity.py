@@ -17,6 +17,7 @@ a logistic scale, which is fitted on the same bounded sample of labelled rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,7 +56,6 @@ THREAT_WEIGHT = 6.0
 CONTEXTS = ("plain", "targeted", "negated", "reported")
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
-CLAUSE_END = ".!?;:\n"
 _ENDS = re.compile(r"[.!?;:\n]")
 _THREAT = re.compile(THREATS)
 _QUOTES = re.compile("[\"“”„«»]")
@@ -79,17 +79,18 @@ def contexts(clause: str, insult: dict[str, float], threat: list[tuple[int, floa
     words = [(m.start(), m[0]) for m in WORD.finditer(clause)]
     marks = {place: weight for place, weight in threat}
     aimed = any(w in TARGETS for _, w in words)
-    since, reported = REACH + 1, False
+    since, reported, opened = REACH + 1, False, 0
     for place, word in words:
         since += 1
+        while opened < len(quotes) and quotes[opened] < place:
+            opened += 1
         if word in NEGATORS:
             since = 0
         elif word in SAYERS:
             reported = True
         weight = insult.get(word, 0.0) + marks.get(place, 0.0)
         if weight:
-            quoted = sum(q < place for q in quotes) % 2 == 1
-            out["reported" if reported or quoted else "negated" if since <= REACH
+            out["reported" if reported or opened % 2 else "negated" if since <= REACH
                 else "targeted" if aimed else "plain"] += weight
     return out
 
@@ -153,14 +154,16 @@ class Grammar:
             return out
         places = sorted({*hits, *(p for p, _ in threats)})
         total, best, end = dict.fromkeys(CONTEXTS, 0.0), 0.0, -1
+        ends = [m.start() for m in _ENDS.finditer(low)]
+        at_threat = [p for p, _ in threats]
         for at in places:
             if at < end:
                 continue
-            begin = max(low.rfind(c, 0, at) for c in CLAUSE_END) + 1
-            stop = _ENDS.search(low, at)
-            end = stop.start() if stop else len(low)
-            found = contexts(low[begin:end], insult,
-                             [(p - begin, w) for p, w in threats if begin <= p < end])
+            behind = bisect_left(ends, at)
+            begin = ends[behind - 1] + 1 if behind else 0
+            end = ends[behind] if behind < len(ends) else len(low)
+            told = threats[bisect_left(at_threat, begin):bisect_left(at_threat, end)]
+            found = contexts(low[begin:end], insult, [(p - begin, w) for p, w in told])
             for k, v in found.items():
                 total[k] += v
             best = max(best, sum(found.values()))

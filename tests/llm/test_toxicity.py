@@ -1,6 +1,7 @@
 """The clause grammar, and held-out accuracy of the fitted score."""
 
 import random
+import time
 import zlib
 
 from corvane.llm import toxicity as tx
@@ -91,3 +92,16 @@ def test_edges(spark, documents, no_documents, clashing):
         assert tx.toxicity(no_documents, labels).count() == 0
     assert tx.drop_toxic(clashing, none).columns == clashing.columns
     assert tx.drop_toxic(clashing, none).count() == documents.count()
+
+
+def test_long_texts_take_time_in_proportion():
+    own = tx.Grammar({"idiot": 1.0})
+
+    def seconds(text):
+        begin = time.process_time()
+        found = own.features(text)
+        return time.process_time() - begin, found
+
+    for part in ('"idiot" ', "idiot i will kill you. "):
+        (short, few), (long, many) = seconds(part * 5_000), seconds(part * 40_000)
+        assert long < 40 * short + 0.5 and (many >= few - 1e-9).all()
