@@ -65,6 +65,8 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script st
 #: Kinds of marks: of layout and forms, of other text and sections, and of what is never text.
 WRAPS, OTHER, NEVER = 1, 2, 3
 SECTIONS = frozenset("nav aside footer menu dialog".split())
+#: Stray end tags of inline elements, paragraphs and items do not close these.
+WALLS = frozenset("article main body td table".split())
 #: Elements inside a text, which are no region of it, and those that stand between its parts.
 FLOWING = INLINE | HEADINGS | {"p", "li", "td", "tr", "blockquote"}
 TEXTUAL = FLOWING | {"ul", "ol", "dl", "table", "pre", "figure"}
@@ -74,20 +76,40 @@ REGION_SHARE = 0.6
 
 
 class Element:
-    """An open element: its place in the tree and what its text counts as."""
+    """An element: its place in the tree and what its text counts as.
 
-    __slots__ = ("tag", "parent", "mark", "inside", "header")
+    ``depth`` counts the elements around it, ``wall`` is the depth of the nearest element that holds
+    the page's parts, and ``titled`` says whether its text is kept inside a header.
+    """
+
+    __slots__ = ("tag", "parent", "mark", "inside", "header", "index", "depth", "wall", "titled", "in_head")
 
-    def __init__(self, tag: str, parent: Element | None, mark: int, header: bool):
-        self.tag, self.parent, self.mark, self.header = tag, parent, mark, header
+    def __init__(self, tag: str, parent: Element | None, mark: int, header: bool, index: int = 0):
+        self.tag, self.parent, self.mark, self.header, self.index = tag, parent, mark, header, index
+        self.depth = parent.depth + 1 if parent else 0
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+        self.in_head = tag == "head" or bool(parent and parent.in_head)
+        self.wall = self.depth if tag in WALLS else parent.wall if parent else -1
+        self.titled = (self.inside if tag in HEADINGS else tag != "header" and bool(parent and parent.titled))
 
-    def line(self) -> Iterator[Element]:
-        """The element and those around it, inside out."""
-        at: Element | None = self
-        while at:
-            yield at
-            at = at.parent
+
+def inherited(elements: list[Element], own) -> list[bool]:
+    """Per element, whether ``own`` holds for it or for one around it."""
+    out: list[bool] = []
+    for e in elements:  # parents come before their children
+        out.append(own(e) or bool(e.parent and out[e.parent.index]))
+    return out
+
+
+def summed(elements: list[Element], lines: Iterator[tuple[int, Element]]) -> list[int]:
+    """Per element, the sizes of the lines in it and in those inside it."""
+    out = [0] * len(elements)
+    for size, element in lines:
+        out[element.index] += size
+    for e in reversed(elements):
+        if e.parent:
+            out[e.parent.index] += out[e.index]
+    return out
 
 
 def marks_of(value: str) -> set[str]:
@@ -114,6 +136,8 @@ class BlockReader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.top = Element("", None, 0, False)
+        self.elements = [self.top]
+        self.open: dict[str, list[Element]] = {}
         self.blocks: list[tuple[str, int, Element, bool]] = []
         self.words: list[str] = []
         self.tags = 0
@@ -121,12 +145,7 @@ class BlockReader(HTMLParser):
     def close_block(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:
-            drop = False
-            if self.top.header:
-                at = self.top
-                while at and at.tag not in HEADINGS and at.tag != "header":
-                    at = at.parent
-                drop = not (at and at.tag in HEADINGS and at.inside)
+            drop = self.top.header and not self.top.titled
             self.blocks.append((text, max(1, self.tags), self.top, drop))
             self.tags = 0
         self.words = []
@@ -137,7 +156,7 @@ class BlockReader(HTMLParser):
             self.words.append("\n")
         if tag not in INLINE:
             self.close_block()
-        if tag == "body" and any(e.tag == "head" for e in self.top.line()) or (
+        if tag == "body" and self.top.in_head or (
                 self.top.tag == "head" and tag not in IN_HEAD):
             self._leave("head")
         if tag in VOID:
@@ -158,7 +177,9 @@ class BlockReader(HTMLParser):
             if any(n in ("class", "id") and v and not marks_of(v).isdisjoint(("comment", "comments"))
                    for n, v in attrs):
                 mark = OTHER
-        self.top = Element(tag, self.top, mark, self.top.header or tag in HEADERS)
+        self.top = Element(tag, self.top, mark, self.top.header or tag in HEADERS, len(self.elements))
+        self.elements.append(self.top)
+        self.open.setdefault(tag, []).append(self.top)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -172,13 +193,13 @@ class BlockReader(HTMLParser):
         self._leave(tag)
 
     def _leave(self, tag: str) -> None:
-        at = self.top
-        while at.parent and at.tag != tag:
-            if at.tag in ("article", "main", "body", "td", "table") and tag in INLINE | {"p", "li"}:
-                return  # a stray end tag does not close what holds the page
-            at = at.parent
-        if at.parent:
-            self.top = at.parent
+        same = self.open.get(tag)
+        if not same or (tag in INLINE | {"p", "li"} and self.top.wall > same[-1].depth):
+            return  # a stray end tag does not close what holds the page
+        around = same[-1].parent
+        while self.top is not around:
+            self.open[self.top.tag].pop()
+            self.top = self.top.parent
 
     def handle_data(self, data: str) -> None:
         if self.top.tag == "head" and data.strip():
@@ -206,87 +227,92 @@ def content_lines(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return smooth >= (low + high) / 2
 
 
-def dropped(blocks: list[tuple[str, int, Element, bool]], lines: np.ndarray) -> list[bool]:
+def dropped(elements: list[Element], blocks: list[tuple[str, int, Element, bool]],
+            lines: np.ndarray) -> list[bool]:
     """Which blocks go, after marks on what holds most of the content lines' text are lifted.
 
     Marks of layout are lifted from what holds the article, or where no article has text below its
     headings; marks of other text only where both hold, so long comments don't take the page over.
     """
-    mass: dict[Element, int] = {}
-    holds: set[Element] = set()
-    total = 0
+    never = inherited(elements, lambda e: e.mark >= NEVER)
     flagged = [(len(text), element) for flag, (text, _, element, drop) in zip(lines, blocks)
-               if flag and not drop and all(e.mark < NEVER for e in element.line())]
-    for size, element in flagged:
-        total += size
-        named = False
-        for e in element.line():
-            mass[e] = mass.get(e, 0) + size
-            if named:
-                holds.add(e)
-            named = named or e.tag in ("article", "main")
-    # what holds more comes first, and of equals the outer: lifting it may show the article
-    marked = sorted((e for e in mass if e.mark and 2 * mass[e] > total),
-                    key=lambda e: (-mass[e], sum(1 for _ in e.line())))
-    for e in marked:
-        story = any(x.inside and not any(a.mark or a.tag in HEADINGS for a in x.line())
-                    for _, _, x, _ in blocks)
-        if (e in holds or not story) if e.mark == WRAPS else (e in holds and not story):
+               if flag and not drop and not never[element.index]]
+    mass, total = summed(elements, flagged), sum(size for size, _ in flagged)
+    holds = [False] * len(elements)
+    for e in reversed(elements):
+        if e.parent and mass[e.index] and (holds[e.index] or e.tag in ("article", "main")):
+            holds[e.parent.index] = True
+    # marked elements that hold most of the text lie inside each other, outer ones first
+    marked = [e for e in elements if e.mark and 2 * mass[e.index] > total]
+    shut = inherited(elements, lambda e: e.tag in HEADINGS or bool(e.mark and 2 * mass[e.index] <= total))
+    around = [0] * len(elements)  # of the marked elements
+    for e in elements[1:]:
+        around[e.index] = around[e.parent.index] + bool(e.mark and 2 * mass[e.index] > total)
+    stories = {around[x.index] for _, _, x, _ in blocks if x.inside and not shut[x.index]}
+    story, all_lifted = 0 in stories, True
+    for n, e in enumerate(marked, 1):
+        held = holds[e.index]
+        if (held or not story) if e.mark == WRAPS else (held and not story):
             e.mark = 0
-    return [drop or any(e.mark for e in element.line()) for _, _, element, drop in blocks]
+        all_lifted = all_lifted and not e.mark
+        story = story or (all_lifted and n in stories)
+    gone = inherited(elements, lambda e: bool(e.mark))
+    return [drop or gone[element.index] for _, _, element, drop in blocks]
 
 
 def main_text(html: str | None) -> str:
-    """Main text of one page: blocks joined by newlines; empty for null, empty or textless pages."""
+    """Main text of one page: blocks joined by newlines; empty for null, empty or textless pages.
+
+    Elements are numbered as they open, and what they hold is added up once, so the work grows with
+    the page however deep it is.
+    """
     if not html:
         return ""
     reader = BlockReader()
     reader.feed(html)
     reader.close()
     reader.close_block()
-    blocks = reader.blocks
+    blocks, elements = reader.blocks, reader.elements
     ratios = np.array([len(text) / tags for text, tags, _, _ in blocks], float)
     lines = content_lines(ratios)
-    gone = dropped(blocks, lines)
+    gone = dropped(elements, blocks, lines)
     blocks = [(text, tags, element, drop) for (text, tags, element, _), drop in zip(blocks, gone)]
     if not any(flag and not drop for flag, (_, _, _, drop) in zip(lines, blocks)):
         lines = np.ones(len(blocks), bool)
-    mass: dict[Element, int] = {}
-    total = 0
-    for flag, (text, _, element, drop) in zip(lines, blocks):
-        if drop or not flag:
-            continue
-        total += len(text)
-        for at in element.line():
-            mass[at] = mass.get(at, 0) + len(text)
-    if not mass:
+    mass = summed(elements, [(len(text), element) for flag, (text, _, element, drop)
+                             in zip(lines, blocks) if flag and not drop])
+    if not mass[0]:
         return ""
-    return "\n".join(text for text, _, element, drop in kept(blocks, mass, total) if not drop)
+    return "\n".join(text for text, _, element, drop in kept(elements, blocks, mass) if not drop)
 
 
-def kept(blocks: list[tuple[str, int, Element, bool]], mass: dict[Element, int],
-         total: int) -> list[tuple[str, int, Element, bool]]:
+def kept(elements: list[Element], blocks: list[tuple[str, int, Element, bool]],
+         mass: list[int]) -> list[tuple[str, int, Element, bool]]:
     """The blocks of the content region; ``mass`` is the content lines' text in each element."""
+    total = mass[0]
     for tag in ("article", "main"):
-        named = {e for e in mass if e.tag == tag}
-        outer = [e for e in named if named.isdisjoint(list(e.line())[1:])]
-        if 2 * sum(mass[e] for e in outer) > total:
-            return [b for b in blocks if not named.isdisjoint(b[2].line())]
-    wide = [e for e in mass if e.tag not in FLOWING]
+        named = inherited(elements, lambda e: e.tag == tag and mass[e.index] > 0)
+        outer = sum(mass[e.index] for e in elements[1:] if named[e.index] and not named[e.parent.index])
+        if 2 * outer > total:
+            return [b for b in blocks if named[b[2].index]]
+    wide = [e for e in elements if mass[e.index] and e.tag not in FLOWING]
 
     def deepest(least: float) -> Element:
-        return max((e for e in wide if mass[e] >= least),
-                   key=lambda e: (sum(1 for _ in e.line()), mass[e]))
+        return max((e for e in wide if mass[e.index] >= least), key=lambda e: (e.depth, mass[e.index]))
 
     region, whole = deepest(REGION_SHARE * total), deepest(total)
-    if mass[region] == total:
-        return [b for b in blocks if region in b[2].line()]
+    if mass[region.index] == total:
+        within = inherited(elements, lambda e: e is region)
+        return [b for b in blocks if within[b[2].index]]
+    within = inherited(elements, lambda e: e is whole)
+    part: list[Element | None] = []  # the child of the whole that an element lies in
+    for e in elements:
+        part.append(e if e.parent is whole else part[e.parent.index] if e.parent else None)
     out = []
     for b in blocks:
-        line = list(b[2].line())
-        if whole in line:
-            part = line[line.index(whole) - 1] if line[0] is not whole else None
-            if part is None or part in mass or part.tag in TEXTUAL:
+        if within[b[2].index]:
+            p = part[b[2].index]
+            if p is None or mass[p.index] or p.tag in TEXTUAL:
                 out.append(b)
     return out
 

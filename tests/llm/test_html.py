@@ -1,5 +1,7 @@
 """Main text of pages with and without semantic elements."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -124,3 +126,16 @@ def test_extract(spark):
         text = "" if r["page_id"] is None else want[r["page_id"]]
         assert (r["text"], r["n_chars"]) == (text, len(text))
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_deep_pages_take_time_in_proportion():
+    def seconds(n, part):
+        page, begin = part * n, time.process_time()
+        text = main_text(page)
+        return time.process_time() - begin, text
+
+    for part in ("<div>some words of text ", "<section><article>words in it</b>", "<td><a>one cell of it"):
+        seconds(200, part)
+        (short, few), (long, many) = seconds(2_000, part), seconds(16_000, part)
+        assert long < 16 * short + 0.3
+        assert few and len(many) >= 7 * len(few)
