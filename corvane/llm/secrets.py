@@ -52,6 +52,32 @@ MASK = "[SECRET]"
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def in_runs(rows: Column, state: Column, kind: str, walk) -> Column:
+    """Arrays that ``walk`` makes of the rows of one run after the other, joined to one array.
+
+    ``walk(at, run)`` gives a struct of the next ``at`` and an array of type ``kind``. A run is the
+    square root of the rows long: an array that grows by one element a step is copied each time,
+    so neither the arrays of a run nor that of the runs gets long.
+    """
+    size = F.greatest(F.ceil(F.sqrt(F.size(rows))).cast("int"), F.lit(1))
+
+    def runs(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1)), n)
+        return F.transform(starts, lambda i: F.slice(rows, i, n))
+
+    def step(s: Column, run: Column) -> Column:
+        return let(walk(s["at"], run), lambda w: F.struct(
+            w["at"].alias("at"), F.concat(s["out"], F.array(w["out"])).alias("out")))
+
+    zero = F.struct(state.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(let(size, runs), zero, step, lambda s: F.flatten(s["out"]))
+
+
 def found(text: Column, pattern: str, rank: int, group: int = 0, least: int = 1,
           most: int = 1 << 30, needs: tuple[str, ...] = (), holds: tuple[str, ...] = ()) -> Column:
     """Spans (start, rank of the kind, end) of the leftmost matches of ``pattern``, in order,
@@ -81,12 +107,15 @@ def found(text: Column, pattern: str, rank: int, group: int = 0, least: int = 1,
             x["size"] >= least, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
     none = F.array().cast(f"array<{SPAN}>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
     rows = rows.cast("array<struct<gap:int,len:int,size:int>>")
+
+    def walk(at: Column, run: Column) -> Column:
+        return F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), step)
+
     may = text.rlike(pattern)
     if holds:
         may = reduce(or_, [F.contains(text, F.lit(h)) for h in holds]) & may
-    return F.when(may, F.aggregate(rows, zero, step, lambda s: s["out"])).otherwise(none)
+    return F.when(may, let(rows, lambda r: in_runs(r, F.lit(0), SPAN, walk))).otherwise(none)
 
 
 def row_key() -> Column:
@@ -180,17 +209,30 @@ def secrets_report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with each stretch that spans cover replaced by one mask."""
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        head = F.when(fresh, F.concat(F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.lit(MASK))
-                      ).otherwise(F.lit(""))
-        return F.struct(F.greatest(x["end"], s["at"]).alias("at"),
-                        F.concat(s["out"], head).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, zero, step, lambda s: F.concat(
-        s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    """``text`` with each stretch that spans cover replaced by one mask.
+
+    The text is cut where runs of spans begin, and within a run where spans do, so that a position
+    is not sought from the start of the text for each span.
+    """
+    def walk(at: Column, run: Column) -> Column:
+        end = F.coalesce(F.array_max(F.transform(run, lambda x: x["end"])), at)
+        stretch = F.substr(text, at + 1, F.greatest(end - at, F.lit(0)))
+
+        def pieces(part: Column) -> Column:
+            def step(s: Column, x: Column) -> Column:
+                fresh = x["start"] >= s["at"]
+                head = F.concat(F.substr(part, s["at"] - at + 1, x["start"] - s["at"]), F.lit(MASK))
+                return F.struct(F.greatest(x["end"], s["at"]).alias("at"), F.when(
+                    fresh, F.concat(s["out"], F.array(head))).otherwise(s["out"]).alias("out"))
+
+            return F.aggregate(run, F.struct(
+                at.alias("at"), F.array().cast("array<string>").alias("out")), step)
+
+        return let(stretch, pieces)
+
+    last = F.coalesce(F.array_max(F.transform(spans, lambda x: x["end"])), F.lit(0))
+    return F.concat(F.array_join(in_runs(spans, F.lit(0), "string", walk), ""),
+                    F.substr(text, last + 1, F.length(text)))
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

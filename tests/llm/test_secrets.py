@@ -116,3 +116,24 @@ def test_long_keys_beside_their_counterpart(spark, size):
     assert spans == {0: f"weak_id:0:10,weak_key:11:{11 + len(key)}", 1: f"weak_key:24:{24 + len(key)}", 2: ""}
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert clean == {0: "[SECRET] [SECRET] end", 1: "see https://h.example/x [SECRET] end", 2: texts[2]}
+
+
+def test_many_spans_in_one_text(spark):
+    """Positions and masks of thousands of secrets, in time that stays near the length."""
+    import re
+    import time
+
+    def seconds(n):
+        text = "é x password = abc1234 and token: zyx98765, user_id=bob1 " * n
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begin = time.time()
+        spans, clean = secrets.secrets_report(docs).first()["spans"], secrets.redact(docs).first()["text"]
+        return time.time() - begin, spans, clean, text
+
+    seconds(50)
+    (short, *_), (long, spans, clean, text) = seconds(1_000), seconds(8_000)
+    assert long < 8 * short + 5
+    want = [m.span() for m in re.finditer(r"password = abc1234|token: zyx98765,?|user_id=bob1", text)]
+    assert [tuple(map(int, s.split(":")[1:])) for s in spans.split(",")] == [
+        (a, b - (text[b - 1] == ",")) for a, b in want]
+    assert clean == "é x [SECRET] and [SECRET], [SECRET] " * 8_000
