@@ -1,17 +1,18 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Transducers, composed left to right over the words of a clause:
+Words become symbols with weights by a prefix automaton over letters: insults and words of harm are
+word beginnings whose weight (log odds of toxic against clean documents) is learned from labelled
+rows, harm from the words that stand between an intent and a person; a few verbs of harm are given.
+Four transducers read the symbols of a clause:
 
-- insult: a prefix automaton over the letters of a word. Its paths are word beginnings whose
-  weight (log odds of toxic against clean documents) is learned from labelled rows;
-- threat: fixed verb phrases;
-- target: words that address or point at someone;
+- threat: an intent, a word of harm and a person, or a demand, become a match; insults are matches;
 - negation: a negator within ``REACH`` words before a match;
-- reported speech: a verb of saying before a match in its clause, or quotation marks around it.
+- reported speech: a verb of saying within ``TOLD_REACH`` words before, or quotation marks around it;
+- target: a person within ``AIM`` words before a match, or guessed to come within as many after it.
 
-The composition reads a clause once and gives each insult or threat one context: plain, targeted,
-negated or reported. The clause's weights by context, and the strongest clause, are the inputs of
-a logistic scale, which is fitted on the same bounded sample of labelled rows.
+They are composed to one machine once. Its heaviest path through a clause gives each match one
+context: plain, targeted, negated or reported. The matches' weights by context, and the heaviest
+clause, are the inputs of a logistic scale, which is fitted on the same bounded sample of rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import sliced
+from corvane.llm.transducers import Transducer, build, compose
 
 #: Labelled rows that the model is fitted on at most (about; chosen by a hash of doc_id).
 FIT_ROWS = 20_000
@@ -37,76 +40,208 @@ LEAST_SHARE, LEAST_ROWS = 0.003, 5
 LEAST_WEIGHT = 2.0
 #: Letters of the beginnings that are counted; a whole word ends in "$".
 BEGINNINGS = range(3, 8)
-REACH = 3
+REACH, TOLD_REACH, AIM = 3, 6, 4
 REJECT_FROM = 0.7
 
 TARGETS = frozenset("you your yours u ya he she they him her them tu te toi vous votre ton ta "
-                    "du dich dir ihr euch dein deine usted ustedes vosotros vos ti tus".split())
+                    "du dich dir ihr euch dein deine usted ustedes vosotros vos os los ti tus".split())
+SELVES = frozenset("yourself yourselves".split())
 NEGATORS = frozenset("not no never isn't aren't wasn't don't doesn't nobody without pas jamais aucun "
                      "sans nicht kein keine keinen nie niemals ohne nunca jamás sin ningún".split())
 SAYERS = frozenset("said says say told wrote writes claimed claims quoted quote called reported "
                    "dit disait écrit prétend appelé sagte sagt schrieb behauptet nannte zitiert "
                    "dijo dice escribió afirma llamó citó".split())
-THREATS = (r"\b(?:i|we|i'll|we'll|gonna|going to|will|shall)\s+(?:\w+\s+){0,2}?(?:kill|hurt|beat|shoot|stab|"
-           r"destroy|burn|strangle)\s+(?:you|him|her|them|your)\b|\b(?:kill yourself|go die|drop dead)\b|"
-           r"\b(?:je vais|on va)\s+(?:te|vous)\s+(?:tuer|frapper|détruire|cogner)\b|"
-           r"\bich\s+(?:bringe|mache|schlage|töte)\s+(?:dich|euch)\b|"
-           r"\b(?:te|os|los)\s+(?:voy|vamos)\s+a\s+(?:matar|golpear|destruir|pegar)\b")
+INTENTS = frozenset("i we i'll we'll gonna going will shall vais va ich wir voy vamos".split())
+HARMS = frozenset("kill hurt beat shoot stab destroy burn strangle tuer frapper détruire cogner bringe "
+                  "mache schlage töte matar golpear destruir pegar".split())
+URGES, FATES = frozenset("go drop".split()), frozenset("die dead".split())
 THREAT_WEIGHT = 6.0
+#: What a match counts for the weight of its clause.
 CONTEXTS = ("plain", "targeted", "negated", "reported")
+FACTORS = {"plain": 0.7, "targeted": 1.0, "negated": 0.3, "reported": 0.4}
+#: Symbols of words, in the order in which they are tried, after insults and learned words of harm.
+LISTS = {"harm": HARMS, "negator": NEGATORS, "sayer": SAYERS, "self": SELVES, "person": TARGETS,
+         "intent": INTENTS, "urge": URGES, "fate": FATES}
+SYMBOLS = ("insult", *LISTS, "quote", "other")
+GAP = 2
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[\"“”„«»]")
 _ENDS = re.compile(r"[.!?;:\n]")
-_THREAT = re.compile(THREATS)
-_QUOTES = re.compile("[\"“”„«»]")
+_LISTED = {w: name for name in reversed(LISTS) for w in LISTS[name]}
 
 
-def beginnings(text: str) -> set[str]:
-    """Word beginnings of a text in lower case, and its whole words with a mark."""
-    words = set(WORD.findall(text))
-    return {w[:k] for w in words for k in BEGINNINGS if len(w) >= k} | {w + "$" for w in words}
+def threat() -> Transducer:
+    """Insults and threats become "match".
 
+    States: (met, words since an intent, person met since), named (a person is the last word), wait (a
+    word of harm was read on the guess that a person follows), self (that "yourself" does), urged, idle.
+    """
+    plain = {"intent": "other", "self": "person", "harm": "other", "urge": "other", "fate": "other",
+             "insult": "match"}
+
+    def step(state, symbol):
+        kind, out = state[0], plain.get(symbol, symbol)
+        if symbol == "quote":
+            yield state, out, 1.0
+        elif kind in ("wait", "self"):
+            if symbol == "self" or (kind == "wait" and symbol == "person"):
+                yield ("named",), "person", 1.0
+            elif kind == "wait" and state[1]:
+                yield ("wait", state[1] - 1), out, float(symbol not in ("harm", "fate"))
+        else:
+            if symbol == "harm":
+                if kind == "met":
+                    yield (("idle",) if state[2] else ("wait", 1)), "match", 1.0
+                yield ("self",), "match", 1.0
+            if symbol == "fate" and kind == "urged":
+                yield ("idle",), "match", 1.0
+            person = symbol in ("person", "self")
+            if symbol == "intent":
+                to = ("met", 0, kind == "named" or (kind == "met" and state[2]))
+            elif kind == "met" and state[1] < GAP:
+                to = ("met", state[1] + 1, state[2] or person)
+            else:
+                to = ("named",) if person else ("urged",) if symbol == "urge" else ("idle",)
+            yield to, out, float(symbol not in ("harm", "fate"))
+
+    return build(("idle",), SYMBOLS, lambda s: s[0] not in ("wait", "self"), step)
+
+
+def negation() -> Transducer:
+    """A match within REACH words after a negator becomes "negated". State: words since one."""
+    def step(since, symbol):
+        after = since if symbol == "quote" else min(since + 1, REACH + 1)
+        if symbol == "negator":
+            yield 0, "other", 1.0
+        elif symbol == "match" and after <= REACH:
+            yield after, "negated", FACTORS["negated"]
+        else:
+            yield after, symbol, 1.0
+
+    return build(REACH + 1, ("match", "person", "negator", "sayer", "quote", "other"),
+                 lambda _: True, step)
+
+
+def reported() -> Transducer:
+    """A match after a sayer or in quotation marks becomes "reported". State: words left, in marks."""
+    def step(state, symbol):
+        left, marks = state
+        rest = max(0, left - 1)
+        if symbol == "quote":
+            yield (left, not marks), "quote", 1.0
+        elif symbol == "sayer":
+            yield (TOLD_REACH, marks), "other", 1.0
+        elif symbol in ("match", "negated") and (left or marks):
+            yield (rest, marks), "reported", (
+                FACTORS["reported"] / (FACTORS["negated"] if symbol == "negated" else 1.0))
+        else:
+            yield (rest, marks), symbol, 1.0
+
+    return build((0, False), ("match", "negated", "person", "sayer", "quote", "other"),
+                 lambda _: True, step)
+
+
+def target() -> Transducer:
+    """Other matches become "targeted" or "plain". State: words since a person, words until one must come."""
+    def step(state, symbol):
+        since, wait = state
+        if symbol == "quote":
+            yield state, symbol, 1.0
+            return
+        after = min(since + 1, AIM + 1)
+        if symbol == "person":
+            yield (0, 0), symbol, 1.0
+        elif wait != 1:
+            rest = max(0, wait - 1)
+            if symbol != "match":
+                yield (after, rest), symbol, 1.0
+            elif after <= AIM or wait:
+                yield (after, rest), "targeted", FACTORS["targeted"]
+            else:
+                yield (after, AIM), "targeted", FACTORS["targeted"]
+                yield (after, 0), "plain", FACTORS["plain"]
+
+    return build((AIM + 1, 0), ("match", "negated", "reported", "person", "quote", "other"),
+                 lambda s: not s[1], step)
+
+
+CHAIN = (threat, negation, reported, target)
+
+
+@cache
+def grammar_machine() -> Transducer:
+    """The transducers of ``CHAIN`` as one; made once a process."""
+    made = CHAIN[0]()
+    for after in CHAIN[1:]:
+        made = compose(made, after())
+    return made
 
-def contexts(clause: str, insult: dict[str, float], threat: list[tuple[int, float]]
-             ) -> dict[str, float]:
-    """Weight of a clause by context: the composed transducers read its words once.
 
-    ``insult`` gives words their weight; ``threat`` has places of threats in the clause.
-    State: words since the last negator, whether speech is reported, whether a target was met.
+def beginnings(text: str) -> set[str]:
+    """Word beginnings of a text in lower case, and its whole words with a mark.
+
+    Those of words that stand where the threat transducer has a word of harm come again after "!".
+    """
+    listed = WORD.findall(text)
+    words = set(listed)
+    harm = set()
+    for i, word in enumerate(listed):
+        if word in INTENTS:
+            for j in range(i + 1, min(i + 2 + GAP, len(listed))):
+                if listed[j] not in _LISTED and not TARGETS.isdisjoint(
+                        listed[max(0, i - 1):i] + listed[i + 1:j + 3]):
+                    harm.add(listed[j])
+    return ({w[:k] for w in words for k in BEGINNINGS if len(w) >= k} | {w + "$" for w in words}
+            | {"!" + w[:k] for w in harm for k in BEGINNINGS if len(w) >= k}
+            | {f"!{w}$" for w in harm})
+
+
+def symbol_of(word: str, insult: Mapping[str, float], harm: Mapping[str, float]) -> tuple[str, float]:
+    """Symbol and weight of a word or quotation mark."""
+    if word in insult:
+        return "insult", insult[word]
+    if word in harm:
+        return "harm", harm[word]
+    symbol = _LISTED.get(word)
+    if symbol:
+        return symbol, THREAT_WEIGHT if symbol in ("harm", "fate") else 0.0
+    return ("other" if word[0].isalpha() else "quote"), 0.0
+
+
+def clause_paths(clause: str, insult: Mapping[str, float], harm: Mapping[str, float] | list
+                 ) -> tuple[float, list[tuple[str, float]]]:
+    """Weight of a clause, and its matches as (context, weight), by the composed machine.
+
+    ``insult`` and ``harm`` give words of the clause their weight.
     """
+    weight, written = grammar_machine().heaviest(
+        symbol_of(m[0], insult, harm) for m in _TOKEN.finditer(clause))
+    return weight, [(out, w) for out, w in written if out in CONTEXTS]
+
+
+def contexts(clause: str, insult: Mapping[str, float], harm: Mapping[str, float] | list
+             ) -> dict[str, float]:
+    """Weight of a clause's matches by context."""
     out = dict.fromkeys(CONTEXTS, 0.0)
-    quotes = [m.start() for m in _QUOTES.finditer(clause)]
-    words = [(m.start(), m[0]) for m in WORD.finditer(clause)]
-    marks = {place: weight for place, weight in threat}
-    aimed = any(w in TARGETS for _, w in words)
-    since, reported, opened = REACH + 1, False, 0
-    for place, word in words:
-        since += 1
-        while opened < len(quotes) and quotes[opened] < place:
-            opened += 1
-        if word in NEGATORS:
-            since = 0
-        elif word in SAYERS:
-            reported = True
-        weight = insult.get(word, 0.0) + marks.get(place, 0.0)
-        if weight:
-            out["reported" if reported or opened % 2 else "negated" if since <= REACH
-                else "targeted" if aimed else "plain"] += weight
+    for context, weight in clause_paths(clause, insult, harm)[1]:
+        out[context] += weight
     return out
 
 
 @dataclass
 class Grammar:
-    """Learned paths of the insult automaton and the scale of the score."""
+    """Learned paths of insults and of words of harm, and the scale of the score."""
 
     paths: dict[str, float]
     scale: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES + 1))
+    harm: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self._scanner = None
 
     def __getstate__(self):
-        return {"paths": self.paths, "scale": self.scale}
+        return {"paths": self.paths, "scale": self.scale, "harm": self.harm}
 
     def __setstate__(self, state) -> None:
         self.__dict__.update(state)
@@ -118,17 +253,17 @@ class Grammar:
             import ahocorasick
 
             made = ahocorasick.Automaton()
-            for path in self.paths:
+            for path in (*self.paths, *self.harm, *HARMS, *FATES):
                 made.add_word(path.rstrip("$"), len(path.rstrip("$")))
-            if self.paths:
-                made.make_automaton()
+            made.make_automaton()
             self._scanner = made
         return self._scanner
 
-    def weight(self, word: str) -> float:
+    def weight(self, word: str, harm: bool = False) -> float:
         """Weight of the heaviest path that accepts a word."""
-        return max((self.paths[p] for p in [*(word[:k] for k in BEGINNINGS), word + "$"]
-                    if p in self.paths), default=0.0)
+        paths = self.harm if harm else self.paths
+        return max((paths[p] for p in [*(word[:k] for k in BEGINNINGS), word + "$"] if p in paths),
+                   default=0.0)
 
     def features(self, text: str | None) -> np.ndarray:
         """Inputs of the scale for one whole text: log of the weight by context, the heaviest
@@ -136,41 +271,46 @@ class Grammar:
         out = np.zeros(N_FEATURES)
         low = (text or "").lower()
         insult: dict[str, float] = {}
-        starts: list[int] = []
-        if self.paths:
-            for end, size in self.scanner().iter(low):
-                at = end - size + 1
-                if not at or not (low[at - 1].isalpha() or low[at - 1] == "'"):
-                    starts.append(at)
-        hits: list[int] = []
-        for at in dict.fromkeys(starts):
-            word = WORD.match(low, at)
-            weight = self.weight(word[0]) if word else 0.0
+        harm: dict[str, float] = {}
+        places: list[int] = []
+        starts: dict[int, None] = {}
+        for end, size in self.scanner().iter(low):
+            at = end - size + 1
+            joined = low[at - 1:at] == "'" and low[at - 2:at - 1].isalpha()
+            if not (at and (low[at - 1].isalpha() or joined)):
+                starts[at] = None
+        for at in starts:
+            found = WORD.match(low, at)
+            word = found[0] if found else ""
+            weight, threat_weight = self.weight(word), self.weight(word, harm=True)
             if weight:
-                insult[word[0]] = weight
-                hits.append(at)
-        threats = [(m.start(), THREAT_WEIGHT) for m in _THREAT.finditer(low)]
-        if not hits and not threats:
+                insult[word] = weight
+            elif threat_weight and word not in _LISTED:
+                harm[word] = threat_weight
+            elif word not in HARMS and word not in FATES:
+                continue
+            places.append(at)
+        if not places:
             return out
-        places = sorted({*hits, *(p for p, _ in threats)})
-        total, best, end = dict.fromkeys(CONTEXTS, 0.0), 0.0, -1
+        matches, total, best, end = 0, dict.fromkeys(CONTEXTS, 0.0), 0.0, -1
         ends = [m.start() for m in _ENDS.finditer(low)]
-        at_threat = [p for p, _ in threats]
-        for at in places:
+        for at in sorted(places):
             if at < end:
                 continue
             behind = bisect_left(ends, at)
             begin = ends[behind - 1] + 1 if behind else 0
             end = ends[behind] if behind < len(ends) else len(low)
-            told = threats[bisect_left(at_threat, begin):bisect_left(at_threat, end)]
-            found = contexts(low[begin:end], insult, [(p - begin, w) for p, w in told])
-            for k, v in found.items():
-                total[k] += v
-            best = max(best, sum(found.values()))
+            weight, found = clause_paths(low[begin:end], insult, harm)
+            for context, w in found:
+                total[context] += w
+            matches += len(found)
+            best = max(best, weight)
+        if not matches:
+            return out
         out[:4] = np.log1p([total[k] for k in CONTEXTS])
         out[4] = np.log1p(best)
-        out[5] = np.log1p(len(places))
-        out[6] = np.log1p(100 * len(places) / (1 + low.count(" ")))
+        out[5] = np.log1p(matches)
+        out[6] = np.log1p(100 * matches / (1 + low.count(" ")))
         return out
 
     def score(self, features: np.ndarray) -> float:
@@ -248,7 +388,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Grammar:
     odds = F.log((F.col("bad") + 0.5) / (bad_rows + 1)) - F.log((F.col("good") + 0.5) / (good_rows + 1))
     rows = counts.where((F.col("path") != "") & (F.col("bad") >= least)).withColumn(
         "odds", odds).where(F.col("odds") >= LEAST_WEIGHT).collect()
-    grammar = Grammar(shortest_paths({r["path"]: r["odds"] for r in rows}))
+    odds_of = {r["path"]: r["odds"] for r in rows}
+    grammar = Grammar(shortest_paths({p: w for p, w in odds_of.items() if p[0] != "!"}), harm=shortest_paths(
+        {p[1:]: w for p, w in odds_of.items() if p[0] == "!"}))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

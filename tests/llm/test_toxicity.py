@@ -105,3 +105,51 @@ def test_long_texts_take_time_in_proportion():
     for part in ('"idiot" ', "idiot i will kill you. "):
         (short, few), (long, many) = seconds(part * 5_000), seconds(part * 40_000)
         assert long < 40 * short + 0.5 and (many >= few - 1e-9).all()
+
+
+def test_composed_machine_equals_all_paths_of_its_parts():
+    """Every path through the four transducers, one after the other, on random clauses."""
+    parts = [make() for make in tx.CHAIN]
+
+    def every(symbols, at=0):
+        if at == len(parts):
+            yield symbols, [1.0] * len(symbols)
+            return
+        for out, factors in parts[at].paths(symbols):
+            for last, rest in every(out, at + 1):
+                yield last, [a * b for a, b in zip(factors, rest)]
+
+    rng, machine, several = random.Random(11), tx.grammar_machine(), 0
+    for _ in range(1000):
+        symbols = [rng.choice([*tx.SYMBOLS, "insult", "harm", "person", "other"])
+                   for _ in range(rng.randrange(9))]
+        weights = [rng.randrange(1, 9) / 2 if s in ("insult", "harm", "fate") else 0.0 for s in symbols]
+        paths = list(every(symbols))
+        several += len(paths) > 1
+        best = max(sum(w * f for w, f in zip(weights, factors)) for _, factors in paths)
+        total, written = machine.heaviest(list(zip(symbols, weights)))
+        assert abs(total - best) < 1e-9
+        assert any(abs(sum(w * f for w, f in zip(weights, factors)) - best) < 1e-9
+                   and written == [(o, w) for o, w in zip(out, weights) if w] for out, factors in paths)
+    assert several > 100
+
+
+def test_threats_and_contexts_end_with_their_reach():
+    met = lambda clause: tx.clause_paths(clause, {"fool": 2.0}, {"zap": 3.0})[1]
+    assert met("we will zap them") == met("te voy a zap") == [("targeted", 3.0)]
+    assert met("zap yourself") == [("targeted", 3.0)]
+    assert met("we will zap the paint") == met("zap them") == met("we will zap") == []
+    assert met("he said that it was on one day that the fool came")[0][0] == "plain"
+    assert met("fool , all of you") == [("targeted", 2.0)]
+    assert met("fool and then it was all for you") == [("plain", 2.0)]
+
+
+def test_words_of_harm_are_learned(spark):
+    rows, labels = made(9)
+    rows = [(d, t + (" i will then vorpal you" if toxic else " i will then vorp it and vorpal. you"))
+            for (d, t), (_, toxic) in zip(rows, labels)]
+    grammar = tx.fit(spark.createDataFrame(rows, "doc_id long, text string"),
+                     spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert grammar.weight("vorpal", harm=True) >= tx.LEAST_WEIGHT
+    assert grammar.features("we will vorpal him")[1] > 0
+    assert not grammar.features("vorpal. we will see")[:4].any()
