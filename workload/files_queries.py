@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corvane.functions import keys
 from corvane.functions import lexicon as lx
 from corvane.session import scratch_path
+from corvane.sources import buckets
 from corvane.sources import files as fs
 from corvane.sources import store as st
 from workload import beds
@@ -205,9 +206,12 @@ def top_errors(spark, sf):
     return st.top_errors(status_log(spark, sf))
 
 
-@query("upsert_vectors", facts("vecs") + "select owner_id, chunk_id, round(list_sum("
+VECTORS_SQL = (facts("vecs") + "select owner_id, chunk_id, round(list_sum("
        "list_transform(emb, lambda x: case when label < 5 then -x else x end)), 6) as total, "
        "case when label < 5 then 2 else 1 end as version from vecs")
+
+
+@query("upsert_vectors", VECTORS_SQL)
 def upsert_vectors(spark, sf):
     """The vectors of half of the labels are written again with the sign turned."""
     v = beds.vectors(spark, sf)
@@ -220,10 +224,13 @@ def upsert_vectors(spark, sf):
         .alias("total"), "version")
 
 
-@query("upsert_nodes", "select p_partkey as id, case when s is null then p_name else 'renamed' end "
+NODES_SQL = ("select p_partkey as id, case when s is null then p_name else 'renamed' end "
        "as name, p_brand as brand, s as note from part left join (select l_partkey, "
        "max(l_returnflag) as s from lineitem where l_quantity > 49 group by 1) "
        "on p_partkey = l_partkey")
+
+
+@query("upsert_nodes", NODES_SQL)
 def upsert_nodes(spark, sf):
     """Parts ordered in large numbers are renamed and get a note; the brand is not touched."""
     old = beds.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias(
@@ -249,6 +256,47 @@ def upsert_documents(spark, sf):
         "owner_id", "file_id", "file_name", "link")
 
 
+@query("upsert_vectors_stored", VECTORS_SQL)
+def upsert_vectors_stored(spark, sf):
+    """The same update of a table in buckets, of which only those of the new vectors are rewritten."""
+    v = beds.vectors(spark, sf)
+    cols = ["owner_id", "chunk_id", "embedding", "version"]
+    path = scratch_path(spark, "vectors")
+    buckets.write_vectors(v.withColumn("version", F.lit(1)).select(*cols), path)
+    buckets.upsert_vectors(spark, path, v.filter("label < 5").withColumn("version", F.lit(2)).withColumn(
+        "embedding", F.transform("embedding", lambda x: -x)).select(*cols), version="version")
+    return buckets.read_table(spark, path).select(
+        "owner_id", "chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6)
+        .alias("total"), "version")
+
+
+@query("upsert_nodes_stored", NODES_SQL)
+def upsert_nodes_stored(spark, sf):
+    """Parts in buckets get new properties in two updates: the name, then the note."""
+    path = scratch_path(spark, "nodes")
+    buckets.write_table(beds.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"),
+        F.lit(None).cast("string").alias("note")), path, ["id"])
+    new = beds.table(spark, sf, "lineitem").filter("l_quantity > 49").groupBy(
+        F.col("l_partkey").alias("id")).agg(F.max("l_returnflag").alias("note"))
+    buckets.upsert_properties(spark, path, new.select("id", F.lit("renamed").alias("name")), ["id"])
+    buckets.upsert_properties(spark, path, new, ["id"])
+    return buckets.read_table(spark, path).select("id", "name", "brand", "note")
+
+
+@query("delete_stored", facts("files") + "select owner_id, file_id, file_name from files where file_id "
+       "not in (select cast(doc_id as varchar) from labels where quality = 0)")
+def delete_stored(spark, sf):
+    """Badly rated documents are removed from a catalogue in buckets."""
+    path = scratch_path(spark, "catalogue")
+    f = beds.files(spark, sf).select("owner_id", "file_id", "file_name")
+    buckets.write_table(f, path, st.FILE_KEY)
+    bad = beds.table(spark, sf, "labels").filter("quality = 0").select(
+        F.col("doc_id").cast("string").alias("file_id"))
+    buckets.delete_keys(spark, path, f.join(bad, "file_id", "left_semi"), st.FILE_KEY)
+    return buckets.read_table(spark, path)
+
+
 @query("delete_document", facts("g_documents g_chunks g_mentions g_entities") +
        ", gone as (select owner_id, file_id from g_documents join customer on file_id = 'C' || "
        "c_custkey where c_acctbal < 0), dead as (select chunk_id from g_chunks join gone using "
