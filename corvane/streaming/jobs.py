@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from corvane.functions.text import content_hash
 from corvane.operators.chunking import chunk_documents
@@ -95,14 +99,75 @@ def with_hash(rows: DataFrame) -> DataFrame:
     return rows.withColumn("content_hash", content_hash("text"))
 
 
+def progress_counts() -> list:
+    """Counts of a status log: what was looked at, indexed, skipped and failed."""
+    status = F.col("status")
+    return [F.count(F.lit(1)).alias("processed"), F.count_if(status == "success").alias("indexed"),
+            F.count_if(status == "skipped").alias("skipped"),
+            F.count_if(status.isin("error", "failed")).alias("errors")]
+
+
+PROGRESS = "query string, batch long, processed long, indexed long, skipped long, errors long"
+
+
+class ProgressTable(StreamingQueryListener):
+    """Feeds a table with the progress of the streams of a session that are made by ``tracked_stream``.
+
+    One row for each batch, in a folder of its own, so a batch that is run again replaces its row.
+    ``on_progress`` is called with each row. Rows come after their batch; ``wait`` returns once a
+    query's last row is written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str,
+                 on_progress: Callable[[dict], None] | None = None):
+        self.spark, self.path, self.on_progress = spark, path, on_progress
+        self.ended: dict[str, threading.Event] = {}
+        self.failed: dict[str, Exception] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seen = p.observedMetrics.get("file_progress")
+        if seen is None:
+            return
+        row = {"query": str(p.id), "batch": p.batchId, **{k: int(v) for k, v in seen.asDict().items()}}
+        try:
+            self.spark.createDataFrame([row], PROGRESS).coalesce(1).write.mode("overwrite").parquet(
+                f"{self.path}/{row['query']}-{row['batch']}")
+            if self.on_progress:
+                self.on_progress(row)
+        except Exception as problem:  # raised to the caller of wait(), a listener has none
+            self.failed[str(p.runId)] = problem
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def wait(self, query, seconds: float = 60.0) -> None:
+        """Wait for the end of a query and of its rows; an error while a row was written is raised."""
+        query.awaitTermination()
+        if not self.ended.setdefault(str(query.runId), threading.Event()).wait(seconds):
+            raise TimeoutError(f"no end of query {query.id} was reported")
+        if str(query.runId) in self.failed:
+            raise self.failed[str(query.runId)]
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(PROGRESS).parquet(f"{self.path}/*")
+
+
+def tracked_stream(log: DataFrame, path: str, checkpoint: str):
+    """Write a streamed status log; its counts per batch reach the session's ``ProgressTable``."""
+    return (log.observe("file_progress", *progress_counts()).writeStream.format("parquet")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def observed_progress(log: DataFrame, path: str) -> dict[str, int]:
     """Write a log and report its progress counts from the same pass."""
     seen = Observation("progress")
-    status = F.col("status")
-    log.observe(
-        seen, F.count(F.lit(1)).alias("processed"),
-        F.count_if(status == "success").alias("indexed"),
-        F.count_if(status == "skipped").alias("skipped"),
-        F.count_if(status.isin("error", "failed")).alias("errors"),
-    ).write.mode("overwrite").parquet(path)
+    log.observe(seen, *progress_counts()).write.mode("overwrite").parquet(path)
     return seen.get

@@ -72,3 +72,22 @@ def test_state_falls_once_the_delay_has_passed(spark, tmp_path):
     assert got == [("a", 0), ("a", 4), ("b", 0), ("c", 1), ("d", 2), ("e", 3)]
     held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress]
     assert max(held) > held[-1]
+
+
+def test_a_listener_feeds_the_progress_table(spark, tmp_path):
+    folder, seen = str(tmp_path / "in"), []
+    for rows in (["success", "skipped"], ["error"], ["success", "failed", "success"]):
+        spark.createDataFrame([(r,) for r in rows], "status string").coalesce(1).write.mode(
+            "append").parquet(folder)
+    table = jobs.ProgressTable(spark, str(tmp_path / "progress"), seen.append)
+    spark.streams.addListener(table)
+    try:
+        source = jobs.read_table_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema, 1)
+        for _ in range(2):  # the second run finds nothing new
+            table.wait(jobs.tracked_stream(source, str(tmp_path / "out"), str(tmp_path / "state")))
+    finally:
+        spark.streams.removeListener(table)
+    rows = [r for r in table.read().orderBy("batch").collect() if r["processed"]]
+    assert sorted((r["processed"], r["indexed"], r["skipped"], r["errors"]) for r in rows) == [
+        (1, 0, 0, 1), (2, 1, 1, 0), (3, 2, 0, 1)]
+    assert [r["batch"] for r in seen if r["processed"]] == [0, 1, 2] and len({r["query"] for r in rows}) == 1

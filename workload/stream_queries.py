@@ -82,3 +82,25 @@ def index_progress(spark, sf):
     return written.filter(F.col("n") == seen["processed"]).select(
         *[F.lit(seen[c]).cast("bigint").alias(c)
           for c in ("processed", "indexed", "skipped", "errors")])
+
+
+BATCHES = 3
+
+
+@query("stream_progress", "select count(*) as processed, count(*) filter (event_type not in ('error', "
+       "'view')) as indexed, count(*) filter (event_type = 'view') as skipped, count(*) filter "
+       f"(event_type = 'error') as errors, {BATCHES}::bigint as batches from events")
+def stream_progress(spark, sf):
+    """A status log arrives in three batches; a listener writes the counts of each to a table."""
+    path = scratch_path(spark, "tracked")
+    log = status_log(spark, sf)
+    log.repartition(BATCHES).write.parquet(f"{path}/in")
+    table = jobs.ProgressTable(spark, f"{path}/progress")
+    spark.streams.addListener(table)
+    try:
+        source = jobs.read_table_stream(spark, f"{path}/in", "*.parquet", log.schema, 1)
+        table.wait(jobs.tracked_stream(source, f"{path}/out", f"{path}/state"))
+    finally:
+        spark.streams.removeListener(table)
+    counts = [F.sum(c).alias(c) for c in ("processed", "indexed", "skipped", "errors")]
+    return table.read().where("processed > 0").agg(*counts, F.count("*").alias("batches"))
