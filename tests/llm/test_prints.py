@@ -86,3 +86,71 @@ def test_lengths_of_long_runs_count():
     assert len({pp.written(p) for p in prints}) == 2 * len(lengths)
     again = pp.fingerprints([f"head {'-' * 50_000} tail", "other"])[0]
     assert (again == prints[7]).all()
+
+
+def scalar_names(text):
+    """The names of the phrases of one text, parsed symbol by symbol with Python integers."""
+    full, (a, b) = (1 << 64) - 1, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+    places = [int(p) for p in pp.PLACES]
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * a & full
+        x = (x ^ (x >> 27)) * b & full
+        return x ^ (x >> 31)
+
+    def runs(symbols):
+        out = []
+        for symbol, span in symbols:
+            if out and out[-1][0] == symbol:
+                out[-1] = (symbol, out[-1][1] + 1, out[-1][2] + span)
+            else:
+                out.append((symbol, 1, span))
+        return out
+
+    def with_length(symbol, times, level):
+        if times == 1:
+            return symbol
+        if level > 1:
+            return mix((symbol * a + times) & full)
+        if times > 1023:
+            return mix(symbol << 40 | times) >> 33 | 1 << 31
+        return symbol | times << 21
+
+    least, names, level = min(8, len(text) // 8), [], 0
+    symbols = [(ord(c), 1) for c in text]
+    while True:
+        level += 1
+        symbols = [(with_length(s, n, level), span) for s, n, span in runs(symbols)]
+        if len(symbols) == 1:
+            return sorted([*names, mix((symbols[0][0] + 977) & full)])
+        labels, top = [s for s, _ in symbols], (1 << 32 if level == 1 else 1 << 64) - 1
+        for _ in range(4):
+            fresh = []
+            for k, label in enumerate(labels):
+                differ = label ^ (labels[k - 1] if k else ~label & top)
+                low = (differ & -differ).bit_length() - 1
+                fresh.append(low * 2 + (label >> low & 1))
+            labels, top = fresh, 255
+        phrases = []
+        for k, symbol in enumerate(symbols):
+            peak = 0 < k < len(symbols) - 1 and labels[k - 1] < labels[k] > labels[k + 1]
+            if not k or peak:
+                phrases.append([])
+            phrases[-1].append(symbol)
+        symbols = [(mix((sum(s * places[k % 64] for k, (s, _) in enumerate(p)) + level) & full),
+                    sum(span for _, span in p)) for p in phrases]
+        names += [name for name, span in symbols if span >= least]
+
+
+def test_scalar_parsing_gives_the_same_phrases():
+    rng = random.Random(8)
+    texts = [words(rng, rng.randrange(1, 120)) for _ in range(60)]
+    texts += ["".join(rng.choice("ab😀é\n ") for _ in range(rng.randrange(1, 400))) for _ in range(60)]
+    texts += ["a", "ab", "aa", "a" * 1023, "a" * 1024, "head " + "-" * 1500 + " tail", "abab" * 300,
+              ("x" * 70 + "y") * 40, "\ud800 lone", words(rng, 3000)]
+    docs, names = pp.phrase_names(texts)
+    mix = pp.mixed(names) >> np.uint64(32)
+    prints = pp.fingerprints(texts)
+    for k, text in enumerate(texts):
+        assert sorted(names[docs == k].tolist()) == scalar_names(text), text[:40]
+        assert prints[k].tolist() == sorted(set(mix[docs == k].tolist()))[:pp.KEPT]
