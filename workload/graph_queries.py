@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corvane.functions import lexicon as lx
 from corvane.operators import context as cx
 from corvane.operators import graph as gr
+from corvane.session import cut_lineage
 from workload import beds
 from workload.registry import query
 from workload.sqlparts import facts
@@ -154,7 +155,19 @@ def neighbourhood(spark, sf):
                             beds.telling_edges(spark, sf))
 
 
-@query("path_hops_whole", facts("t_edges c_edges") + f", e as ("
+def whole_paths(spark, sf):
+    """Paths between each maker's first part and the last part it occurs with."""
+    edges = beds.graph_edges(spark, sf)
+    first = edges.filter("rel_type = 'CREATED_BY'").groupBy("owner_id", "dst").agg(
+        F.min("src").alias("a")).drop("dst")
+    met = edges.filter("rel_type = 'COOCCURS_WITH'").select("owner_id", "src", "dst")
+    both = met.toDF("owner_id", "a", "o").unionByName(met.toDF("owner_id", "o", "a"))
+    last = both.join(first, ["owner_id", "a"]).groupBy("owner_id", "a").agg(F.max("o").alias("o"))
+    pairs = last.select("owner_id", F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b"))
+    return gr.shortest_paths(pairs.distinct(), edges)
+
+
+WHOLE_HOPS = (facts("t_edges c_edges") + f", e as ("
        f"{SIMPLE}), co as (select owner_id, src as a, dst as b from c_edges union select owner_id, dst, "
        "src from c_edges), firsts as (select owner_id, min(src) as a from t_edges where rel_type = "
        "'CREATED_BY' group by owner_id, dst), pairs as (select owner_id, least(a, o) as a, greatest(a, "
@@ -164,19 +177,37 @@ def neighbourhood(spark, sf):
        "w.pos = e.a where w.hops < 5) select p.owner_id, p.a, p.b, coalesce(t.hops, 1) as hops, t.hops "
        "is not null as semantic from pairs p left join (select owner_id, a, b, min(hops) as hops from "
        "walk where pos = b group by 1, 2, 3) t using (owner_id, a, b)")
+
+
+@query("path_hops_whole", WHOLE_HOPS)
 def path_hops_whole(spark, sf):
     """Distance of each maker's first part to the last part it occurs with, over the whole graph.
 
     Where no telling edges connect the two, the second search takes the co-occurrence edge.
     """
-    edges = beds.graph_edges(spark, sf)
-    first = edges.filter("rel_type = 'CREATED_BY'").groupBy("owner_id", "dst").agg(
-        F.min("src").alias("a")).drop("dst")
-    met = edges.filter("rel_type = 'COOCCURS_WITH'").select("owner_id", "src", "dst")
-    both = met.toDF("owner_id", "a", "o").unionByName(met.toDF("owner_id", "o", "a"))
-    last = both.join(first, ["owner_id", "a"]).groupBy("owner_id", "a").agg(F.max("o").alias("o"))
-    pairs = last.select("owner_id", F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b"))
-    return gr.shortest_paths(pairs.distinct(), edges).select("owner_id", "a", "b", "hops", "semantic")
+    return whole_paths(spark, sf).select("owner_id", "a", "b", "hops", "semantic")
+
+
+@query("path_steps", "select owner_id, a, b, hops::integer as hops, hops::integer as steps, true as joined, "
+       f"0::bigint as broken from ({WHOLE_HOPS})")
+def path_steps(spark, sf):
+    """Each path of path_hops_whole: its steps, whether it leads from a to b, and steps that are no edge."""
+    paths = cut_lineage(whole_paths(spark, sf))
+    steps = paths.select("owner_id", "a", "b", F.inline(F.arrays_zip(
+        F.expr("slice(nodes, 1, size(rels))").alias("f"), F.expr("slice(nodes, 2, size(rels))").alias("t"),
+        F.col("rels").alias("r"))))
+    ahead = F.col("r.back") == 0
+    steps = steps.select("owner_id", "a", "b", F.when(ahead, F.col("f")).otherwise(F.col("t")).alias("src"),
+                         F.when(ahead, F.col("t")).otherwise(F.col("f")).alias("dst"), "r.rel_type")
+    edges = beds.graph_edges(spark, sf).select("owner_id", "src", "dst", "rel_type").distinct()
+    broken = steps.join(edges, ["owner_id", "src", "dst", "rel_type"], "left_anti").groupBy(
+        "owner_id", "a", "b").agg(F.count("*").alias("broken"))
+    last = F.element_at("nodes", -1)
+    return paths.join(broken, ["owner_id", "a", "b"], "left").select(
+        "owner_id", "a", "b", "hops", F.size("rels").alias("steps"),
+        ((F.col("nodes")[0] == F.col("a")) & (last == F.col("b"))
+         & (F.size("nodes") == F.size("rels") + 1)).alias("joined"),
+        F.coalesce("broken", F.lit(0)).cast("bigint").alias("broken"))
 
 
 @query("neighbourhood_whole", facts("g_edges o_suppliers") + ", e as (select owner_id, src as a, dst as "
