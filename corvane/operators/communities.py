@@ -79,29 +79,14 @@ def _best_moves(links: DataFrame, state: DataFrame, totals: DataFrame) -> DataFr
 BLOCK_LINKS = 500_000
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """Move the nodes of one block one after the other until none gains.
+def _moves(ends: list[int], inner: list[int], outer: list[int], weight: list[float], degree: list[float],
+           comm: list[int], tot: list[float], two_m: float) -> list[int]:
+    """Communities of nodes after single moves, one after the other, until none gains.
 
-    Rows are links (src, degree, home, home_tot, dst, comm, tot, weight, two_m). Communities of nodes
-    outside the block stay as they are. After a move only the neighbours of the node are scored
-    again. Every move raises the modularity as the block sees it, so the moves end.
+    Node i has the links ``ends[i]`` to ``ends[i + 1]``; a link leads to node ``inner`` or, where that is
+    negative, into community ``outer``. After a move only the neighbours of the node are scored again.
     """
-    names = pa.chunked_array([*table["home"].chunks, *table["comm"].chunks]).combine_chunks().unique()
-    names = names.take(pc.sort_indices(names))  # ties go to the smallest community
-    nodes = table["src"].combine_chunks().unique()
-    nodes = nodes.take(pc.sort_indices(nodes))
-    column = {c: table[c].to_numpy() for c in ("degree", "home_tot", "tot", "weight", "two_m")}
-    src, inner, home, outer = (pc.fill_null(pc.index_in(table[c], value_set=v), -1).to_numpy()
-                               for c, v in (("src", nodes), ("dst", nodes), ("home", names), ("comm", names)))
-    tot = np.zeros(len(names))
-    tot[outer], tot[home] = column["tot"], column["home_tot"]
-    degree, comm = np.zeros(len(nodes)), np.zeros(len(nodes), dtype=np.int64)
-    degree[src], comm[src] = column["degree"], home
-    order = np.argsort(src, kind="stable")
-    ends = np.searchsorted(src[order], np.arange(len(nodes) + 1)).tolist()
-    inner, outer, weight = (x[order].tolist() for x in (inner, outer, column["weight"]))
-    tot, degree, comm, two_m = tot.tolist(), degree.tolist(), comm.tolist(), float(column["two_m"][0])
-    waiting, waits = deque(range(len(nodes))), [True] * len(nodes)
+    waiting, waits = deque(range(len(comm))), [True] * len(comm)
     while waiting:
         i = waiting.popleft()
         waits[i] = False
@@ -121,6 +106,69 @@ def _settle(table: pa.Table) -> pa.Table:
                 if j >= 0 and not waits[j] and comm[j] != -minus:
                     waits[j] = True
                     waiting.append(j)
+    return comm
+
+
+def _settle_owner(table: pa.Table) -> pa.Table:
+    """Communities of an owner whose whole graph is one block: (owner_id, a, b, weight) rows.
+
+    Nodes move, then whole communities as nodes of the smaller graph, and again until nothing moves.
+    """
+    names = pa.chunked_array([*table["a"].chunks, *table["b"].chunks]).combine_chunks().unique()
+    names = names.take(pc.sort_indices(names))
+    a, b = (pc.index_in(table[c], value_set=names).to_numpy() for c in "ab")
+    src, dst = np.concatenate([a, b]).astype(np.int64), np.concatenate([b, a]).astype(np.int64)
+    weight = np.tile(table["weight"].to_numpy(), 2).astype(float)
+    degree, two_m = np.bincount(src, weight, len(names)), float(weight.sum())
+
+    def settled(src, dst, weight, degree, comm):
+        order = np.argsort(src, kind="stable")
+        ends = np.searchsorted(src[order], np.arange(len(comm) + 1)).tolist()
+        return np.array(_moves(ends, dst[order].tolist(), [], weight[order].tolist(), degree.tolist(),
+                               comm.tolist(), np.bincount(comm, degree, len(comm)).tolist(), two_m))
+
+    comm = np.arange(len(names))
+    while True:
+        before = comm
+        comm = settled(src, dst, weight, degree, comm)
+        while True:
+            used, place = np.unique(comm, return_inverse=True)
+            x, y, n = place[src], place[dst], len(used)
+            between = x != y
+            links, at = np.unique(x[between] * n + y[between], return_inverse=True)
+            up = settled(links // n, links % n, np.bincount(at, weight[between], len(links)),
+                         np.bincount(place, degree, n), np.arange(n))
+            if (up == np.arange(n)).all():
+                break
+            comm = used[up[place]]
+        if np.array_equal(before, comm):
+            owner = table["owner_id"].combine_chunks()[:1].take(pa.array(np.zeros(len(names), np.int64)))
+            return pa.table({"owner_id": owner, "node": names, "comm": names.take(pa.array(comm))})
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """Move the nodes of one block one after the other until none gains.
+
+    Rows are links (src, degree, home, home_tot, dst, comm, tot, weight, two_m). Communities of nodes
+    outside the block stay as they are. After a move only the neighbours of the node are scored
+    again. Every move raises the modularity as the block sees it, so the moves end.
+    """
+    names = pa.chunked_array([*table["home"].chunks, *table["comm"].chunks]).combine_chunks().unique()
+    names = names.take(pc.sort_indices(names))  # ties go to the smallest community
+    nodes = table["src"].combine_chunks().unique()
+    nodes = nodes.take(pc.sort_indices(nodes))
+    column = {c: table[c].to_numpy() for c in ("degree", "home_tot", "tot", "weight", "two_m")}
+    src, inner, home, outer = (pc.fill_null(pc.index_in(table[c], value_set=v), -1).to_numpy()
+                               for c, v in (("src", nodes), ("dst", nodes), ("home", names), ("comm", names)))
+    tot = np.zeros(len(names))
+    tot[outer], tot[home] = column["tot"], column["home_tot"]
+    degree, comm = np.zeros(len(nodes)), np.zeros(len(nodes), dtype=np.int64)
+    degree[src], comm[src] = column["degree"], home
+    order = np.argsort(src, kind="stable")
+    ends = np.searchsorted(src[order], np.arange(len(nodes) + 1)).tolist()
+    inner, outer, weight = (x[order].tolist() for x in (inner, outer, column["weight"]))
+    comm = _moves(ends, inner, outer, weight, degree.tolist(), comm.tolist(), tot.tolist(),
+                  float(column["two_m"][0]))
     return pa.table({"owner_id": table["owner_id"].combine_chunks()[:1].take(
         pa.array(np.zeros(len(nodes), dtype=np.int64))), "node": nodes, "best": names.take(pa.array(comm))})
 
@@ -189,9 +237,27 @@ def _local_moves(links: DataFrame, nodes: DataFrame, totals: DataFrame, most_lef
 
 def louvain(graph: DataFrame, block_links: int = BLOCK_LINKS) -> DataFrame:
     """Communities by modularity: single nodes move, then whole communities, and again, until
-    neither a node nor a community gains by joining another. The first pass leaves the last few
-    moves to the later ones, which go on until nothing moves. Owners are independent but share
-    every job.
+    neither a node nor a community gains by joining another.
+
+    Owners are independent. One with at most ``block_links`` links is a single block and is settled
+    in one task; the others share the jobs of ``_louvain_in_blocks``.
+    """
+    rows = cut_lineage(graph.select("owner_id", "a", "b", "weight"))
+    sizes = cut_lineage(rows.groupBy("owner_id").agg((2 * F.count("*")).alias("links")))
+    large = sizes.where(F.col("links") > block_links).select("owner_id")
+    settled = cut_lineage(rows.join(large, "owner_id", "left_anti").groupBy("owner_id").applyInArrow(
+        _settle_owner, "owner_id string, node string, comm string"))
+    if large.isEmpty():
+        return settled
+    return settled.unionByName(_louvain_in_blocks(cut_lineage(rows.join(large, "owner_id", "left_semi")),
+                                                  block_links))
+
+
+def _louvain_in_blocks(graph: DataFrame, block_links: int) -> DataFrame:
+    """Communities of owners with many links, by sweeps over blocks.
+
+    The first pass leaves the last few moves to the later ones, which go on until nothing moves.
+    Owners share every job.
     """
     links = _both_ways(graph)
     totals = cut_lineage(links.groupBy("owner_id").agg(F.sum("weight").alias("two_m")))

@@ -35,3 +35,39 @@ def test_louvain_settles(spark, block_links):
 
 def test_louvain_of_no_edges(spark):
     assert cm.louvain(spark.createDataFrame([], GRAPH)).count() == 0
+
+
+def test_an_owner_in_one_task_leaves_no_gain():
+    """By brute force: no node and no whole community gains by joining another one."""
+    import random
+
+    import pyarrow as pa
+
+    from corvane.operators.communities import _settle_owner
+
+    rng = random.Random(3)
+    for n, p in ((2, 1.0), (12, 0.4), (40, 0.1), (60, 0.3)):
+        edges = {(i, j): rng.choice([1.0, 2.5]) for i in range(n) for j in range(i)
+                 if rng.random() < (p if i % 4 == j % 4 else p / 8)} or {(1, 0): 1.0}
+        table = pa.table({"owner_id": ["o"] * len(edges), "a": [f"n{i}" for i, _ in edges],
+                          "b": [f"n{j}" for _, j in edges], "weight": list(edges.values())})
+        out = _settle_owner(table).to_pylist()
+        comm = {r["node"]: r["comm"] for r in out}
+        assert set(comm) == {f"n{x}" for e in edges for x in e}
+
+        def quality(of):
+            m = sum(edges.values())
+            inside = sum(w for (i, j), w in edges.items() if of[f"n{i}"] == of[f"n{j}"])
+            total = {}
+            for (i, j), w in edges.items():
+                for x in (i, j):
+                    total[of[f"n{x}"]] = total.get(of[f"n{x}"], 0) + w
+            return inside / m - sum(t * t for t in total.values()) / (4 * m * m)
+
+        best, groups = quality(comm), set(comm.values())
+        for node in comm:
+            assert all(quality({**comm, node: g}) <= best + 1e-9 for g in groups)
+        for one in groups:
+            for other in groups:
+                merged = {k: other if g == one else g for k, g in comm.items()}
+                assert quality(merged) <= best + 1e-9
