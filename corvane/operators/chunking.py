@@ -148,7 +148,8 @@ def chunk_places(body: str, parts: list[str]) -> list[dict]:
         at = next((places[k] for k in range(first, len(places))
                    if body.startswith(part, places[k])), None)
         if at is None:
-            at = places[first] if first < len(places) else begin
+            at = next((places[k] for k in range(first, len(places))
+                       if body.startswith(head, places[k])), begin)
         line += body.count("\n", seen, at)
         end = at + len(part)
         marked = bisect_right(ends, at + 1)
