@@ -70,12 +70,11 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
 
     sums = classes.select("dims", "v").mapInArrow(products, "dims int, at long, x double")
     axes: dict[int, np.ndarray] = {}
-    rows = sums.groupBy("dims", "at").agg(F.sum("x").alias("x")).collect()
-    for d in {r["dims"] for r in rows}:
+    found = sums.groupBy("dims", "at").agg(F.sum("x").alias("x")).toArrow()  # packed, no row objects
+    of, at, x = (found.column(c).to_numpy() for c in ("dims", "at", "x"))
+    for d in np.unique(of).tolist():
         m = np.zeros(d * d)
-        for r in rows:
-            if r["dims"] == d:
-                m[r["at"]] = r["x"]
+        m[at[of == d]] = x[of == d]
         m = m.reshape(d, d)
         _, vectors = np.linalg.eigh((m + m.T) / 2)
         axes[d] = np.ascontiguousarray(vectors[:, ::-1])
