@@ -56,3 +56,17 @@ def test_keyword_score_keeps_dstroke(spark):
     df = spark.createDataFrame([("báo cáo đồ án", "Nội dung không liên quan.", "Bao_cao_do_an.pdf")],
                                ["question", "text", "file_name"])
     assert round(with_keyword_score(df).first()["keyword_score"], 4) == 0.1875
+
+
+def test_upper_letters_agree_with_sql():
+    """For every code point of the first two planes."""
+    import duckdb
+
+    from corvane.functions.text import upper_letters
+
+    assert upper_letters("straße") == "STRAẞE"
+    letters = [chr(c) for c in range(1, 0x20000) if not 0xd800 <= c < 0xe000]
+    told = dict(duckdb.connect().execute(
+        "select c, upper(c) from (select unnest(?) as c)", [letters]).fetchall())
+    differ = [c for c in letters if upper_letters(c) != told[c]]
+    assert not differ

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corvane.functions.text import normalize_name
+from corvane.functions.text import normalize_name, upper_letters
 from corvane.operators import chunking as ck
 from corvane.operators import extraction as ex
 from corvane.operators.canonical import alias_table
@@ -133,7 +133,7 @@ def model_batches(spark, sf):
 def model_hook(spark, sf):
     """A stand-in model that reports the length and the beginning of each batch text."""
     def stub(texts):
-        return [f"{len(t)}:{t[:5].upper()}" for t in texts]
+        return [f"{len(t)}:{upper_letters(t[:5])}" for t in texts]
 
     out = ex.with_model(ck.model_batches(kept(spark, sf)), stub, "text", "answer", "string")
     return out.select("owner_id", "file_id", "batch_no",
