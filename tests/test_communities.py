@@ -71,3 +71,18 @@ def test_an_owner_in_one_task_leaves_no_gain():
             for other in groups:
                 merged = {k: other if g == one else g for k, g in comm.items()}
                 assert quality(merged) <= best + 1e-9
+
+
+def test_an_owner_above_a_block_is_still_one_task(spark, monkeypatch):
+    """Blocks are for owners that no task can hold; the sweeps over them take many jobs."""
+    def unwanted(*_):
+        raise AssertionError("sweeps over blocks")
+
+    rows, nodes = planted(3, 7, 2)
+    graph = spark.createDataFrame(rows, GRAPH).cache()
+    monkeypatch.setattr(cm, "_louvain_in_blocks", unwanted)
+    found = cm.louvain(graph, 40, owner_links=10_000)
+    assert found.count() == len(nodes) + 1
+    assert {r["gaining"] for r in cm.gaining_nodes(graph, found).collect()} == {0}
+    monkeypatch.setattr(cm, "BLOCK_LINKS", 40)
+    assert cm.louvain(graph, 40).count() == len(nodes) + 1
