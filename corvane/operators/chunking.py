@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,11 +79,31 @@ def pack_units(parts: list[str], size: int, overlap: int, drop_overlap_only: boo
     return done
 
 
+#: Bytes of texts that a task holds as Python objects at a time; a longer text stands alone.
+SLICE_BYTES = 1_000_000
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(begin, length) of runs of rows with about ``most`` bytes of text or lists of texts."""
+    if pa.types.is_list(texts.type):
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts.values), 0).to_numpy())])
+        total = ends[texts.offsets.to_numpy()[1:]]
+    else:
+        total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    if len(total):
+        begins = np.flatnonzero(np.diff(total // most, prepend=-1))
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(total)]):
+            yield begin, end - begin
+
+
 def pack(parts: Column, size: int, overlap: int, drop_overlap_only: bool = False) -> Column:
     """``pack_units`` as a column; the boundary of a chunk depends on the one before it."""
-    @F.pandas_udf("array<string>")
-    def packed(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda u: pack_units(list(u), size, overlap, drop_overlap_only))
+    @F.arrow_udf("array<string>")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            for cut in slices(lists):
+                yield pa.array([pack_units(u or [], size, overlap, drop_overlap_only)
+                                for u in lists.slice(*cut).to_pylist()], pa.list_(pa.string()))
 
     return packed(parts)
 
@@ -97,8 +119,8 @@ def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-PLACES = ("array<struct<char_start:int,char_end:int,line_start:int,line_end:int,"
-          "page_estimate:int,repeat:boolean>>")
+PLACE_NUMBERS = ("char_start", "char_end", "line_start", "line_end", "page_estimate")
+PLACES = f"array<struct<{','.join(f'{c}:int' for c in PLACE_NUMBERS)},repeat:boolean>>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
@@ -166,9 +188,13 @@ def chunk_places(body: str, parts: list[str]) -> list[dict]:
 
 def locate(text: Column | str, chunks: Column) -> Column:
     """``chunk_places`` as a column."""
-    @F.pandas_udf(PLACES)
-    def places(texts: pd.Series, chunk_lists: pd.Series) -> pd.Series:
-        return pd.Series([chunk_places(t or "", list(c)) for t, c in zip(texts, chunk_lists)])
+    @F.arrow_udf(PLACES)
+    def places(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        row = pa.struct({c: pa.int32() for c in PLACE_NUMBERS} | {"repeat": pa.bool_()})
+        for texts, chunk_lists in batches:
+            for cut in slices(texts):
+                yield pa.array([chunk_places(t or "", c or []) for t, c in zip(
+                    texts.slice(*cut).to_pylist(), chunk_lists.slice(*cut).to_pylist())], pa.list_(row))
 
     return places(_col(text), chunks)
 

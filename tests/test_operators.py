@@ -194,3 +194,17 @@ def test_both_vector_searches_agree(spark):
         return {(r["query_id"], r["vec_rank"]): r["chunk_id"] for r in df.collect()}
     near, far = rt.vector_topk(q, v, 7), rt.vector_topk(q, v, 7, max_local_queries=2, block_rows=11)
     assert pull(near) == pull(far) and len(pull(near)) == 77
+
+
+def test_slices_of_batches():
+    """Runs of rows are cut by the bytes of their texts; every row is in exactly one run."""
+    import pyarrow as pa
+
+    from corvane.operators.chunking import slices
+
+    for texts in (pa.array(["a" * 6, None, "bb", "c" * 30, "", "d"]),
+                  pa.array([["a" * 6], [], ["b", "b"], ["c" * 30], None, ["d"]], pa.list_(pa.string()))):
+        runs = list(slices(texts, 10))
+        assert [k for begin, n in runs for k in range(begin, begin + n)] == list(range(6))
+        assert runs == [(0, 3), (3, 3)]
+    assert list(slices(pa.array([], pa.string()))) == []
