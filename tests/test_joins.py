@@ -58,3 +58,17 @@ def test_members_of_communities_are_shuffled(stored):
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "node" in line]
     assert not joins
     assert {r["comm"] for r in found.collect()} == {"x"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_small_frontier_meets_the_edges_where_they_lie(stored, monkeypatch):
+    seen = []
+    real = gr.cut_lineage
+    monkeypatch.setattr(gr, "cut_lineage", lambda df: seen.append(plan_of(df)) or real(df))
+    seeds = stored["entities"].filter("entity_id = 'e0'").select("owner_id", "entity_id")
+    found = gr.neighbourhood(seeds, stored["edges"], 2)
+    assert {(r["node"], r["hops"]) for r in found.collect()} == {("e1", 1), ("e2", 2)}
+    assert seen and all("BroadcastHashJoin" in p for p in seen)
