@@ -72,3 +72,17 @@ def test_a_small_frontier_meets_the_edges_where_they_lie(stored, monkeypatch):
     found = gr.neighbourhood(seeds, stored["edges"], 2)
     assert {(r["node"], r["hops"]) for r in found.collect()} == {("e1", 1), ("e2", 2)}
     assert seen and all("BroadcastHashJoin" in p for p in seen)
+
+
+def test_paths_do_not_reach_dead_ends(spark, monkeypatch):
+    rows = [("o", f"leaf{i}", hub, "KNOWS", "") for hub in "xy" for i in range(20 * (hub == "y"), 20 + 20 * (hub == "y"))]
+    rows += [("o", "x", "m", "KNOWS", ""), ("o", "m", "y", "KNOWS", "")]
+    edges = spark.createDataFrame(rows, "owner_id string, src string, dst string, rel_type string, description string")
+    written = []
+    real = gr.cut_lineage
+    monkeypatch.setattr(gr, "cut_lineage", lambda df: written.append(real(df)) or written[-1])
+    pairs = spark.createDataFrame([("o", "leaf0", "leaf39")], "owner_id string, a string, b string")
+    got = gr.shortest_paths(pairs, edges).collect()
+    assert [(r["hops"], r["nodes"]) for r in got] == [(4, ["leaf0", "x", "m", "y", "leaf39"])]
+    reached = {r["node"] for df in written if "via" in df.columns for r in df.collect()}
+    assert reached <= {"x", "y", "m", "leaf0", "leaf39"}
