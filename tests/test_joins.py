@@ -86,3 +86,29 @@ def test_paths_do_not_reach_dead_ends(spark, monkeypatch):
     assert [(r["hops"], r["nodes"]) for r in got] == [(4, ["leaf0", "x", "m", "y", "leaf39"])]
     reached = {r["node"] for df in written if "via" in df.columns for r in df.collect()}
     assert reached <= {"x", "y", "m", "leaf0", "leaf39"}
+
+
+def test_small_chunks_are_paired_without_a_join(stored, spark):
+    m = stored["mentions"]
+    plan = plan_of(gr.cooccurrence_edges(m))
+    # the blocks of large chunks are the only join
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") == 1
+    rows = spark.range(30).selectExpr("'o' as owner_id", "concat('c', id % 3) as chunk_id",
+                                      "concat('e', id div 3) as entity_id")
+    want = {tuple(r) for r in gr.cooccurrence_edges(rows, block=3).collect()}
+    assert want == {tuple(r) for r in gr.cooccurrence_edges(rows).collect()} and len(want) == 45
+
+
+def test_counting_edges_needs_no_ids_of_entities(spark, monkeypatch):
+    from workload import beds, load
+    for name in ("graph_edges", "graph_mentions", "part_mentions"):
+        monkeypatch.setattr(beds, name, lambda *_: pytest.fail("ids of entities are not needed"))
+    lines = spark.sql("select 'o' as owner_id, 1L as o_custkey, o as o_orderkey, p as l_partkey, 7L as l_suppkey "
+                      "from values (1L, 1L), (1L, 2L), (1L, 3L), (2L, 1L), (2L, 2L), (2L, 9L) t(o, p)")
+    keys = {"part": spark.sql("select explode(array(1L, 2L, 3L)) as p_partkey"),
+            "supplier": spark.sql("select 7L as s_suppkey")}
+    monkeypatch.setattr(beds, "order_lines", lambda *_: lines)
+    monkeypatch.setattr(beds, "table", lambda s, f, name: keys[name])
+    monkeypatch.setattr(beds, "telling_edges", lambda *_: spark.sql("select 'o' as owner_id, 'PART_OF' as rel_type"))
+    got = {r["rel_type"]: r["cnt"] for r in load()[0]["graph_stats_relations"](spark, "").collect()}
+    assert got == {"PART_OF": 1, "COOCCURS_WITH": 3, "MENTIONS": 7}
