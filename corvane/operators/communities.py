@@ -46,6 +46,12 @@ def entity_graph(edges: DataFrame) -> DataFrame:
         F.min_by("description", order).alias("description"))
 
 
+def weighted_edges(edges: DataFrame) -> DataFrame:
+    """Weight of each edge between two entities; parallel edges stay apart."""
+    return edges.filter("src <> dst").select("owner_id", F.col("src").alias("a"), F.col("dst").alias("b"),
+                                             edge_weight("rel_type").alias("weight"))
+
+
 def _both_ways(graph: DataFrame) -> DataFrame:
     ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
                    F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
@@ -329,20 +335,27 @@ def gaining_nodes(graph: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def modularity(graph: DataFrame, membership: DataFrame) -> DataFrame:
-    """Modularity of a partition per owner."""
+    """Modularity of a partition per owner.
+
+    Sums of weights decide, so parallel edges need not be added up first. Each edge gives its weight to
+    the communities of its ends, added up in each task before the shuffle.
+    """
     def comm(c: str) -> DataFrame:
         return by_shuffle(membership.select("owner_id", F.col("node").alias(c), F.col("comm").alias(f"c_{c}")))
 
-    inside = graph.join(comm("a"), ["owner_id", "a"]).join(comm("b"), ["owner_id", "b"]).groupBy(
-        "owner_id").agg(
-        F.sum(F.when(F.col("c_a") == F.col("c_b"), F.col("weight")).otherwise(0.0)).alias("inside"),
-        F.sum("weight").alias("m"))
-    degree = _both_ways(graph).groupBy("owner_id", F.col("src").alias("node")).agg(
-        F.sum("weight").alias("k"))
-    tot = degree.join(by_shuffle(membership), ["owner_id", "node"]).groupBy("owner_id", "comm").agg(
-        F.sum("k").alias("tot"))
-    squares = tot.groupBy("owner_id").agg(F.sum(F.col("tot") * F.col("tot")).alias("sq"))
-    return inside.join(squares, "owner_id").select("owner_id", (
+    rows = graph.select("owner_id", "a", "b", "weight").join(comm("a"), ["owner_id", "a"], "left").join(
+        comm("b"), ["owner_id", "b"], "left")
+    known = F.when(F.col("c_a").isNotNull() & F.col("c_b").isNotNull(), F.col("weight")).otherwise(0.0)
+    same = F.when(F.col("c_a") == F.col("c_b"), F.col("weight")).otherwise(0.0)
+    shares = F.array(
+        F.struct(F.col("c_a").alias("comm"), F.col("weight").alias("tot"), same.alias("inside"), known.alias("m")),
+        F.struct(F.col("c_b").alias("comm"), F.col("weight").alias("tot"), F.lit(0.0).alias("inside"),
+                 F.lit(0.0).alias("m")))
+    tot = rows.select("owner_id", F.inline(shares)).filter("comm is not null").groupBy("owner_id", "comm").agg(
+        *[F.sum(x).alias(x) for x in ("tot", "inside", "m")])
+    sums = tot.groupBy("owner_id").agg(F.sum("inside").alias("inside"), F.sum("m").alias("m"),
+                                       F.sum(F.col("tot") * F.col("tot")).alias("sq")).filter("m > 0")
+    return sums.select("owner_id", (
         F.col("inside") / F.col("m") - F.col("sq") / (4 * F.col("m") * F.col("m"))
     ).alias("modularity"))
 

@@ -86,3 +86,18 @@ def test_an_owner_above_a_block_is_still_one_task(spark, monkeypatch):
     assert {r["gaining"] for r in cm.gaining_nodes(graph, found).collect()} == {0}
     monkeypatch.setattr(cm, "BLOCK_LINKS", 40)
     assert cm.louvain(graph, 40).count() == len(nodes) + 1
+
+
+def test_modularity_adds_parallel_edges_without_grouping_them(spark):
+    from corvane.operators import communities as cm
+    edges = spark.sql("select 'o' as owner_id, a as src, b as dst, t as rel_type, t as description from values "
+                      "('a', 'b', 'COOCCURS_WITH'), ('b', 'a', 'PART_OF'), ('b', 'c', 'PART_OF'), ('c', 'c', 'PART_OF'), "
+                      "('c', 'd', 'COOCCURS_WITH'), ('d', 'x', 'PART_OF') v(a, b, t)")
+    members = spark.sql("select 'o' as owner_id, n as node, c as comm from values ('a', 1), ('b', 1), ('c', 2), "
+                        "('d', 2) v(n, c)")
+    # weights 3.5 and 1 inside, 2.5 across; the edge to x counts only for d
+    want = 4.5 / 7 - (9.5 ** 2 + 7.0 ** 2) / (4 * 49)
+    for g in (cm.weighted_edges(edges), cm.entity_graph(edges)):
+        assert abs(cm.modularity(g, members).collect()[0]["modularity"] - want) < 1e-12
+    plan = cm.modularity(cm.weighted_edges(edges), members)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2

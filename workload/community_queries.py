@@ -77,7 +77,7 @@ def makers_and_nations(spark, sf):
         "owner_id", F.col("src").alias("node"), F.col("dst").alias("comm"))
     e = beds.graph_entities(spark, sf).filter("type = 'LOCATION'").select(
         "owner_id", F.col("entity_id").alias("node"), F.col("name_norm").alias("comm"))
-    return beds.nation_membership(spark, sf).unionByName(e).unionByName(made)
+    return beds.nation_membership(spark, sf).unionByName(e).unionByName(made).distinct()
 
 
 @query("modularity_whole", facts("g_edges members") + ", g as (select owner_id, least(src, dst) as a, "
@@ -95,7 +95,7 @@ def makers_and_nations(spark, sf):
        "from i join s using (owner_id)")
 def modularity_whole(spark, sf):
     """The same communities over telling and co-occurrence edges."""
-    return cm.modularity(whole_graph(spark, sf), makers_and_nations(spark, sf)).withColumn(
+    return cm.modularity(cm.weighted_edges(beds.graph_edges(spark, sf)), makers_and_nations(spark, sf)).withColumn(
         "modularity", F.round("modularity", 6))
 
 
