@@ -328,19 +328,29 @@ def rewrite_relations(relations: DataFrame, resolved: DataFrame,
     """
     where = ["owner_id", "file_id", "chunk_id"]
     name = trim_blank("raw_name")
-    known = (
-        resolved.select(*where, "ord", "name", "name_norm",
-                        F.explode(F.array_distinct(F.array(name, F.lower(name)))).alias("key"))
-        .groupBy(*where, "key")
-        .agg(F.max_by(F.struct("name", "name_norm"), "ord").alias("hit"))
-    )
-    ends = relations.filter((trim_blank("from_raw") != "") & (trim_blank("to_raw") != "")).select(
-        *where, "rel_ord", "relation_raw", "description", F.explode(F.array(*[
-            F.struct(F.lit(side).alias("side"), F.lit(n).alias("turn"), key.alias("key"))
-            for side in ("from", "to")
-            for n, key in enumerate((trim_blank(f"{side}_raw"), F.lower(trim_blank(f"{side}_raw"))))
-        ])).alias("p")).select(*where, "rel_ord", "relation_raw", "description", "p.*")
-    found = ends.join(known, [*where, "key"]).groupBy(
+    names = resolved.select(*where, F.struct(
+        "ord", "name", "name_norm", F.array_distinct(F.array(name, F.lower(name))).alias("keys")).alias("m"))
+    told = relations.filter((trim_blank("from_raw") != "") & (trim_blank("to_raw") != "")).select(
+        *where, F.struct("rel_ord", "relation_raw", "description", trim_blank("from_raw").alias("from"),
+                         trim_blank("to_raw").alias("to")).alias("r"))
+    # Names and relations of a chunk are shuffled once, before each gives a row per key. Grouping by
+    # chunk and entities afterwards needs no other shuffle.
+    met = names.unionByName(told, allowMissingColumns=True).repartition("owner_id", "chunk_id")
+
+    def place(side: str | None, turn: int | None, key: Column) -> Column:
+        return F.struct(F.lit(side).cast("string").alias("side"), F.lit(turn).cast("int").alias("turn"),
+                        key.alias("key"))
+
+    ends = F.array(*[place(side, n, key) for side in ("from", "to")
+                     for n, key in enumerate((F.col(f"r.{side}"), F.lower(f"r.{side}")))])
+    keyed = met.select(*where, F.struct("m.name", "m.name_norm").alias("named"), F.col("m.ord").alias("ord"),
+                       "r.rel_ord", "r.relation_raw", "r.description", F.explode(F.when(
+                           F.col("r").isNull(), F.transform("m.keys", lambda k: place(None, None, k)))
+                           .otherwise(ends)).alias("p")).select(
+        *where, "named", "ord", "rel_ord", "relation_raw", "description", "p.*")
+    # Only names have an ord, so the last name of a key is that of its names.
+    hits = keyed.withColumn("hit", F.max_by("named", "ord").over(W.partitionBy(*where, "key")))
+    found = hits.filter("side is not null and hit is not null").groupBy(
         *where, "rel_ord", "relation_raw", "description").agg(
         F.expr("min_by(hit, turn) filter (where side = 'from')").alias("a"),
         F.expr("min_by(hit, turn) filter (where side = 'to')").alias("b"))

@@ -81,3 +81,21 @@ def test_gazetteer_names_of_any_length(spark):
         assert sorted((r["chunk_id"], r["name_norm"]) for r in got.collect()) == want
     found = {r["raw_name"] for r in ex.extract_mentions(chunks, gazetteer).filter("raw_type = 'T'").collect()}
     assert "university of economics and law" in found and " ".join(words) in found
+
+
+def test_relations_are_rewritten_after_one_shuffle(spark):
+    from corvane.operators import canonical as cn
+    names = spark.sql(
+        "select 'o' as owner_id, 'f' as file_id, c as chunk_id, ord, raw_name, trim(raw_name) as name, "
+        "lower(trim(raw_name)) as name_norm from values ('c1', 1, 'Ann'), ('c1', 2, ' Bob'), ('c1', 3, 'ANN'), "
+        "('c2', 4, 'Bob') t(c, ord, raw_name)")
+    told = spark.sql(
+        "select 'o' as owner_id, 'f' as file_id, c as chunk_id, n as rel_ord, a as from_raw, b as to_raw, "
+        "'works for' as relation_raw, 'd' as description from values ('c1', 1, 'ann', 'BOB'), "
+        "('c1', 2, 'Ann', 'ANN'), ('c2', 3, 'Ann', 'Bob'), ('c1', 4, ' ', 'Bob'), ('c1', 5, 'Bob', 'Ann') "
+        "t(c, n, a, b)")
+    out = cn.rewrite_relations(told, names)
+    got = {(r["rel_ord"], r["src"], r["dst"]) for r in out.collect()}
+    assert got == {(1, "o__ann", "o__bob"), (5, "o__bob", "o__ann")}
+    counted = out.groupBy("owner_id", "chunk_id", "src", "dst").count()
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

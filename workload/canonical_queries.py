@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from corvane.functions import lexicon as lx
 from corvane.operators import canonical as cn
 from corvane.operators import graph as gr
-from corvane.session import cut_lineage
+from corvane.session import by_shuffle, cut_lineage
 from corvane.session import scratch_path
 from workload import beds
 from workload.registry import query
 from workload.sqlparts import facts, in_list, norm_name, tokens, trim, values
 
 
+@beds.stored
 def part_mentions(spark, sf):
     """Line items as raw mentions of parts by name: many orders name the same 64 names.
 
@@ -21,9 +22,9 @@ def part_mentions(spark, sf):
                                                   "l_returnflag", "l_suppkey",
                                                   "l_extendedprice")
     o = beds.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    c = beds.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    p = beds.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
-    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(
+    c = by_shuffle(beds.table(spark, sf, "customer").select("c_custkey", "c_mktsegment"))
+    p = by_shuffle(beds.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"))
+    rows = li.join(by_shuffle(o), F.col("l_orderkey") == F.col("o_orderkey")).join(
         c, F.col("o_custkey") == F.col("c_custkey")).join(
         p, F.col("l_partkey") == F.col("p_partkey"))
     flag = F.col("l_returnflag")
