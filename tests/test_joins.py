@@ -1,6 +1,7 @@
 """Sides of joins that grow with the data are shuffled, however small their files look."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import communities as cm
 from corvane.operators import graph as gr
@@ -112,3 +113,18 @@ def test_counting_edges_needs_no_ids_of_entities(spark, monkeypatch):
     monkeypatch.setattr(beds, "telling_edges", lambda *_: spark.sql("select 'o' as owner_id, 'PART_OF' as rel_type"))
     got = {r["rel_type"]: r["cnt"] for r in load()[0]["graph_stats_relations"](spark, "").collect()}
     assert got == {"PART_OF": 1, "COOCCURS_WITH": 3, "MENTIONS": 7}
+
+
+def test_copies_of_an_entity_are_joined_once(stored, monkeypatch):
+    """Sixty copies of an entity repeat its pairs, and no more pairs are made than can be kept."""
+    seen = []
+    real = gr.first_per
+    monkeypatch.setattr(gr, "first_per", lambda df, by, *a, **k: seen.append(df) or real(df, by, *a, **k))
+    t = stored
+    copies = t["entities"].withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(60)))).drop("copy")
+    mentions = t["mentions"].withColumn("chunk_id", F.explode(F.sequence(F.lit(1), F.lit(9)))).withColumn(
+        "chunk_id", F.concat(F.lit("c"), "chunk_id"))
+    linked = t["linked"].filter("query_id = 'q0' and name_norm = 'name 0'")
+    facts = gr.graph_facts(linked, copies, t["edges"], mentions, t["documents"], 40)
+    assert {(r["related_name"], r["chunk_id"]) for r in facts.collect()} == {("Name 1", "c1")}
+    assert facts.count() == 40 and seen[-1].count() == 40
