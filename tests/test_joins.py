@@ -128,3 +128,21 @@ def test_copies_of_an_entity_are_joined_once(stored, monkeypatch):
     facts = gr.graph_facts(linked, copies, t["edges"], mentions, t["documents"], 40)
     assert {(r["related_name"], r["chunk_id"]) for r in facts.collect()} == {("Name 1", "c1")}
     assert facts.count() == 40 and seen[-1].count() == 40
+
+
+def test_copies_of_an_entity_repeat_its_hops_up_to_the_limit(stored):
+    """As in the SQL: a neighbour's rows are counted with the copies, a first hop's chunks are not."""
+    t = stored
+    copies = t["entities"].withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(7)))).drop("copy")
+    mentions = t["mentions"].withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(9)))).withColumn(
+        "chunk_id", F.concat("chunk_id", F.lit("."), "n")).drop("n")
+    linked = t["linked"].filter("query_id = 'q0' and name_norm = 'name 0'")
+    hop2 = gr.graph_hop2(linked, copies, t["edges"], mentions, 10)
+    assert {r["chunk_id"]: r["count"] for r in hop2.groupBy("chunk_id").count().collect()} == {"c1.1": 7, "c1.2": 3}
+    hop1 = gr.graph_hop1(linked, copies, mentions, 10)
+    assert [(r["copies"], r["score"]) for r in hop1.collect()] == [(7, 1.0)] * 9
+    found = gr.graph_retrieve(hop1, hop2, t["mentions"].select("owner_id").distinct().select(
+        "owner_id", F.explode(F.array(F.lit("c0.1"), F.lit("c1.1"))).alias("chunk_id")), 10)
+    rows = {r["chunk_id"]: r for r in found.collect()}
+    assert (rows["c0.1"]["graph_score"], rows["c1.1"]["graph_score"]) == (1.0, 0.5)
+    assert rows["c0.1"]["entities"].count("Name 0 (PERSON)") == 7
