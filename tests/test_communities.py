@@ -101,3 +101,16 @@ def test_modularity_adds_parallel_edges_without_grouping_them(spark):
         assert abs(cm.modularity(g, members).collect()[0]["modularity"] - want) < 1e-12
     plan = cm.modularity(cm.weighted_edges(edges), members)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2
+
+
+def test_owners_do_not_share_a_task(spark, monkeypatch):
+    """By hash, five owners over four partitions meet in at least one."""
+    from pyspark.sql import functions as F
+    rows = [(f"owner {k}", f"n{i}", f"n{i + 1}", 1.0, "", "") for k in range(5) for i in range(200)]
+    graph = spark.createDataFrame(rows, GRAPH)
+    written = []
+    real = cm.cut_lineage
+    monkeypatch.setattr(cm, "cut_lineage", lambda df: written.append(real(df)) or written[-1])
+    assert cm.louvain(graph).select("owner_id", "node").distinct().count() == 5 * 201
+    files = written[-1].groupBy(F.input_file_name().alias("file")).agg(F.countDistinct("owner_id").alias("n"))
+    assert [r["n"] for r in files.collect()] == [1] * 5
