@@ -70,3 +70,24 @@ def test_upper_letters_agree_with_sql():
         "select c, upper(c) from (select unnest(?) as c)", [letters]).fetchall())
     differ = [c for c in letters if upper_letters(c) != told[c]]
     assert not differ
+
+
+def test_plain_names_keep_their_form(spark):
+    """Names in identity form take the short way; any other letter, blank or line end takes the long one."""
+    from corvane.functions.text import normalize_name
+    names = ["abc", "a1 b2", "a  b", " a", "abc\n", "a\nb", "Abc", "a-b", "a_b", "é", "đa", "", "²", "ab ", "a b"]
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "n string")
+    got = {r["n"]: r["m"] for r in df.select("n", normalize_name("n").alias("m")).collect()}
+    assert got == {"abc": "abc", "a1 b2": "a1 b2", "a  b": "a b", " a": "a", "abc\n": "abc", "a\nb": "a b", "Abc": "abc",
+                   "a-b": "a b", "a_b": "a_b", "é": "e", "đa": "da", "": "", "²": "2", "ab ": "ab", "a b": "a b",
+                   None: None}
+
+
+def test_large_tables_are_spread_by_size(spark, tmp_path, monkeypatch):
+    """A table of one file was read by a fixed number of tasks, whatever its size."""
+    from workload import beds
+    spark.range(5000).selectExpr("id", "sha2(string(id), 256) as text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(beds, "SPREAD_BYTES", 10_000)
+    parts = beds.spread(df, "id").rdd.getNumPartitions()
+    assert parts >= 20 and beds.spread(df, "id").count() == 5000
