@@ -7,7 +7,9 @@ then equals the result of indexing everything at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,11 +27,16 @@ from corvane.sources.store import replace_rows
 
 @dataclass
 class FileTables:
-    """What indexing writes for each file."""
+    """What indexing writes for each file; relations are found and written when they are first used."""
 
     chunks: DataFrame
     mentions: DataFrame
-    relations: DataFrame
+    find_relations: Callable[[], DataFrame]
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        """Relations between the names of each chunk."""
+        return cut_lineage(self.find_relations())
 
     def entities(self) -> DataFrame:
         """Entities of each owner, merged over all its files."""
@@ -69,10 +76,13 @@ def index_files(documents: DataFrame, aliases: DataFrame, gazetteer: DataFrame |
                         F.lpad(F.col("ord").cast("string"), 9, "0"))
     mentions = cut_lineage(cn.resolve_entities(
         numbered.withColumn("ord", order).drop("chunk_index"), aliases, fuzzy))
-    raw = ex.comention_relations(told, found)
-    relations = cn.rewrite_relations(raw, mentions, canonical, key_vectors).withColumn(
-        "at", F.struct("chunk_id", "rel_ord"))
-    return FileTables(chunks, mentions, cut_lineage(relations))
+
+    def relations() -> DataFrame:
+        raw = ex.comention_relations(told, found)
+        return cn.rewrite_relations(raw, mentions, canonical, key_vectors).withColumn(
+            "at", F.struct("chunk_id", "rel_ord"))
+
+    return FileTables(chunks, mentions, relations)
 
 
 def reindex_files(tables: FileTables, documents: DataFrame, aliases: DataFrame, **options) -> FileTables:
@@ -85,4 +95,4 @@ def reindex_files(tables: FileTables, documents: DataFrame, aliases: DataFrame,
         return replace_rows(kept, new.select(*old.columns))
 
     return FileTables(swapped(tables.chunks, fresh.chunks), swapped(tables.mentions, fresh.mentions),
-                      swapped(tables.relations, fresh.relations))
+                      lambda: swapped(tables.relations, fresh.relations))

@@ -27,3 +27,13 @@ def test_rebuild_equals_batch(spark):
     assert any("green hill" in r[1] for r in rows(batch.entities(), "owner_id", "entity_id"))
     emptied = reindex_files(batch, spark.createDataFrame([("p", "f1", "")], SCHEMA), aliases)
     assert not [r for r in rows(emptied.entities(), "owner_id", "name") if r[0] == "p"]
+
+
+def test_relations_are_found_when_they_are_used(spark, monkeypatch):
+    from corvane.operators import extraction as ex
+    calls = []
+    real = ex.comention_relations
+    monkeypatch.setattr(ex, "comention_relations", lambda *a: calls.append(1) or real(*a))
+    tables = index_files(spark.createDataFrame([("o", "f1", OLD)], SCHEMA), alias_table(spark))
+    assert tables.entity_mentions().count() and not calls
+    assert tables.edges().count() and tables.edges().count() and len(calls) == 1
