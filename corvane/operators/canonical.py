@@ -174,37 +174,92 @@ def similar_pairs(names: DataFrame, block: list[str], threshold: int | None = No
         *block, "id_a", "id_b", F.bround("ratio", 0).cast("int").alias("score"))
 
 
-def similar_in_blocks(names: DataFrame, block: list[str], wider: list[str],
-                      threshold: int | None = None) -> DataFrame:
-    """``similar_pairs`` of each block, from pairs of distinct names of a ``wider`` block.
+def _both_ways(pairs: DataFrame, *more: str) -> DataFrame:
+    ends = F.array(F.struct(F.col("id_a").alias("x"), F.col("id_b").alias("y")),
+                   F.struct(F.col("id_b").alias("x"), F.col("id_a").alias("y")))
+    return pairs.select(*more, "score", F.explode(ends).alias("e")).select(*more, "score", "e.x", "e.y")
+
+
+def pairs_in_blocks(names: DataFrame, block: list[str], pairs: DataFrame, wider: list[str]) -> DataFrame:
+    """Pairs of the names of each block, from ``pairs`` of distinct names of a ``wider`` block.
 
     A name occurs in many blocks of the wider one, and is compared once. Two wider names meet in the
     blocks that hold both.
     """
-    distinct = names.groupBy(*wider, "id").agg(F.min("text").alias("text")).withColumn(
-        "pos", F.struct(F.xxhash64("id"), "id"))
-    pairs = cut_lineage(similar_pairs(distinct, wider, threshold))
-    ends = F.array(F.struct(F.col("id_a").alias("x"), F.col("id_b").alias("y")),
-                   F.struct(F.col("id_b").alias("x"), F.col("id_a").alias("y")))
-    both = pairs.select(*wider, "score", F.explode(ends).alias("e")).select(*wider, "score", "e.x", "e.y")
+    both = _both_ways(pairs, *wider)
     a = names.select(*block, F.col("id").alias("x"), F.col("pos").alias("pos_a"))
     b = names.select(*block, F.col("id").alias("y"), F.col("pos").alias("pos_b"))
     return a.join(both, [*wider, "x"]).join(b, [*block, "y"]).filter("pos_a < pos_b").select(
         *block, F.col("x").alias("id_a"), F.col("y").alias("id_b"), "score")
 
 
+#: Names of a group of similar names that are settled beside their mentions; larger groups take rounds.
+GROUP_NAMES = 16
+
+
+def similar_groups(pairs: DataFrame, most: int = GROUP_NAMES) -> DataFrame:
+    """Small groups of similar names ``(id, group, place, scores)`` of pairs ``(id_a, id_b, score)``.
+
+    No pair leads out of a group. ``scores`` has the score of a name with each place of its group, 0
+    where they are not similar. Groups of more than ``most`` names are left out, and those
+    whose smallest name is more than three pairs away from another one.
+    """
+    both = _both_ways(pairs)
+    top = both.groupBy("x").agg(F.least("x", F.min("y")).alias("group"))
+    for _ in range(2):
+        top = both.join(top.select(F.col("x").alias("y"), "group"), "y").groupBy("x").agg(
+            F.min("group").alias("group"))
+    top = cut_lineage(top)
+    left = both.join(top, "x").join(
+        top.select(F.col("x").alias("y"), F.col("group").alias("other")), "y").filter(
+        F.col("group") != F.col("other")).select("group").distinct()
+    size = top.groupBy("group").agg(F.count("*").cast("int").alias("n")).filter(F.col("n") <= most)
+    place = F.row_number().over(W.partitionBy("group").orderBy("x")) - 1
+    placed = cut_lineage(top.join(size, "group").join(left, "group", "left_anti").withColumn("place", place))
+    near = both.join(placed.select(F.col("x").alias("y"), "place"), "y").groupBy("x").agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "score"))).alias("near"))
+    scores = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(
+        F.try_element_at("near", i), F.lit(0)).cast("byte"))
+    return placed.join(near, "x").select(F.col("x").alias("id"), "group", "place", scores.alias("scores"))
+
+
+def group_leaders(heads: Column, pos: str, face: str) -> Column:
+    """Names of a small group with the face of their leader: ``array<struct<place, face>>``.
+
+    ``heads`` are the names ``(pos, place, scores, face)`` in their order, where ``pos`` and ``face`` have the
+    given types. A name follows the most similar earlier leader, the first on ties, or else leads.
+    """
+    none = F.struct(F.array().cast(f"array<struct<pos:{pos},place:int,face:{face}>>").alias("leads"),
+                    F.array().cast(f"array<struct<place:int,face:{face}>>").alias("told"))
+
+    def settle(done: Column, head: Column) -> Column:
+        def score(lead: Column) -> Column:
+            return F.get(head["scores"], lead["place"])
+
+        near = F.filter(done["leads"], lambda lead: (lead["pos"] < head["pos"]) & (score(lead) > 0))
+        best = F.array_min(F.transform(near, lambda lead: F.struct(
+            (-score(lead)).alias("minus"), lead["pos"].alias("pos"), lead["face"].alias("face"))))
+        own = F.struct(head["pos"].alias("pos"), head["place"].alias("place"), head["face"].alias("face"))
+        return let(best, lambda b: F.struct(
+            F.when(b.isNull(), F.concat(done["leads"], F.array(own))).otherwise(done["leads"]).alias("leads"),
+            F.concat(done["told"], F.array(F.struct(
+                head["place"].alias("place"),
+                F.when(b.isNull(), head["face"]).otherwise(b["face"]).alias("face")))).alias("told")))
+
+    return F.aggregate(heads, none, settle, lambda done: done["told"])
+
+
 def fuzzy_leaders(names: DataFrame, block: list[str], threshold: int | None = None,
-                  wider: list[str] | None = None) -> DataFrame:
+                  pairs: DataFrame | None = None) -> DataFrame:
     """Map each name to the most similar earlier name that stands for itself.
 
     A name stands for itself when no earlier one of its block that stands for itself is
     similar. Each round settles the names whose earlier neighbours are all settled; the first
     open name of a block always is such a name, so the rounds end.
-    Output rows are ``(block.., id, leader_id, score)``; a leader points at itself. With ``wider``,
-    a part of the columns of ``block``, equal names of its blocks are compared once.
+    Output rows are ``(block.., id, leader_id, score)``; a leader points at itself. ``pairs`` are those
+    of ``similar_pairs``, where they are known already.
     """
-    pairs = cut_lineage(similar_in_blocks(names, block, wider, threshold) if wider else
-                        similar_pairs(names, block, threshold))
+    pairs = cut_lineage(similar_pairs(names, block, threshold) if pairs is None else pairs)
     key = [*block, "id"]
     a_key = [F.col(c) for c in block] + [F.col("id_a").alias("id")]
     settled = cut_lineage(
@@ -249,31 +304,83 @@ def resolve_entities(mentions: DataFrame, aliases: DataFrame, fuzzy: bool = True
     same file and label; ``fuzzy`` leaves that step out.
     """
     given = ["owner_id", "raw_name", "raw_type"]
-    known = cut_lineage(resolve_alias(block_entities(mentions.select(*given).distinct()), aliases))
-    known = broadcast_if_small(known.select(*[F.col(c).alias(f"_{c}") for c in given], "label",
-                                            "clean_name", "clean_norm", "alias_name"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in given]
-    clean = mentions.join(known, same).drop(*[f"_{c}" for c in given])
+    known = resolve_alias(block_entities(mentions.select(*given).distinct()), aliases)
     if fuzzy:
-        block = ["owner_id", "file_id", "label"]
-        shown = F.coalesce("alias_name", "clean_name")
-        names = clean.withColumn("show_norm", normalize_name(shown)).groupBy(
-            *block, F.col("show_norm").alias("id")).agg(
-            F.min("ord").alias("pos"), F.min_by(shown, "ord").alias("display"),
-            F.bool_or(F.col("alias_name").isNotNull()).alias("fixed"))
-        names = cut_lineage(names)
-        linked = fuzzy_leaders(
-            names.select(*block, "id", "pos", token_sorted("id").alias("text")), block, threshold,
-            ["owner_id", "label"])
-        display = names.select(*block, F.col("id").alias("leader_id"), "display")
-        target = linked.join(display, [*block, "leader_id"]).select(
-            *block, F.col("id").alias("clean_norm"), F.col("display").alias("near_name"))
-        clean = clean.join(target, [*block, "clean_norm"], "left")
-        name = F.coalesce("alias_name", "near_name", "clean_name")
+        return _resolve_similar(mentions, known, given, threshold)
+    known = broadcast_if_small(cut_lineage(known).select(*[F.col(c).alias(f"_{c}") for c in given], "label",
+                                                         "clean_name", "clean_norm", "alias_name"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in given]
+    name = F.coalesce("alias_name", "clean_name")
+    return mentions.join(known, same).withColumn("name", name).withColumn(
+        "name_norm", normalize_name("name")).select(*mentions.columns, "label", "name", "name_norm")
+
+
+def _resolve_similar(mentions: DataFrame, known: DataFrame, given: list[str],
+                     threshold: int | None) -> DataFrame:
+    """The last steps of ``resolve_entities``: similar names of a file and label become its earliest one.
+
+    Distinct names are numbered and compared once for each owner and label. Names of small groups of
+    similar ones meet the mentions of their group in a file by one shuffle, which carries numbers in
+    the place of names while the table of names is small. The names of larger groups take rounds.
+    """
+    shown = F.coalesce("alias_name", "clean_name")
+    known = cut_lineage(known.select(
+        F.monotonically_increasing_id().alias("no"), *[F.col(c).alias(f"_{c}") for c in given], "label",
+        F.col("alias_name").isNotNull().alias("fixed"), shown.alias("shown"), normalize_name(shown).alias("show_norm")))
+    wider = [F.col("_owner_id").alias("owner"), "label", "show_norm"]
+    names = cut_lineage(known.select(*wider).distinct().withColumn("id", F.monotonically_increasing_id()))
+    pairs = cut_lineage(similar_pairs(names.select(
+        "owner", "label", "id", F.col("id").alias("pos"), token_sorted("show_norm").alias("text")),
+        ["owner", "label"], threshold))
+    groups = cut_lineage(similar_groups(pairs))
+    large = _both_ways(pairs).select(F.col("x").alias("id")).distinct().join(groups, "id", "left_anti")
+    named = names.join(groups, "id", "left").join(large.withColumn("large", F.lit(True)), "id", "left")
+    key = [F.col("_owner_id").eqNullSafe(F.col("owner")), F.col("label") == F.col("its_label"),
+           F.col("show_norm") == F.col("its_norm")]
+    known = cut_lineage(known.join(named.withColumnsRenamed({"label": "its_label", "show_norm": "its_norm"}), key).select(
+        *known.columns, "id", F.coalesce("group", "id").alias("group"), F.coalesce("place", F.lit(0)).alias("place"),
+        F.coalesce("scores", F.array(F.lit(0).cast("byte"))).alias("scores"),
+        F.coalesce("large", F.lit(False)).alias("large")))
+    sized = broadcast_if_small(known)
+    few = sized is not known
+    face = F.col("no") if few else F.struct("shown", "show_norm")
+    looked_up = sized.withColumn("face", face).drop("no", "shown", "show_norm")
+    clean = mentions.join(F.broadcast(looked_up) if few else looked_up, [
+        F.col(c).eqNullSafe(F.col(f"_{c}")) for c in given]).drop(*[f"_{c}" for c in given])
+    kept = [*mentions.columns, "label", "fixed", "face"]
+
+    met = clean.filter("not large").repartition("file_id", "group")
+    first = F.min(F.struct(F.col("ord").alias("pos"), "face")).over(W.partitionBy("file_id", "group", "place"))
+    head = F.struct("first.pos", "place", "scores", "first.face")
+    heads = F.array_sort(F.collect_set(head).over(W.partitionBy("file_id", "group")))
+    types = [clean.schema[c].dataType.simpleString() for c in ("ord", "face")]
+    told = F.filter(group_leaders(F.col("heads"), *types), lambda t: t["place"] == F.col("place"))[0]["face"]
+    settled = met.withColumn("first", first).withColumn("heads", heads).select(
+        *kept, F.when(F.size("heads") == 1, F.col("first.face")).otherwise(told).alias("near"))
+    if not known.filter("large").isEmpty():
+        settled = settled.unionByName(_settle_in_rounds(clean.filter("large"), pairs).select(*kept, "near"))
+
+    # Without a file there are no earlier names.
+    alone = F.col("fixed") | F.col("file_id").isNull() | F.col("owner_id").isNull() | F.col("near").isNull()
+    chosen = settled.withColumn("face", F.when(alone, F.col("face")).otherwise(F.col("near")))
+    if few:
+        chosen = chosen.join(F.broadcast(known.select(F.col("no").alias("face"), F.struct(
+            "shown", "show_norm").alias("named"))), "face")
     else:
-        name = F.coalesce("alias_name", "clean_name")
-    return clean.withColumn("name", name).withColumn("name_norm", normalize_name("name")).select(
-        *mentions.columns, "label", "name", "name_norm")
+        chosen = chosen.withColumnRenamed("face", "named")
+    return chosen.select(*mentions.columns, "label", F.col("named.shown").alias("name"),
+                         F.col("named.show_norm").alias("name_norm"))
+
+
+def _settle_in_rounds(clean: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Mentions with ``near``, the face of the name that their name ``id`` follows in the file and label."""
+    block = ["owner_id", "file_id", "label"]
+    names = cut_lineage(clean.groupBy(*block, "id").agg(
+        F.min("ord").alias("pos"), F.min_by("face", "ord").alias("near")))
+    found = pairs_in_blocks(names, block, pairs.withColumnRenamed("owner", "owner_id"), ["owner_id", "label"])
+    linked = fuzzy_leaders(names, block, pairs=found).select(*block, "id", "leader_id")
+    target = linked.join(names.select(*block, F.col("id").alias("leader_id"), "near"), [*block, "leader_id"])
+    return clean.join(target.drop("leader_id"), [*block, "id"], "left")
 
 
 def merge_mentions(resolved: DataFrame, scope: list[str] | None = None) -> DataFrame:

@@ -24,8 +24,8 @@ def part_mentions(spark, sf):
     o = beds.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     c = by_shuffle(beds.table(spark, sf, "customer").select("c_custkey", "c_mktsegment"))
     p = by_shuffle(beds.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"))
-    rows = li.join(by_shuffle(o), F.col("l_orderkey") == F.col("o_orderkey")).join(
-        c, F.col("o_custkey") == F.col("c_custkey")).join(
+    owned = by_shuffle(o.join(c, F.col("o_custkey") == F.col("c_custkey")))
+    rows = li.join(owned, F.col("l_orderkey") == F.col("o_orderkey")).join(
         p, F.col("l_partkey") == F.col("p_partkey"))
     flag = F.col("l_returnflag")
     return rows.select(
