@@ -33,6 +33,12 @@ def whole_graph(spark, sf):
     return cut_lineage(cm.entity_graph(beds.graph_edges(spark, sf)))
 
 
+def trade_graph(spark, sf):
+    edges = beds.trade_edges(spark, sf)
+    return cm.entity_graph(beds.in_parts(
+        edges, beds.parts_of(edges), "owner_id", F.least("src", "dst"), F.greatest("src", "dst")))
+
+
 @beds.stored
 def partition(spark, sf):
     """Communities of the whole entity graph of all owners."""
@@ -124,7 +130,7 @@ def detect_communities(spark, sf):
        "g.owner_id = x.owner_id and g.a = x.node join members y on g.owner_id = y.owner_id and "
        "g.b = y.node where x.comm = y.comm")
 def community_edges(spark, sf):
-    return cm.community_edges(cm.entity_graph(beds.trade_edges(spark, sf)),
+    return cm.community_edges(trade_graph(spark, sf),
                               beds.nation_membership(spark, sf))
 
 
@@ -146,7 +152,7 @@ INNER = ("select g.owner_id, x.comm, a, b, weight, rel_type, description from tr
        "comm, entities_block, coalesce(block, '(không có quan hệ nội bộ)') as relations_block from n "
        "left join r using (owner_id, comm)".replace("group by all", "group by 1, 2"))
 def community_text(spark, sf):
-    return cm.community_text(cm.entity_graph(beds.trade_edges(spark, sf)),
+    return cm.community_text(trade_graph(spark, sf),
                              beds.nation_membership(spark, sf), beds.graph_entities(spark, sf))
 
 
@@ -157,7 +163,7 @@ def community_text(spark, sf):
        "string_agg(name, ', ' order by rn) || ' (COLLABORATES_WITH)', 1, 2000) as summary from d "
        "join g_entities e using (owner_id) where e.entity_id = d.node and rn <= 5 group by 1, 2")
 def community_summary(spark, sf):
-    return cm.community_summary(cm.entity_graph(beds.trade_edges(spark, sf)),
+    return cm.community_summary(trade_graph(spark, sf),
                                 beds.nation_membership(spark, sf), beds.graph_entities(spark, sf))
 
 
@@ -195,7 +201,7 @@ def replace_communities(spark, sf):
        "using (owner_id)")
 def community_run_stats(spark, sf):
     return cm.run_stats(beds.graph_entities(spark, sf),
-                        cm.entity_graph(beds.trade_edges(spark, sf)),
+                        trade_graph(spark, sf),
                         beds.nation_membership(spark, sf))
 
 
