@@ -30,7 +30,7 @@ def test_any_edges_are_numbered(spark):
     assert rows(graph.named(graph.edges, "src", "dst")) == rows(edges)
 
 
-@pytest.mark.parametrize("name", ["neighbourhood_whole"])
+@pytest.mark.parametrize("name", ["neighbourhood_whole", "merge_small_communities", "louvain_settled", "path_steps"])
 def test_whole_graph_is_walked_without_ids(spark, monkeypatch, name):
     monkeypatch.setattr(beds, "_STORED", {})
     monkeypatch.setattr(beds, "part_mentions", lambda *_: pytest.fail("ids of entities are not needed"))
@@ -50,3 +50,20 @@ def test_a_hop_sends_the_first_nodes_of_a_root_only(spark, monkeypatch):
     assert [r["node"] for r in found.orderBy("node").collect()] == [f"n{k:03}" for k in range(5)]
     assert "WindowGroupLimit" in written[0]._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" not in written[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_owner_is_settled_in_slices(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from corvane.operators import communities as cm
+    draw = random.Random(4)
+    pairs = [(min(e), max(e)) for e in (draw.sample(range(60), 2) for _ in range(400))]
+    table = pa.table({"owner_id": pa.array([0] * 400, pa.int32()), "a": pa.array([a for a, _ in pairs], pa.int32()),
+                      "b": pa.array([b for _, b in pairs], pa.int32()), "weight": [1.0 + a % 3 for a, _ in pairs]})
+    whole = cm._settle_owner(table)
+    monkeypatch.setattr(cm, "LEVEL_LINKS", 7)
+    assert cm._settle_owner(table).equals(whole)
+    named = pa.table({"owner_id": ["o"] * 400, "a": [f"{a:02}" for a, _ in pairs], "b": [f"{b:02}" for _, b in pairs],
+                      "weight": table["weight"]})
+    assert cm._settle_owner(named)["comm"].to_pylist() == [f"{c:02}" for c in whole["comm"].to_pylist()]
