@@ -67,3 +67,18 @@ def test_owner_is_settled_in_slices(monkeypatch):
     named = pa.table({"owner_id": ["o"] * 400, "a": [f"{a:02}" for a, _ in pairs], "b": [f"{b:02}" for _, b in pairs],
                       "weight": table["weight"]})
     assert cm._settle_owner(named)["comm"].to_pylist() == [f"{c:02}" for c in whole["comm"].to_pylist()]
+
+
+def test_a_few_entities_need_no_stored_graph(spark, monkeypatch):
+    entities = beds.graph_entities(spark, SF)
+    wanted = entities.filter("name_norm rlike '[13]$' or type = 'LOCATION'").select("owner_id", "entity_id").distinct()
+    key = ["owner_id", "entity_id"]
+    edges, mentions = beds.graph_edges(spark, SF), beds.graph_mentions(spark, SF)
+    near = gr.undirected(edges).withColumn("entity_id", F.col("node")).join(wanted, key, "left_semi").select(edges.columns)
+    assert rows(beds.edges_around(spark, SF)(wanted)) == rows(near.distinct())
+    assert rows(beds.mentions_of(spark, SF)(wanted).distinct().select(mentions.columns)) == rows(
+        mentions.join(wanted, key, "left_semi").distinct().select(mentions.columns))
+    for name in ("graph_edges", "graph_mentions", "part_mentions"):
+        monkeypatch.setattr(beds, name, lambda *_: pytest.fail("the whole graph is not needed"))
+    for name in ("graph_facts", "graph_retrieve"):
+        assert load()[0][name](spark, SF).count()
