@@ -82,3 +82,11 @@ def test_a_few_entities_need_no_stored_graph(spark, monkeypatch):
         monkeypatch.setattr(beds, name, lambda *_: pytest.fail("the whole graph is not needed"))
     for name in ("graph_facts", "graph_retrieve"):
         assert load()[0][name](spark, SF).count()
+
+
+def test_entities_of_documents_are_counted_by_number(spark, monkeypatch):
+    want = rows(gr.document_entities(beds.graph_entities(spark, SF), beds.graph_mentions(spark, SF)))
+    monkeypatch.setattr(beds, "graph_mentions", lambda *_: pytest.fail("ids of entities are not needed"))
+    got = load()[0]["document_entities"](spark, SF).select(
+        "owner_id", "entity_id", "file_id", "mentions", "name", "type")
+    assert rows(got) == want
