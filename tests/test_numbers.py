@@ -90,3 +90,20 @@ def test_entities_of_documents_are_counted_by_number(spark, monkeypatch):
     got = load()[0]["document_entities"](spark, SF).select(
         "owner_id", "entity_id", "file_id", "mentions", "name", "type")
     assert rows(got) == want
+
+
+def test_ends_of_a_hub_are_searched_as_one(spark, monkeypatch):
+    leaves = [f"leaf{i}" for i in range(9)]
+    rows = [("o", leaf, "hub", "KNOWS", "") for leaf in leaves]
+    rows += [("o", a, b, "KNOWS", "") for a, b in
+             [("hub", "m"), ("m", "n"), ("n", "o"), ("o", "p"), ("p", "q"), ("hub", "k"), ("k", "n"), ("o", "hubs")]]
+    written = []
+    real = gr.cut_lineage
+    monkeypatch.setattr(gr, "cut_lineage", lambda df: written.append(real(df)) or written[-1])
+    ends = [*[(leaf, "o") for leaf in leaves], ("leaf0", "leaf1"), ("leaf0", "hub"), ("leaf2", "p"), ("leaf2", "q")]
+    pairs = spark.createDataFrame([("o", *e) for e in ends], "owner_id string, a string, b string")
+    got = {(r["a"], r["b"]): (r["hops"], r["nodes"][0], r["nodes"][-1], len(r["rels"])) for r in
+           gr.shortest_paths(pairs, spark.createDataFrame(rows, EDGES)).collect()}
+    want = {**{(leaf, "o"): 4 for leaf in leaves}, ("leaf0", "leaf1"): 2, ("leaf0", "hub"): 1, ("leaf2", "p"): 5}
+    assert got == {(a, b): (n, a, b, n) for (a, b), n in want.items()}
+    assert not {r["root"] for df in written if "via" in df.columns for r in df.collect()} & set(leaves[1:])
